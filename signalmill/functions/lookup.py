@@ -14,3 +14,9 @@ def lookup_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     """Parameter rows as a DataFrame; hinted for broadcast only while they stay few."""
     table = spark.createDataFrame(list(rows), schema)
     return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
+def quoted(values) -> str:
+    """Values as a list of SQL string literals."""
+    escaped = (str(v).replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return ", ".join(f"'{v}'" for v in escaped)

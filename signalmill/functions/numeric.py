@@ -1,42 +1,50 @@
-"""Number helpers as plain column expressions."""
+"""Number helpers as SQL expression text, for ``selectExpr`` and ``expr``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = 134217729.0  # 2**27 + 1 cuts a double into two halves that multiply without error
-_EXACT_LIMIT = 4503599627370496.0  # 2**52: from here on every double is whole
+# 2**27 + 1 cuts a double into two halves that multiply without error; from 2**52 on every double is whole
+_SPLIT, _WHOLE = "134217729d", "4503599627370496d"
 
 
-def half_even(value: Column, digits: int) -> Column:
+def half_even_sql(value: str, digits: int) -> str:
     """Decimal rounding of the binary value, ties to even.
 
-    ``round``/``bround`` work on the printed digits, so 1278.55 (stored slightly below) goes up there;
-    here the error of ``value * 10**digits`` is recovered exactly and decides such cases.
+    ``round`` and ``bround`` work on the printed digits, so 1278.55 (stored slightly below) goes up there;
+    here the error of ``value * 10**digits`` is recovered exactly and decides such cases. Huge values and
+    NaN pass through. ``value`` is repeated, so name a column rather than a long expression.
     """
-    scale = float(10**digits)
-    high = value * F.lit(_SPLIT) - (value * F.lit(_SPLIT) - value)
-    product = value * F.lit(scale)
-    error = (high * F.lit(scale) - product) + (value - high) * F.lit(scale)
-    whole = F.floor(product).cast("double")
-    above = ((product - whole) - F.lit(0.5)) + error
-    odd = F.pmod(whole, F.lit(2.0)) == F.lit(1.0)
-    step = F.when((above > 0) | ((above == 0) & odd), F.lit(1.0)).otherwise(F.lit(0.0))
-    # the split overflows for huge values and NaN compares as largest: both pass through unchanged
-    return F.when(F.abs(value) * scale < _EXACT_LIMIT, (whole + step) / F.lit(scale)).otherwise(value)
-
-
-def to_float(text: Column) -> Column:
-    """Text to double, NULL when it is not a number (Java's ``1d``/``1f`` suffixes are not numbers)."""
-    return F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text.try_cast("double"))
+    scale = f"{10**digits}d"
+    product = f"({value} * {scale})"
+    high = f"({value} * {_SPLIT} - ({value} * {_SPLIT} - {value}))"
+    error = f"(({high} * {scale} - {product}) + ({value} - {high}) * {scale})"
+    above = f"(({product} - floor({product})) - 0.5d + {error})"
+    odd = f"(floor({product}) % 2 <> 0)"
+    step = f"CASE WHEN {above} > 0 OR ({above} = 0 AND {odd}) THEN 1d ELSE 0d END"
+    return f"CASE WHEN abs({value}) * {scale} < {_WHOLE} THEN (floor({product}) + {step}) / {scale} ELSE {value} END"
+
 
+def half_even(value: str, digits: int) -> Column:
+    return F.expr(half_even_sql(value, digits))
 
-def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:
-    """top / bottom, ``default`` unless bottom is positive."""
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(default))
 
+def rounded(digits: dict[str, int]) -> list[Column]:
+    """Each named column rounded to its digits, under its own name."""
+    return [half_even(name, d).alias(name) for name, d in digits.items()]
 
-def fixed(value: Column, digits: int) -> Column:
+
+def fixed_sql(value: str, digits: int) -> str:
     """Fixed-point text of the rounded value, as in ``12.3``."""
-    return F.format_string(f"%.{digits}f", half_even(value, digits))
+    return f"format_string('%.{digits}f', {half_even_sql(value, digits)})"
+
+
+def to_float_sql(text: str) -> str:
+    """Text to double, NULL when it is not a number (Java's ``1d``/``1f`` suffixes are not numbers)."""
+    return rf"CASE WHEN NOT rlike({text}, r'(?i)[0-9.][df]\s*$') THEN try_cast({text} AS double) END"
+
+
+def ratio_sql(top: str, bottom: str) -> str:
+    """top / bottom, 0 unless bottom is positive."""
+    return f"CASE WHEN {bottom} > 0 THEN {top} / ({bottom}) ELSE 0d END"

@@ -1,4 +1,4 @@
-"""Signal extraction from response texts: column expressions, no Python per row."""
+"""Signal extraction from response texts: SQL expressions over a text column, no Python per row."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_ASSET, PARSED_ASSETS
-from .numeric import half_even
+from .numeric import half_even_sql
 
 # --- fixed values: patterns -------------------------------------------------------
 CONFIDENCE_PATTERN = r"(?iU)confidence[:\s]+(\d+(?:\.\d+)?)\s*%?"
@@ -15,85 +15,76 @@ POSITION_SIZE_PATTERN = r"(?iU)POSITION_SIZE[:\s]+(\d+(?:\.\d+)?)\s*%?"
 WHITESPACE = r"[\s\x1c-\x1f]"
 
 
-def _first_number(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+def _first_number(text: str, pattern: str) -> str:
+    return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', 1), '') AS double)"
 
 
-def direction_of(text: Column) -> Column:
+def direction_of(text: str) -> Column:
     """BULLISH words win over BEARISH words; substring matches, as in BELONG."""
-    upper = F.upper(text)
-    return (
-        F.when(upper.rlike("BULLISH|BUY|LONG"), "BULLISH")
-        .when(upper.rlike("BEARISH|SELL|SHORT"), "BEARISH")
-        .otherwise("NEUTRAL")
+    return F.expr(
+        f"CASE WHEN rlike(upper({text}), 'BULLISH|BUY|LONG') THEN 'BULLISH'"
+        f" WHEN rlike(upper({text}), 'BEARISH|SELL|SHORT') THEN 'BEARISH' ELSE 'NEUTRAL' END"
     )
 
 
-def strength_of(text: Column) -> Column:
-    upper = F.upper(text)
-    return (
-        F.when(upper.rlike("STRONG|HIGH"), "STRONG")
-        .when(upper.rlike("MODERATE|MEDIUM"), "MODERATE")
-        .otherwise("WEAK")
+def strength_of(text: str) -> Column:
+    return F.expr(
+        f"CASE WHEN rlike(upper({text}), 'STRONG|HIGH') THEN 'STRONG'"
+        f" WHEN rlike(upper({text}), 'MODERATE|MEDIUM') THEN 'MODERATE' ELSE 'WEAK' END"
     )
 
 
-def confidence_of(text: Column) -> Column:
+def confidence_of(text: str) -> Column:
     """First stated confidence, else first percentage, else 0.5; never above 1."""
-    stated = _first_number(text, CONFIDENCE_PATTERN)
-    percent = _first_number(text, PERCENT_PATTERN)
-    one = F.lit(1.0)
-    return (
-        F.when(stated.isNotNull(), F.least(F.when(stated > 1, stated / 100).otherwise(stated), one))
-        .when(percent.isNotNull(), F.least(percent / 100, one))
-        .otherwise(F.lit(0.5))
+    stated, percent = _first_number(text, CONFIDENCE_PATTERN), _first_number(text, PERCENT_PATTERN)
+    return F.expr(
+        f"coalesce(CASE WHEN {stated} > 1 THEN least({stated} / 100, 1d) ELSE {stated} END,"
+        f" CASE WHEN {percent} > 100 THEN 1d ELSE {percent} / 100 END, 0.5d)"
     )
 
 
-def stated_asset(text: Column) -> Column:
+def stated_asset_sql(text: str) -> str:
     """First listed asset on the first ``ASSET:`` line that names one; NULL when there is none."""
-    names = F.array(*[F.lit(a) for a in PARSED_ASSETS])
-    lines = F.filter(F.split(F.upper(text), "\n"), lambda line: F.contains(line, F.lit("ASSET:")))
-    hits = F.transform(lines, lambda line: F.get(F.filter(names, lambda a: F.contains(line, a)), F.lit(0)))
-    return F.get(F.array_compact(hits), F.lit(0))
+    names = ", ".join(f"'{a}'" for a in PARSED_ASSETS)
+    lines = f"filter(split(upper({text}), '\\n'), line -> contains(line, 'ASSET:'))"
+    hits = f"transform({lines}, line -> get(filter(array({names}), a -> contains(line, a)), 0))"
+    return f"get(array_compact({hits}), 0)"
 
 
-def asset_of(text: Column, default: str = DEFAULT_ASSET) -> Column:
-    return F.coalesce(stated_asset(text), F.lit(default))
+def asset_of(text: str, default: str = DEFAULT_ASSET) -> Column:
+    return F.expr(f"coalesce({stated_asset_sql(text)}, '{default}')")
 
 
-def position_size_of(text: Column, default: Column) -> Column:
-    """Stated size capped at 20, else the default rounded to one digit."""
+def position_size_of(text: str, default: str) -> Column:
+    """Stated size capped at 20, else the default (SQL text) rounded to one digit."""
     stated = _first_number(text, POSITION_SIZE_PATTERN)
-    return F.when(stated.isNotNull(), F.least(stated, F.lit(20.0))).otherwise(half_even(default, 1))
+    return F.expr(
+        f"CASE WHEN {stated} IS NOT NULL THEN least({stated}, 20d) ELSE {half_even_sql(default, 1)} END"
+    )
 
 
-def response_text(model: Column, body: Column) -> Column:
+def response_text(model: str, body: str) -> Column:
     """Answer text inside a raw response document, by model family."""
 
-    def part(path: str) -> Column:
-        found = F.coalesce(F.get_json_object(body, path), F.lit(""))
-        return F.regexp_replace(found, rf"(?U)\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    def part(path: str) -> str:
+        strip = rf"r'(?U)\A{WHITESPACE}+|{WHITESPACE}+\z'"
+        return f"regexp_replace(coalesce(get_json_object({body}, '{path}'), ''), {strip}, '')"
 
-    return (
-        F.when(model.startswith("anthropic.claude"), part("$.completion"))
-        .when(model.startswith("amazon.titan"), part("$.results[0].outputText"))
-        .when(model.startswith("meta.llama"), part("$.generation"))
-        .when(model.startswith("mistral"), part("$.outputs[0].text"))
-        .otherwise(body)
+    return F.expr(
+        f"CASE WHEN startswith({model}, 'anthropic.claude') THEN {part('$.completion')}"
+        f" WHEN startswith({model}, 'amazon.titan') THEN {part('$.results[0].outputText')}"
+        f" WHEN startswith({model}, 'meta.llama') THEN {part('$.generation')}"
+        f" WHEN startswith({model}, 'mistral') THEN {part('$.outputs[0].text')} ELSE {body} END"
     )
 
 
-def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words, without building the word array."""
-    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
-
-
-def estimated_tokens(text: Column) -> Column:
-    return F.call_function("div", word_count(text) * 4, F.lit(3)).cast("bigint")
+def estimated_tokens_sql(text: str) -> str:
+    """Four tokens for three whitespace-separated words; words are counted without building an array."""
+    return rf"(regexp_count({text}, r'(?U)[^\s\x1c-\x1f]+') * 4L) div 3"
 
 
-def has_any_word(text: Column, words) -> Column:
-    """Does a whitespace-separated word of the text equal one of ``words`` (case ignored)?"""
+def has_any_word(text: str, words) -> Column:
+    """Does a whitespace-separated word of the text (SQL) equal one of ``words``, case ignored?"""
     listed = "|".join(rf"\Q{w}\E" for w in words)
-    return F.lower(text).rlike(rf"(?U)(?:\A|{WHITESPACE})(?:{listed})(?:\z|{WHITESPACE})")
+    pattern = rf"(?U)(?:\A|{WHITESPACE})(?:{listed})(?:\z|{WHITESPACE})"
+    return F.lower(F.expr(text)).rlike(pattern)

@@ -6,15 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def iso_utc(ts: Column) -> Column:
+def iso_utc(ts: str) -> Column:
     """ISO-8601 text with offset; microseconds only when there are any."""
-    micros = F.date_format(ts, ".SSSSSS")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros == ".000000", F.lit("")).otherwise(micros),
-        F.lit("+00:00"),
+    return F.expr(
+        f"concat(date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\"),"
+        f" CASE WHEN date_format({ts}, 'SSSSSS') = '000000' THEN '' ELSE date_format({ts}, '.SSSSSS') END, '+00:00')"
     )
 
 
-def iso_date(ts: Column) -> Column:
+def iso_date(ts: str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")

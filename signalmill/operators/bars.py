@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A history is cut into time slices for numbering and into row blocks for windows.
@@ -30,51 +29,37 @@ def resample(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     )
 
 
-def _slice(seconds: int):
-    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
-
-
 def numbered(bars: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds rn (1-based row number within the symbol), n (rows of the symbol) and prev_close.
 
     Rows are sorted inside (symbol, time slice) only. What runs per symbol is one summary row per
     slice, a count bounded by the length of the calendar.
     """
-    sliced = bars.withColumn("_slice", _slice(slice_seconds))
+    sliced = bars.selectExpr("*", f"floor(unix_seconds(CAST(ts AS timestamp)) / {slice_seconds}) AS _slice")
     per_slice = sliced.groupBy("symbol", "_slice").agg(
         F.count("*").alias("_rows"), F.max_by("close", "ts").alias("_last")
     )
-    by_symbol = W.partitionBy("symbol")
-    in_order = by_symbol.orderBy("_slice")
-    before = in_order.rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        "symbol",
-        "_slice",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(by_symbol).alias("n"),
-        F.lag("_last").over(in_order).alias("_carried"),
-    )
-    local = W.partitionBy("symbol", "_slice").orderBy("ts")
-    placed = sliced.withColumn("_i", F.row_number().over(local)).withColumn(
-        "_prev", F.lag("close").over(local)
+    offsets = per_slice.selectExpr(
+        "symbol", "_slice",
+        "sum(_rows) OVER (PARTITION BY symbol ORDER BY _slice ROWS UNBOUNDED PRECEDING) - _rows AS _before",
+        "sum(_rows) OVER (PARTITION BY symbol) AS n",
+        "lag(_last) OVER (PARTITION BY symbol ORDER BY _slice) AS _carried",
     )
-    return (
-        placed.join(offsets, ["symbol", "_slice"])
-        .withColumn("rn", F.col("_before") + F.col("_i"))
-        .withColumn("prev_close", F.when(F.col("_i") == 1, F.col("_carried")).otherwise(F.col("_prev")))
-        .drop("_slice", "_i", "_before", "_prev", "_carried")
+    local = "(PARTITION BY symbol, _slice ORDER BY ts)"
+    placed = sliced.selectExpr("*", f"row_number() OVER {local} AS _i", f"lag(close) OVER {local} AS _prev")
+    return placed.join(offsets, ["symbol", "_slice"]).selectExpr(
+        *[f"`{c}`" for c in bars.columns],
+        "_before + _i AS rn", "n", "CASE WHEN _i = 1 THEN _carried ELSE _prev END AS prev_close",
     )
 
 
 def blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
     """Adds _block and repeats the rows a later block needs to see; _own marks the original copies."""
-    block = F.floor((F.col("rn") - 1) / block_rows)
-    last_block = F.floor((F.col("n") - 1) / block_rows)
-    in_tail = ((F.col("rn") - 1) % block_rows >= block_rows - halo_rows) & (block < last_block)
+    in_tail = f"(rn - 1) % {block_rows} >= {block_rows - halo_rows} AND rn <= n - 1 - (n - 1) % {block_rows}"
     return (
-        rows.withColumn("_home", block)
-        .withColumn("_block", F.explode(F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))))
-        .withColumn("_own", F.col("_block") == F.col("_home"))
+        rows.selectExpr("*", f"(rn - 1) div {block_rows} AS _home")
+        .selectExpr("*", f"explode(CASE WHEN {in_tail} THEN array(_home, _home + 1) ELSE array(_home) END) AS _block")
+        .selectExpr("*", "_block = _home AS _own")
         .drop("_home")
     )
 
@@ -84,12 +69,6 @@ def latest(bars: DataFrame, rows: int = HALO_ROWS) -> DataFrame:
 
     The row limit is applied on the map side already, so a hot symbol sends few rows.
     """
-    newest = W.partitionBy("symbol").orderBy(F.col("ts").desc())
-    kept = bars.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= rows)
-    n = F.count("*").over(W.partitionBy("symbol"))
-    return (
-        kept.withColumn("n", n)
-        .withColumn("rn", F.col("n") - F.col("_age") + 1)
-        .withColumn("_own", F.col("_age") == 1)
-        .drop("_age")
-    )
+    aged = bars.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS _age")
+    counted = aged.filter(f"_age <= {rows}").selectExpr("*", "count(*) OVER (PARTITION BY symbol) AS n")
+    return counted.selectExpr("*", "n - _age + 1 AS rn", "_age = 1 AS _own").drop("_age")

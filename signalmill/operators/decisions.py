@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
     AGENT_WEIGHTS, DEFAULT_ASSET, DEFAULT_WEIGHT, NO_FLAGS_TEXT, PORTFOLIO_AGENT, STRENGTH_FACTORS, WEAK_FACTOR,
 )
-from ..functions.numeric import fixed, half_even
-from ..functions.parsing import position_size_of, stated_asset
-from ..functions.times import iso_date
+from ..functions.lookup import quoted
+from ..functions.numeric import fixed_sql, half_even, half_even_sql
+from ..functions.parsing import position_size_of, stated_asset_sql
+from ..functions.times import iso_date, iso_utc
 from .lookups import with_agent_weight
-from .risk import flag_lists, overridden_direction, overridden_strength
+from .risk import OVERRIDDEN_DIRECTION, OVERRIDDEN_STRENGTH, flag_lists
 from .sentiment import directed
 from .signals import parsed
 
 MAX_SIZE_PCT = 20.0
-SIGNAL_FIELDS = ["agent_name", "asset", "direction", "strength", "confidence"]
+SIGNAL_FIELDS = ("agent_name", "asset", "direction", "strength", "confidence")
 
 
-def contribution(weight: Column, direction: Column, strength: Column, confidence: Column) -> Column:
-    sign = F.when(direction == "BULLISH", 1.0).when(direction == "BEARISH", -1.0).otherwise(0.0)
-    factor = F.lit(WEAK_FACTOR)
-    for name, value in STRENGTH_FACTORS.items():
-        factor = F.when(strength == name, F.lit(value)).otherwise(factor)
-    return weight * sign * factor * confidence
+def contribution_sql(weight: str, signal: str = "") -> str:
+    """weight x sign x factor x confidence; ``signal`` prefixes the signal's fields, as in ``s.``."""
+    factors = " ".join(f"WHEN '{name}' THEN {value}d" for name, value in STRENGTH_FACTORS.items())
+    return (
+        f"{weight} * CASE {signal}direction WHEN 'BULLISH' THEN 1d WHEN 'BEARISH' THEN -1d ELSE 0d END"
+        f" * CASE {signal}strength {factors} ELSE {WEAK_FACTOR}d END * {signal}confidence"
+    )
 
 
 def scores(signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS) -> DataFrame:
@@ -36,63 +38,53 @@ def scores(signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS) ->
     Listed agents are added in their fixed order, so the double result does not depend on row order;
     whatever unlisted agents add comes last, summed exactly.
     """
-    rows = with_agent_weight(signals, weights)
-    part = contribution(F.col("weight"), F.col("direction"), F.col("strength"), F.col("confidence"))
-    rows = rows.select("run_id", "agent_name", part.alias("_part"))
-    sums = [F.sum(F.when(F.col("agent_name") == a, F.col("_part"))).alias(f"_a{i}") for i, a in enumerate(weights)]
-    listed = F.coalesce(F.col("agent_name").isin(list(weights)), F.lit(False))
-    other = F.sum(F.when(~listed, F.col("_part").cast("decimal(38,18)"))).cast("double").alias("_other")
-    total = F.lit(0.0)
-    for column in [*(f"_a{i}" for i in range(len(weights))), "_other"]:
-        total = total + F.coalesce(column, F.lit(0.0))
-    return rows.groupBy("run_id").agg(*sums, other).select("run_id", half_even(total, 4).alias("score"))
-
-
-def damped(score: Column, n_flags: Column) -> Column:
-    return F.when(n_flags > 0, score * 0.5).otherwise(score)
+    rows = with_agent_weight(signals, weights).selectExpr(
+        "run_id", "agent_name", f"{contribution_sql('weight')} AS _part"
+    )
+    parts = [f"sum(CASE WHEN agent_name = {quoted([a])} THEN _part END)" for a in weights]
+    unlisted = f"NOT coalesce(agent_name IN ({quoted(weights)}), false)"
+    parts.append(f"CAST(sum(CASE WHEN {unlisted} THEN CAST(_part AS decimal(38,18)) END) AS double)")
+    total = " + ".join(["0d", *[f"coalesce({p}, 0d)" for p in parts]])
+    return rows.groupBy("run_id").agg(F.expr(f"{total} AS score")).select("run_id", half_even("score", 4).alias("score"))
 
 
-def sized(score: Column) -> Column:
-    return F.least(F.abs(score) * 10, F.lit(MAX_SIZE_PCT))
+# dampening by flags and size from the score, over columns score and n_flags
+DAMPED = "CASE WHEN n_flags > 0 THEN score * 0.5d ELSE score END"
+SIZED = f"least(abs(score) * 10, {MAX_SIZE_PCT}d)"
 
 
-def run_rows(signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS, extra: Sequence[Column] = ()) -> DataFrame:
+def run_rows(
+    signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS, extra: Mapping[str, str] | None = None,
+) -> DataFrame:
     """One row per run with ``signals``: its agents' latest signals in fixed agent order.
 
     A pivot of fixed-size aggregates: map-side combining keeps a repeated run small, and everything
     a run needs is gathered by a single shuffle. An agent without a row is simply not in the array.
     """
-    record = F.struct(*SIGNAL_FIELDS)
-    columns = [
-        F.max_by(F.when(F.col("agent_name") == a, record), F.when(F.col("agent_name") == a, F.col("ts"))).alias(f"_a{i}")
-        for i, a in enumerate(weights)
-    ]
-    runs = signals.groupBy("run_id").agg(F.max("ts").alias("ts"), *columns, *extra)
-    present = F.array_compact(F.array(*[F.col(f"_a{i}") for i in range(len(weights))]))
-    return runs.withColumn("signals", present).drop(*[f"_a{i}" for i in range(len(weights))])
+    record = f"struct({', '.join(SIGNAL_FIELDS)})"
+    named = {"ts": "max(ts)", **(extra or {})}
+    slots = [f"_a{i}" for i in range(len(weights))]
+    for slot, agent in zip(slots, weights):
+        of_agent = f"agent_name = {quoted([agent])}"
+        named[slot] = f"max_by({record}, ts) FILTER (WHERE {of_agent})"
+    runs = signals.groupBy("run_id").agg(*[F.expr(f"{text} AS {name}") for name, text in named.items()])
+    return runs.withColumn("signals", F.expr(f"array_compact(array({', '.join(slots)}))")).drop(*slots)
 
 
-def common_asset(signals: Column) -> Column:
+def common_asset_sql(signals: str = "signals") -> str:
     """Most frequent asset of a run's signals, the first seen among equals."""
-    assets = F.transform(signals, lambda s: s["asset"])
-    ranked = F.transform(
-        assets,
-        lambda asset, i: F.struct(
-            F.size(F.filter(assets, lambda other: other == asset)).alias("count"), (-i).alias("place"), asset.alias("asset")
-        ),
+    ranked = (
+        f"transform({signals}, (s, i) -> named_struct("
+        f"'count', size(filter({signals}, other -> other.asset = s.asset)), 'place', -i, 'asset', s.asset))"
     )
-    return F.coalesce(F.array_max(ranked)["asset"], F.lit(DEFAULT_ASSET))
+    return f"coalesce(array_max({ranked}).asset, '{DEFAULT_ASSET}')"
 
 
-def score_of(signals: Column, weights: Mapping[str, float] = AGENT_WEIGHTS) -> Column:
-    """The score of a run's signal array, added in array order."""
-    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-
-    def add(total: Column, s: Column) -> Column:
-        weight = F.coalesce(F.try_element_at(table, s["agent_name"]), F.lit(DEFAULT_WEIGHT))
-        return total + contribution(weight, s["direction"], s["strength"], s["confidence"])
-
-    return half_even(F.aggregate(signals, F.lit(0.0), add), 4)
+def score_sql(weights: Mapping[str, float] = AGENT_WEIGHTS, signals: str = "signals") -> str:
+    """The unrounded score of a run's signal array, added in array order."""
+    cases = " ".join(f"WHEN {quoted([a])} THEN {w}d" for a, w in weights.items())
+    part = contribution_sql(f"CASE s.agent_name {cases} ELSE {DEFAULT_WEIGHT}d END", "s.")
+    return f"aggregate({signals}, 0d, (total, s) -> total + {part})"
 
 
 def run_decisions(
@@ -109,142 +101,139 @@ def run_decisions(
     ``flags`` are risk flag rows per portfolio; ``best_asset`` and ``social_direction`` are one-row tables.
     A run without any specialist row gives no recommendation; a missing agent is left out.
     """
-    agent = F.col("agent_name")
+    agent, asset, direction = F.col("agent_name"), F.col("asset"), F.col("direction")
     rows = parsed(responses)
     if best_asset is not None:
-        rows = rows.withColumn("asset", F.when(agent == "TechnicalAnalyst", best_asset.scalar()).otherwise(F.col("asset")))
+        rows = rows.withColumn("asset", F.when(agent == "TechnicalAnalyst", best_asset.scalar()).otherwise(asset))
     rows = rows.withColumn(
-        "asset", F.when(agent.isin("SentimentAgent", "RiskManager"), F.lit(DEFAULT_ASSET)).otherwise(F.col("asset"))
+        "asset", F.when(agent.isin("SentimentAgent", "RiskManager"), DEFAULT_ASSET).otherwise(asset)
     )
     if social_direction is not None:
-        fallback = directed(F.col("direction"), social_direction.select("direction").scalar())
-        rows = rows.withColumn("direction", F.when(agent == "SentimentAgent", fallback).otherwise(F.col("direction")))
-    final = agent == PORTFOLIO_AGENT
-    answer = F.struct("response_text", "direction", "strength", "confidence")
-    runs = run_rows(rows, weights, [
-        F.max(key).alias(key),
-        F.max_by(F.when(final, answer), F.when(final, F.col("ts"))).alias("answer"),
-    ])
-    runs = runs.filter((F.size("signals") > 0) & F.col("answer").isNotNull())
-    runs = runs.join(flag_lists(flags, key), key, "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
-    return recommended(runs, key, weights)
-
-
-def _with_risk(s: Column) -> Column:
-    """A RiskManager signal under the run's flag count."""
-    risk = s["agent_name"] == "RiskManager"
-    n = F.col("n_flags")
-    return F.struct(
-        s["agent_name"].alias("agent_name"), s["asset"].alias("asset"),
-        F.when(risk, overridden_direction(n, s["direction"])).otherwise(s["direction"]).alias("direction"),
-        F.when(risk, overridden_strength(n, s["strength"])).otherwise(s["strength"]).alias("strength"),
-        s["confidence"].alias("confidence"),
-    )
+        fallback = directed(direction, social_direction.select("direction").scalar())
+        rows = rows.withColumn("direction", F.when(agent == "SentimentAgent", fallback).otherwise(direction))
+    answer = "max_by(struct(response_text, direction, strength, confidence), ts)"
+    runs = run_rows(rows, weights, {
+        key: f"max({key})", "answer": f"{answer} FILTER (WHERE agent_name = '{PORTFOLIO_AGENT}')",
+    })
+    runs = runs.filter("size(signals) > 0 AND answer IS NOT NULL").join(flag_lists(flags, key), key, "left")
+    return recommended(runs.withColumn("n_flags", F.expr("coalesce(n_flags, 0)")), key, weights)
 
 
 def recommended(runs: DataFrame, key: str, weights: Mapping[str, float] = AGENT_WEIGHTS) -> DataFrame:
     """Score, size and final answer per run row (signals, answer, n_flags, flags)."""
-    runs = runs.withColumn("signals", F.transform("signals", _with_risk))
-    runs = runs.withColumn("raw_score", score_of(F.col("signals"), weights))
-    runs = runs.withColumn("score", damped(F.col("raw_score"), F.col("n_flags")))
-    text = F.col("answer.response_text")
+    risk = "CASE WHEN s.agent_name = 'RiskManager' THEN {} ELSE s.{} END"
+    direction = risk.format(OVERRIDDEN_DIRECTION.format(parsed="s.direction"), "direction")
+    strength = risk.format(OVERRIDDEN_STRENGTH.format(parsed="s.strength"), "strength")
+    overridden = (
+        "transform(signals, s -> named_struct('agent_name', s.agent_name, 'asset', s.asset,"
+        f" 'direction', {direction}, 'strength', {strength}, 'confidence', s.confidence))"
+    )
+    # every step names its result: a later expression uses it several times
+    runs = runs.withColumn("signals", F.expr(overridden)).withColumn("raw_score", F.expr(score_sql(weights)))
+    runs = runs.withColumn("raw_score", half_even("raw_score", 4))
+    runs = runs.withColumn("score", F.expr(DAMPED.replace("score", "raw_score")))
+    runs = runs.withColumn("suggested_size_pct", F.expr(SIZED))
+    text = "answer.response_text"
     return runs.select(
-        "run_id", key, "ts", "signals", "n_flags", "flags", "raw_score", "score",
-        iso_date(F.col("ts")).alias("date"),
-        sized(F.col("score")).alias("suggested_size_pct"),
-        F.coalesce(stated_asset(text), common_asset(F.col("signals"))).alias("asset"),
-        F.col("answer.direction").alias("direction"),
-        F.col("answer.strength").alias("strength"),
-        F.col("answer.confidence").alias("confidence"),
-        position_size_of(text, sized(F.col("score"))).alias("position_size_pct"),
-        text.alias("entry_rationale"),
-        F.coalesce(F.array_join("flags", ", "), F.lit(NO_FLAGS_TEXT)).alias("risk_notes"),
-        F.transform("signals", lambda s: s["agent_name"]).alias("contributing_agents"),
+        "run_id", key, "ts", "signals", "n_flags", "flags", "raw_score", "score", "suggested_size_pct",
+        iso_date("ts").alias("date"),
+        F.expr(f"coalesce({stated_asset_sql(text)}, {common_asset_sql()}) AS asset"),
+        "answer.direction", "answer.strength", "answer.confidence",
+        position_size_of(text, "suggested_size_pct").alias("position_size_pct"),
+        F.col(text).alias("entry_rationale"),
+        F.expr(f"coalesce(array_join(flags, ', '), '{NO_FLAGS_TEXT}') AS risk_notes"),
+        F.expr("transform(signals, s -> s.agent_name) AS contributing_agents"),
     )
 
 
-# --- text blocks shown next to a decision ---------------------------------------------
-
-def signal_line(s: Column) -> Column:
-    percent = half_even(s["confidence"] * 100, 0).cast("bigint").cast("string")
-    return F.concat(
-        F.lit("  "), s["agent_name"], F.lit(": "), s["direction"], F.lit(" ("), s["strength"],
-        F.lit(") confidence="), percent, F.lit("% asset="), s["asset"],
+def run_summaries(decisions: DataFrame) -> DataFrame:
+    """The stored document of a run: its signals and its recommendation."""
+    fields = ", ".join(f"'{c}', s.{c}" for c in SIGNAL_FIELDS)
+    stamped = decisions.withColumn("timestamp", iso_utc("ts"))
+    document = (
+        "to_json(named_struct('run_id', run_id, 'run_timestamp', timestamp,"
+        f" 'signals', transform(signals, s -> named_struct({fields}, 'timestamp', timestamp)),"
+        " 'recommendation', struct(asset, direction, strength, confidence, position_size_pct, entry_rationale,"
+        " risk_notes, contributing_agents, timestamp)))"
     )
+    return stamped.selectExpr("run_id", "date", f"{document} AS body")
+
 
+# --- text blocks shown next to a decision ---------------------------------------------
 
 def evidence_digest(decisions: DataFrame) -> DataFrame:
     """Signals, flags, score and size of a run as the fixed text block; needs run_decisions rows."""
-    score = F.col("score")
-    plus = F.when(score >= 0, F.lit("+")).otherwise(F.lit(""))
-    flags = F.when(
-        F.col("n_flags") > 0,
-        F.array_join(F.transform("flags", lambda f: F.concat(F.lit("  ⚠ "), f)), "\n"),
-    ).otherwise(F.lit("  ✓ None"))
-    block = F.concat_ws(
-        "\n",
-        F.lit("AGENT SIGNALS:"), F.array_join(F.transform("signals", signal_line), "\n"),
-        F.lit("RISK FLAGS:"), flags,
-        F.concat(F.lit("AGGREGATED SIGNAL SCORE: "), plus, fixed(score, 2)),
-        F.concat(F.lit("SUGGESTED POSITION SIZE: "), fixed(F.col("suggested_size_pct"), 1), F.lit("% of portfolio")),
+    percent = f"CAST(CAST({half_even_sql('(s.confidence * 100)', 0)} AS bigint) AS string)"
+    line = (
+        "concat('  ', s.agent_name, ': ', s.direction, ' (', s.strength, ') confidence=',"
+        f" {percent}, '% asset=', s.asset)"
     )
-    return decisions.select("run_id", block.alias("digest"))
+    block = (
+        f"concat_ws('\\n', 'AGENT SIGNALS:', array_join(transform(signals, s -> {line}), '\\n'), 'RISK FLAGS:',"
+        " CASE WHEN n_flags > 0 THEN array_join(transform(flags, f -> concat('  ⚠ ', f)), '\\n') ELSE '  ✓ None' END,"
+        f" concat('AGGREGATED SIGNAL SCORE: ', CASE WHEN score >= 0 THEN '+' ELSE '' END, {fixed_sql('score', 2)}),"
+        f" concat('SUGGESTED POSITION SIZE: ', {fixed_sql('suggested_size_pct', 1)}, '% of portfolio'))"
+    )
+    return decisions.selectExpr("run_id", f"{block} AS digest")
 
 
 def price_lines(prices: DataFrame) -> DataFrame:
     """``  SYMBOL: $12.34`` per (key, value) row."""
-    return prices.select("key", F.concat(F.lit("  "), F.col("key"), F.lit(": $"), fixed(F.col("value"), 2)).alias("line"))
+    return prices.selectExpr("key", f"concat('  ', key, ': $', {fixed_sql('value', 2)}) AS line")
 
 
 def macro_lines(macro: DataFrame, limit: int = 6) -> DataFrame:
     """``  SERIES: 12.34`` for the first series in the given order (column ``place``)."""
     first = macro.orderBy("place").limit(limit)
-    return first.select("key", F.concat(F.lit("  "), F.col("key"), F.lit(": "), fixed(F.col("value"), 2)).alias("line"))
+    return first.selectExpr("key", f"concat('  ', key, ': ', {fixed_sql('value', 2)}) AS line")
 
 
 def indicator_lines(records: DataFrame) -> DataFrame:
-    number = {c: F.col(c).cast("string") for c in ("close", "rsi", "bb_low", "bb_high")}
-    return records.select(
-        F.col("symbol").alias("key"),
-        F.concat(
-            F.col("symbol"), F.lit(": close=$"), number["close"], F.lit(", RSI="), number["rsi"],
-            F.lit(", MACD_hist="), F.coalesce(fixed(F.col("macd_hist"), 4), F.lit("nan")),
-            F.lit(", BB=["), number["bb_low"], F.lit("-"), number["bb_high"],
-            F.lit("] | Signals: "), F.array_join("ta_signals", ", "),
-        ).alias("line"),
+    """One line per symbol record; an undefined histogram shows as nan."""
+    hist = f"coalesce({fixed_sql('macd_hist', 4)}, 'nan')"
+    return records.selectExpr(
+        "symbol AS key",
+        f"concat(symbol, ': close=$', close, ', RSI=', rsi, ', MACD_hist=', {hist},"
+        " ', BB=[', bb_low, '-', bb_high, '] | Signals: ', array_join(ta_signals, ', ')) AS line",
     )
 
 
 def volatility_lines(volatilities: DataFrame) -> DataFrame:
-    return volatilities.select(
-        F.col("symbol").alias("key"),
-        F.concat(F.lit("  "), F.col("symbol"), F.lit(": "), fixed(F.col("volatility"), 1), F.lit("% annualized")).alias("line"),
+    return volatilities.selectExpr(
+        "symbol AS key", f"concat('  ', symbol, ': ', {fixed_sql('volatility', 1)}, '% annualized') AS line"
     )
 
 
-def inventory_line(level: Column, change: Column) -> Column:
-    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    return F.when(
-        level.isNotNull(),
-        F.concat(F.lit("  Inventory: "), shown(level), F.lit(" Mmbbl (change: "), shown(change), F.lit(" Mmbbl)")),
-    ).otherwise(F.lit("  Inventory data unavailable"))
+def inventory_lines(inventory: DataFrame) -> DataFrame:
+    """Level and change per series row (inventory_mmbbl, change_mmbbl)."""
+    return inventory.selectExpr(
+        "series_id AS key",
+        "concat('  Inventory: ', inventory_mmbbl, ' Mmbbl (change: ', coalesce(CAST(change_mmbbl AS string), 'None'),"
+        " ' Mmbbl)') AS line",
+    )
 
 
 def strong_only(decisions: DataFrame) -> DataFrame:
-    return decisions.filter(F.col("strength") == "STRONG")
+    return decisions.filter("strength = 'STRONG'")
 
 
 def notifications(decisions: DataFrame) -> DataFrame:
     """Subject and JSON message of every STRONG recommendation."""
-    body = F.to_json(F.struct(
-        "asset", "direction", "strength", "confidence", "position_size_pct", "entry_rationale",
-        "risk_notes", "contributing_agents", "date",
-    ))
-    subject = F.concat(F.lit("STRONG "), F.col("direction"), F.lit(" signal: "), F.col("asset"))
-    return strong_only(decisions).select("run_id", subject.alias("subject"), body.alias("message"))
+    body = (
+        "to_json(struct(asset, direction, strength, confidence, position_size_pct, entry_rationale, risk_notes,"
+        " contributing_agents, date))"
+    )
+    return strong_only(decisions).selectExpr(
+        "run_id", "concat('STRONG ', direction, ' signal: ', asset) AS subject", f"{body} AS message"
+    )
 
 
 def latest_recommendation(records: DataFrame, agent: str = PORTFOLIO_AGENT) -> DataFrame:
     """The newest row of the portfolio agent: one row, found by a partial aggregate."""
-    newest = F.max_by(F.struct(*records.columns), F.struct("timestamp", "run_id")).alias("r")
-    return records.filter(F.col("agent_name") == agent).agg(newest).filter(F.col("r").isNotNull()).select("r.*")
+    newest = F.expr("max_by(struct(*), struct(timestamp, run_id)) AS r")
+    return records.filter(F.col("agent_name") == agent).agg(newest).filter("r IS NOT NULL").select("r.*")
+
+
+def asset_votes(signals: DataFrame) -> DataFrame:
+    """The fallback asset of every run."""
+    return run_rows(signals).selectExpr("run_id", f"{common_asset_sql()} AS asset")

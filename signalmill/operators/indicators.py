@@ -2,70 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_ASSET, TRADING_DAYS
-from ..functions.numeric import fixed, half_even
+from ..functions.lookup import quoted
+from ..functions.numeric import fixed_sql, half_even, rounded
 from . import bars as B
 
 MIN_BARS = 26
 RSI_ROWS, BAND_ROWS, SIGNAL_START = 14, 20, 34
 INDICATORS = ["rsi", "macd", "macd_signal", "macd_hist", "bb_high", "bb_mid", "bb_low"]
+RECORD_DIGITS = {"close": 2, "rsi": 2, "macd": 4, "macd_signal": 4, "macd_hist": 4, "bb_high": 2, "bb_mid": 2, "bb_low": 2}
+USABLE = "close IS NOT NULL AND NOT isnan(close)"
 
 
-def _ewma(value: Column, age: Column, alpha: float, upto: WindowSpec) -> Column:
+def _ewma(value: str, age: str, alpha: str, keys: str) -> str:
     """Exponential average seeded with its first value, as a weighted running sum.
 
     y(i) = q^i * (x0 + sum of alpha * x(j) * q^-j) with q = 1 - alpha; ``age`` counts from the seed.
     q^-age stays far inside a double because a block has at most BLOCK_ROWS + HALO_ROWS rows.
     """
-    q = F.lit(1.0 - alpha)
-    term = F.when(age == 0, value).when(age > 0, value * F.lit(alpha) * F.pow(q, -age))
-    return F.pow(q, age) * F.sum(term).over(upto)
+    term = f"CASE WHEN {age} = 0 THEN {value} WHEN {age} > 0 THEN {value} * {alpha} * pow(1 - {alpha}, -({age})) END"
+    window = f"(PARTITION BY {keys} ORDER BY rn ROWS UNBOUNDED PRECEDING)"
+    return f"pow(1 - {alpha}, {age}) * sum({term}) OVER {window}"
 
 
 def _add_indicators(rows: DataFrame, keys: list[str]) -> DataFrame:
     """All indicator columns; rows need close, rn and _own. One exchange and one sort serve every column."""
-    spec = W.partitionBy(*keys).orderBy("rn")
-    upto = spec.rowsBetween(W.unboundedPreceding, 0)
-    first = F.min("rn").over(W.partitionBy(*keys))
-    move = F.col("close") - F.lag("close").over(spec)
-    rows = rows.withColumn("_age", F.col("rn") - first).withColumn("_move", move)
-    gain = F.coalesce(F.greatest(F.col("_move"), F.lit(0.0)), F.lit(0.0))
-    loss = F.coalesce(F.greatest(-F.col("_move"), F.lit(0.0)), F.lit(0.0))
-    age, close = F.col("_age"), F.col("close")
-    band = spec.rowsBetween(-(BAND_ROWS - 1), 0)
-    rows = rows.select(
-        "*",
-        _ewma(gain, age, 1 / 14, upto).alias("_gain"),
-        _ewma(loss, age, 1 / 14, upto).alias("_loss"),
-        (_ewma(close, age, 2 / 13, upto) - _ewma(close, age, 2 / 27, upto)).alias("_line"),
-        F.avg("close").over(band).alias("_mid"),
-        F.stddev_pop("close").over(band).alias("_dev"),
+    by = ", ".join(keys)
+    spec = f"(PARTITION BY {by} ORDER BY rn)"
+    band = f"(PARTITION BY {by} ORDER BY rn ROWS {BAND_ROWS - 1} PRECEDING)"
+    rows = rows.selectExpr(
+        "*", f"rn - min(rn) OVER (PARTITION BY {by}) AS _age", f"close - lag(close) OVER {spec} AS _move"
     )
-    # the signal line starts where the line does: row 26, or the first halo row of a later block
-    seed = F.greatest(F.col("rn") - F.col("_age"), F.lit(MIN_BARS))
-    signal = _ewma(F.col("_line"), F.col("rn") - seed, 2 / 10, upto)
-    rows = rows.withColumn("_signal", signal)
-    rn = F.col("rn")
-
-    def known(from_row: int, value: Column) -> Column:
-        return F.when(rn >= from_row, value)
-
-    rsi = F.when(F.col("_loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_gain") / F.col("_loss")))
-    return rows.select(
+    gain, loss = "greatest(coalesce(_move, 0d), 0d)", "greatest(-coalesce(_move, 0d), 0d)"
+    rows = rows.selectExpr(
         "*",
-        known(RSI_ROWS, rsi).alias("rsi"),
-        known(MIN_BARS, F.col("_line")).alias("macd"),
-        known(SIGNAL_START, F.col("_signal")).alias("macd_signal"),
-        known(SIGNAL_START, F.col("_line") - F.col("_signal")).alias("macd_hist"),
-        known(BAND_ROWS, F.col("_mid") + 2 * F.col("_dev")).alias("bb_high"),
-        known(BAND_ROWS, F.col("_mid")).alias("bb_mid"),
-        known(BAND_ROWS, F.col("_mid") - 2 * F.col("_dev")).alias("bb_low"),
+        f"{_ewma(gain, '_age', '(1d/14)', by)} AS _gain",
+        f"{_ewma(loss, '_age', '(1d/14)', by)} AS _loss",
+        f"{_ewma('close', '_age', '(2d/13)', by)} - {_ewma('close', '_age', '(2d/27)', by)} AS _line",
+        f"avg(close) OVER {band} AS _mid",
+        f"stddev_pop(close) OVER {band} AS _dev",
+        # the signal line starts where the line does: row 26, or the first halo row of a later block
+        f"rn - greatest(rn - _age, {MIN_BARS}) AS _signal_age",
     )
+    rows = rows.selectExpr("*", f"{_ewma('_line', '_signal_age', '0.2d', by)} AS _signal")
+    known = {
+        "rsi": (RSI_ROWS, "CASE WHEN _loss = 0 THEN 100d ELSE 100 - 100 / (1 + _gain / _loss) END"),
+        "macd": (MIN_BARS, "_line"),
+        "macd_signal": (SIGNAL_START, "_signal"),
+        "macd_hist": (SIGNAL_START, "_line - _signal"),
+        "bb_high": (BAND_ROWS, "_mid + 2 * _dev"),
+        "bb_mid": (BAND_ROWS, "_mid"),
+        "bb_low": (BAND_ROWS, "_mid - 2 * _dev"),
+    }
+    return rows.selectExpr("*", *[f"CASE WHEN rn >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()])
 
 
 def indicator_series(
@@ -73,7 +65,7 @@ def indicator_series(
     slice_seconds: int = B.SLICE_SECONDS,
 ) -> DataFrame:
     """Every indicator on every bar: symbol, ts, close, rn and INDICATORS (NULL while warming up)."""
-    closes = bars.select("symbol", "ts", "close").filter(F.col("close").isNotNull() & ~F.isnan("close"))
+    closes = bars.select("symbol", "ts", "close").filter(USABLE)
     rows = B.blocked(B.numbered(closes, slice_seconds), block_rows, halo_rows)
     done = _add_indicators(rows, ["symbol", "_block"])
     return done.filter("_own").select("symbol", "ts", "close", "rn", *INDICATORS)
@@ -81,90 +73,73 @@ def indicator_series(
 
 def indicator_latest(bars: DataFrame) -> DataFrame:
     """Indicators of each symbol's last bar, read from its newest bars only; n counts those bars."""
-    closes = bars.select("symbol", "ts", "close").filter(F.col("close").isNotNull() & ~F.isnan("close"))
+    closes = bars.select("symbol", "ts", "close").filter(USABLE)
     done = _add_indicators(B.latest(closes), ["symbol"])
     return done.filter("_own").select("symbol", "ts", "close", "n", *INDICATORS)
 
 
 def history_gate(bars: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
     """Usable bars per symbol and whether they suffice."""
-    usable = F.count_if(F.col("close").isNotNull() & ~F.isnan("close"))
-    return bars.groupBy("symbol").agg(usable.alias("n_close")).select(
-        "symbol", "n_close",
-        F.when(F.col("n_close") < min_bars, "insufficient data").otherwise("ok").alias("status"),
+    usable = F.expr(f"count_if({USABLE}) AS n_close")
+    return bars.groupBy("symbol").agg(usable).selectExpr(
+        "symbol", "n_close", f"CASE WHEN n_close < {min_bars} THEN 'insufficient data' ELSE 'ok' END AS status"
     )
 
 
 def scored(latest: DataFrame) -> DataFrame:
     """Adds ta_score and the ordered list of reasons ta_signals; symbols with too few bars drop out."""
-    rsi, hist, close = F.col("rsi"), F.col("macd_hist"), F.col("close")
-    oversold, overbought = rsi < 30, rsi > 70
-    bullish = (hist > 0) & (F.col("macd") > F.col("macd_signal"))
-    bearish = hist < 0
-    below, above = close < F.col("bb_low"), close > F.col("bb_high")
+    bullish, bearish = "macd_hist > 0 AND macd > macd_signal", "macd_hist < 0"
     score = (
-        F.when(oversold, 2).when(overbought, -2).otherwise(0)
-        + F.when(bullish, 1).when(bearish, -1).otherwise(0)
-        + F.when(below, 1).when(above, -1).otherwise(0)
+        "CASE WHEN rsi < 30 THEN 2 WHEN rsi > 70 THEN -2 ELSE 0 END"
+        f" + CASE WHEN {bullish} THEN 1 WHEN {bearish} THEN -1 ELSE 0 END"
+        " + CASE WHEN close < bb_low THEN 1 WHEN close > bb_high THEN -1 ELSE 0 END"
     )
-    mood = F.when(oversold, "oversold").when(overbought, "overbought").otherwise("neutral")
-    reasons = F.array_compact(F.array(
-        F.concat(F.lit("RSI "), mood, F.lit(" ("), fixed(rsi, 1), F.lit(")")),
-        F.when(bullish, "MACD bullish crossover").when(bearish, "MACD bearish"),
-        F.when(below, "Price below lower Bollinger Band (oversold)")
-        .when(above, "Price above upper Bollinger Band (overbought)"),
-    ))
-    enough = latest.filter(F.col("n") >= MIN_BARS)
-    return enough.withColumn("ta_score", score).withColumn("ta_signals", reasons)
+    mood = "CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' ELSE 'neutral' END"
+    reasons = (
+        f"array_compact(array(concat('RSI ', {mood}, ' (', {fixed_sql('rsi', 1)}, ')'),"
+        f" CASE WHEN {bullish} THEN 'MACD bullish crossover' WHEN {bearish} THEN 'MACD bearish' END,"
+        " CASE WHEN close < bb_low THEN 'Price below lower Bollinger Band (oversold)'"
+        " WHEN close > bb_high THEN 'Price above upper Bollinger Band (overbought)' END))"
+    )
+    return latest.filter(f"n >= {MIN_BARS}").selectExpr("*", f"{score} AS ta_score", f"{reasons} AS ta_signals")
 
 
 def indicator_records(bars: DataFrame, symbols=None) -> DataFrame:
     """The rounded record per symbol."""
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(list(symbols)))
-    digits = {"close": 2, "rsi": 2, "macd": 4, "macd_signal": 4, "macd_hist": 4,
-              "bb_high": 2, "bb_mid": 2, "bb_low": 2}
-    return scored(indicator_latest(bars)).select(
-        "symbol", *[half_even(F.col(c), d).alias(c) for c, d in digits.items()], "ta_score", "ta_signals"
-    )
+    return scored(indicator_latest(bars)).select("symbol", *rounded(RECORD_DIGITS), "ta_score", "ta_signals")
 
 
 def direction_by_score(records: DataFrame) -> DataFrame:
     """One row: total score and the direction it stands for."""
-    total = F.coalesce(F.sum("ta_score"), F.lit(0))
-    return records.agg(total.alias("total_score")).withColumn(
-        "direction",
-        F.when(F.col("total_score") > 1, "BULLISH").when(F.col("total_score") < -1, "BEARISH").otherwise("NEUTRAL"),
+    return records.selectExpr("coalesce(sum(ta_score), 0) AS total_score").selectExpr(
+        "total_score",
+        "CASE WHEN total_score > 1 THEN 'BULLISH' WHEN total_score < -1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction",
     )
 
 
 def best_asset(records: DataFrame, order=None) -> DataFrame:
     """One row: the symbol of largest absolute score; ties go by the given order, then by name."""
+    place = "0"
     if order:
-        listed = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("symbol"))
-        place = F.when(listed > 0, listed).otherwise(F.lit(len(order) + 1))
-    else:
-        place = F.lit(0)
-    ranked = records.select(
-        F.struct((-F.abs("ta_score")).alias("s"), place.alias("p"), F.col("symbol").alias("symbol")).alias("k")
+        place = f"coalesce(nullif(array_position(array({quoted(order)}), symbol), 0), {len(order) + 1})"
+    return records.selectExpr(
+        f"coalesce(min_by(symbol, struct(-abs(ta_score), {place}, symbol)), '{DEFAULT_ASSET}') AS best_asset"
     )
-    return ranked.agg(F.coalesce(F.min("k")["symbol"], F.lit(DEFAULT_ASSET)).alias("best_asset"))
 
 
 def log_returns(bars: DataFrame, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
     """ln(close / previous close) per bar; the first bar of a symbol has none."""
     rows = B.numbered(bars.select("symbol", "ts", "close"), slice_seconds)
-    usable = (F.col("close") > 0) & (F.col("prev_close") > 0)
-    value = F.when(usable, F.ln(F.when(usable, F.col("close") / F.col("prev_close"))))
-    return rows.select("symbol", "ts", "n", value.alias("log_return")).filter(F.col("log_return").isNotNull())
+    value = "CASE WHEN close > 0 AND prev_close > 0 THEN ln(close / prev_close) END AS log_return"
+    return rows.selectExpr("symbol", "ts", "n", value).filter("log_return IS NOT NULL")
 
 
 def volatility(bars: DataFrame, symbols=None, min_bars: int = 10) -> DataFrame:
     """Annualised volatility in percent from the given bars; symbols with too few bars are absent."""
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(list(symbols)))
-    spread = F.stddev_samp("log_return")
-    per_symbol = log_returns(bars).groupBy("symbol").agg(spread.alias("_s"), F.max("n").alias("_n"))
-    return per_symbol.filter(F.col("_n") >= min_bars).select(
-        "symbol", half_even(F.col("_s") * F.sqrt(F.lit(float(TRADING_DAYS))) * 100, 2).alias("volatility")
-    )
+    annual = F.expr(f"stddev_samp(log_return) * sqrt({TRADING_DAYS}d) * 100 AS _annual")
+    per_symbol = log_returns(bars).groupBy("symbol").agg(annual, F.max("n").alias("_n"))
+    return per_symbol.filter(f"_n >= {min_bars}").select("symbol", half_even("_annual", 2).alias("volatility"))

@@ -11,15 +11,16 @@ from ..constants import (
     AGENT_WEIGHTS, DEFAULT_PRICE_PER_THOUSAND, DEFAULT_WEIGHT, MACRO_SERIES, PRICE_PER_MILLION,
     PRICE_PER_THOUSAND, ZONE_LABELS,
 )
-from ..functions.lookup import lookup_table
+from ..functions.lookup import lookup_table, quoted
 from ..functions.parsing import has_any_word
 
 
 def with_agent_weight(signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS) -> DataFrame:
-    table = lookup_table(signals.sparkSession, list(weights.items()), "agent_name string, _w double")
-    return signals.join(table, "agent_name", "left").withColumn(
-        "weight", F.coalesce("_w", F.lit(DEFAULT_WEIGHT))
-    ).drop("_w")
+    """Adds weight; an unlisted agent keeps its row with the default weight."""
+    table = lookup_table(signals.sparkSession, list(weights.items()), "agent_name string, _weight double")
+    return signals.join(table, "agent_name", "left").selectExpr(
+        *signals.columns, f"coalesce(_weight, {DEFAULT_WEIGHT}d) AS weight"
+    )
 
 
 def with_prices(
@@ -29,10 +30,8 @@ def with_prices(
     """Adds price_in and price_out by model."""
     rows = [(model, float(p_in), float(p_out)) for model, (p_in, p_out) in prices.items()]
     table = lookup_table(calls.sparkSession, rows, "model string, _in double, _out double")
-    return calls.join(table, "model", "left").select(
-        *calls.columns,
-        F.coalesce("_in", F.lit(float(default[0]))).alias("price_in"),
-        F.coalesce("_out", F.lit(float(default[1]))).alias("price_out"),
+    return calls.join(table, "model", "left").selectExpr(
+        *calls.columns, f"coalesce(_in, {default[0]}d) AS price_in", f"coalesce(_out, {default[1]}d) AS price_out"
     )
 
 
@@ -45,9 +44,9 @@ def with_prices_per_thousand(
 def with_series_name(observations: DataFrame, names: Mapping[str, str] = MACRO_SERIES) -> DataFrame:
     """Adds name; an unlisted series is named by its id."""
     table = lookup_table(observations.sparkSession, list(names.items()), "series_id string, _name string")
-    return observations.join(table, "series_id", "left").withColumn(
-        "name", F.coalesce("_name", "series_id")
-    ).drop("_name")
+    return observations.join(table, "series_id", "left").selectExpr(
+        *observations.columns, "coalesce(_name, series_id) AS name"
+    )
 
 
 def with_zone_label(observations: DataFrame, labels: Mapping[str, str] = ZONE_LABELS) -> DataFrame:
@@ -56,15 +55,14 @@ def with_zone_label(observations: DataFrame, labels: Mapping[str, str] = ZONE_LA
     return observations.join(table, "zone")
 
 
-def ticker_mentions(posts: DataFrame, text, tickers) -> DataFrame:
-    """One row per post and ticker found in its text; a post may hit several, none is dropped."""
-    listed = F.array(*[F.lit(t) for t in sorted(tickers)])
-    lowered = posts.withColumn("_text", F.lower(text))
-    found = F.filter(listed, lambda t: F.contains(F.col("_text"), F.lower(t)))
-    return lowered.withColumn("ticker", F.explode(found)).drop("_text")
+def ticker_mentions(posts: DataFrame, text: str, tickers) -> DataFrame:
+    """One row per post and ticker found in its text (SQL); a post may hit several, none is dropped."""
+    lowered = posts.selectExpr("*", f"lower({text}) AS _text")
+    found = f"explode(filter(array({quoted(sorted(tickers))}), t -> contains(_text, lower(t)))) AS ticker"
+    return lowered.selectExpr(*posts.columns, found)
 
 
-def posts_with_words(posts: DataFrame, text, words) -> DataFrame:
+def posts_with_words(posts: DataFrame, text: str, words) -> DataFrame:
     """Posts whose words meet the list at least once."""
     return posts.filter(has_any_word(text, words))
 
@@ -79,20 +77,14 @@ def run_evidence(signals: DataFrame, flags: DataFrame, key: str = "portfolio_id"
 
     All agents of a run come together in one aggregation instead of a join per agent.
     """
-    by_agent = [
-        F.max(F.when(F.col("agent_name") == agent, F.col("direction"))).alias(column)
-        for agent, column in (
-            ("MarketDataAgent", "market_direction"),
-            ("TechnicalAnalyst", "technical_direction"),
-            ("SentimentAgent", "sentiment_direction"),
-            ("RiskManager", "risk_direction"),
-        )
-    ]
-    runs = signals.groupBy("run_id", key).agg(F.count("*").alias("n_signals"), *by_agent)
-    counted = flags.groupBy(key).agg(F.count("*").alias("_flags"))
-    return runs.join(counted, key, "left").select(
-        "run_id", key, "n_signals",
-        *[F.coalesce(c, F.lit("")).alias(c) for c in
-          ("market_direction", "technical_direction", "sentiment_direction", "risk_direction")],
-        F.coalesce("_flags", F.lit(0)).alias("n_flags"),
+    columns = {
+        "market_direction": "MarketDataAgent", "technical_direction": "TechnicalAnalyst",
+        "sentiment_direction": "SentimentAgent", "risk_direction": "RiskManager",
+    }
+    runs = signals.groupBy("run_id", key).agg(F.expr("count(*) AS n_signals"), *[
+        F.expr(f"max(CASE WHEN agent_name = '{agent}' THEN direction END) AS {name}") for name, agent in columns.items()
+    ])
+    counted = flags.groupBy(key).agg(F.expr("count(*) AS _flags"))
+    return runs.join(counted, key, "left").selectExpr(
+        "run_id", key, "n_signals", *[f"coalesce({c}, '') AS {c}" for c in columns], "coalesce(_flags, 0) AS n_flags"
     )

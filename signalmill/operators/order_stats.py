@@ -10,73 +10,59 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 1000
 
 
-def _bucket(value: Column) -> Column:
-    """Monotone in the value, at most about 1.4 million distinct results over all doubles."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD).cast("bigint")
-
-
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, bucket _b, distinct value _v and its count _c; NULL values are left out."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    return rows.groupBy(*keys, _bucket(F.col("_v")).alias("_b"), "_v").agg(F.count("*").alias("_c"))
+    rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v").filter("_v IS NOT NULL")
+    # monotone in the value, at most about 1.4 million distinct buckets over all doubles
+    bucket = f"CAST(floor(signum(_v) * log1p(abs(_v)) * {BUCKETS_PER_E_FOLD}) AS bigint) AS _b"
+    return rows.selectExpr("*", bucket).groupBy(*keys, "_b", "_v").count().withColumnRenamed("count", "_c")
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, str]) -> DataFrame:
     """keys, n and one column per entry of ``ranks``: the value at that 0-based place in sorted order.
 
-    A rank is an expression over ``n``, the number of non-NULL values of the group.
+    A rank is SQL text over ``n``, the number of non-NULL values of the group.
     """
+    by = ", ".join(keys)
     values = value_counts(df, keys, value)
-    group = W.partitionBy(*keys)
-    per_bucket = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(
+    per_bucket = values.groupBy(*keys, "_b").sum("_c").withColumnRenamed("sum(_c)", "_c").selectExpr(
         "*",
-        F.sum("_c").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
-        F.sum("_c").over(group).alias("n"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()
-    ])
-    below = F.col("_upto") - F.col("_c")
-    local = F.transform(
-        F.filter(wanted, lambda w: (w["rank"] >= below) & (w["rank"] < F.col("_upto"))),
-        lambda w: F.struct(w["name"].alias("_name"), (w["rank"] - below).alias("_rank")),
+        f"sum(_c) OVER (PARTITION BY {by} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _upto",
+        f"sum(_c) OVER (PARTITION BY {by}) AS n",
     )
-    targets = per_bucket.select(*keys, "_b", "n", local.alias("_want")).filter(F.size("_want") > 0)
-    # a group key may be NULL, hence the NULL-safe join
-    cell = [*keys, "_b"]
-    renamed = targets.select(*[F.col(c).alias(f"_t_{c}") for c in cell], "n", "_want")
-    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in cell]
-    upto = F.sum("_c").over(W.partitionBy(*cell).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    hits = values.join(renamed, same).withColumn("_upto", upto)
-    hits = hits.select(*keys, "_v", "_c", "_upto", "n", F.inline("_want")).filter(
-        (F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto"))
-    )
-    return hits.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks],
+    wanted = ", ".join(
+        f"named_struct('_name', '{name}', '_rank', CAST({rank} AS bigint) - _upto + _c)" for name, rank in ranks.items()
     )
+    targets = per_bucket.selectExpr(
+        *[f"{k} AS _t_{k}" for k in keys], "_b AS _t__b", "n",
+        f"filter(array({wanted}), w -> w._rank >= 0 AND w._rank < _c) AS _want",
+    ).filter("size(_want) > 0")
+    hits = values.join(targets, _same([*keys, "_b"], "_t_"))  # only the buckets that hold a rank
+    hits = hits.selectExpr(
+        "*", f"sum(_c) OVER (PARTITION BY {by}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _upto"
+    ).selectExpr(*keys, "_v", "_c", "_upto", "n", "inline(_want)").filter("_rank >= _upto - _c AND _rank < _upto")
+    return hits.groupBy(*keys).agg(*_aggregates({
+        "n": "max(n)", **{name: f"max(CASE WHEN _name = '{name}' THEN _v END)" for name in ranks},
+    }))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, points: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles, exact: keys, n and one column per entry of ``points``."""
-    position = {name: (F.col("n") - 1) * F.lit(p) for name, p in points.items()}
-    ranks: dict[str, Column] = {}
-    for name, at in position.items():
-        ranks[f"{name}__lo"] = F.floor(at)
-        ranks[f"{name}__hi"] = F.ceil(at)
-    found = ranked_values(df, keys, value, ranks)
-    out = []
-    for name, at in position.items():
-        low, high = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*keys, "n", *out)
+    ranks = {}
+    for name, p in points.items():
+        ranks[f"{name}__lo"] = f"floor((n - 1) * {p}d)"
+        ranks[f"{name}__hi"] = f"ceil((n - 1) * {p}d)"
+    between = [
+        f"{name}__lo + ({name}__hi - {name}__lo) * ((n - 1) * {p}d - floor((n - 1) * {p}d)) AS {name}"
+        for name, p in points.items()
+    ]
+    return ranked_values(df, keys, value, ranks).selectExpr(*keys, "n", *between)
 
 
 def box_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -84,18 +70,23 @@ def box_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Works on the value counts, whose shuffle the quartiles already pay for.
     """
-    counts = value_counts(df, keys, value)
-    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    fences = q.select(
-        *[F.col(k).alias(f"_q_{k}") for k in keys], "n", "q1", "median", "q3",
-        (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"),
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
-    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
-    return counts.join(fences, same).groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("outliers"),
+    fences = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).selectExpr(
+        *[f"{k} AS _q_{k}" for k in keys], "n", "q1", "median", "q3",
+        "q1 - 1.5d * (q3 - q1) AS _low", "q3 + 1.5d * (q3 - q1) AS _high",
     )
+    inside = "_v BETWEEN _low AND _high"
+    return value_counts(df, keys, value).join(fences, _same(keys, "_q_")).groupBy(*keys).agg(*_aggregates({
+        "n": "max(n)", "q1": "max(q1)", "median": "max(median)", "q3": "max(q3)",
+        "whisker_low": f"min(CASE WHEN {inside} THEN _v END)",
+        "whisker_high": f"max(CASE WHEN {inside} THEN _v END)",
+        "outliers": f"coalesce(sum(CASE WHEN NOT ({inside}) THEN _c END), 0)",
+    }))
+
+
+def _same(keys: list[str], prefix: str):
+    """Join condition on equal keys where NULL equals NULL."""
+    return F.expr(" AND ".join(f"{k} <=> {prefix}{k}" for k in keys))
+
+
+def _aggregates(named: Mapping[str, str]):
+    return [F.expr(f"{text} AS {name}") for name, text in named.items()]

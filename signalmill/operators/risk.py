@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_POSITION_PCT, MAX_SECTOR_PCT, MAX_VOLATILITY_PCT
-from ..functions.numeric import fixed
-
-FLAG_COLUMNS = ["flag_order", "symbol", "flag"]
+from ..functions.numeric import fixed_sql
 
 
 def high_volatility(volatilities: DataFrame, limit: float = MAX_VOLATILITY_PCT) -> DataFrame:
-    text = F.concat(F.lit("HIGH VOLATILITY: "), F.col("symbol"), F.lit(" at "), fixed(F.col("volatility"), 1), F.lit("%"))
-    return volatilities.filter(F.col("volatility") > limit).select(
-        F.lit(1).alias("flag_order"), "symbol", text.alias("flag")
-    )
+    text = f"concat('HIGH VOLATILITY: ', symbol, ' at ', {fixed_sql('volatility', 1)}, '%')"
+    return volatilities.filter(f"volatility > {limit}").selectExpr("1 AS flag_order", "symbol", f"{text} AS flag")
 
 
 def overweight(positions: DataFrame, key: str = "portfolio_id", limit: float = MAX_POSITION_PCT) -> DataFrame:
-    text = F.concat(
-        F.lit("OVERWEIGHT: "), F.col("symbol"), F.lit(" at "), fixed(F.col("size_pct"), 1),
-        F.lit(f"% (max {limit}%)"),
-    )
-    return positions.filter(F.col("size_pct") > limit).select(
-        key, F.lit(2).alias("flag_order"), "symbol", text.alias("flag")
-    )
+    text = f"concat('OVERWEIGHT: ', symbol, ' at ', {fixed_sql('size_pct', 1)}, '% (max {limit}%)')"
+    return positions.filter(f"size_pct > {limit}").selectExpr(key, "2 AS flag_order", "symbol", f"{text} AS flag")
 
 
 def sector_exposure(positions: DataFrame, key: str = "portfolio_id", limit: float = MAX_SECTOR_PCT) -> DataFrame:
-    total = positions.groupBy(key).agg(F.sum("size_pct").alias("total_exposure"))
-    text = F.concat(
-        F.lit("SECTOR OVEREXPOSURE: "), fixed(F.col("total_exposure"), 1), F.lit(f"% in energy (max {limit}%)")
-    )
-    return total.filter(F.col("total_exposure") > limit).select(
-        key, F.lit(3).alias("flag_order"), F.lit("").alias("symbol"), text.alias("flag")
-    )
+    total = positions.groupBy(key).agg(F.sum("size_pct").alias("total"))
+    text = f"concat('SECTOR OVEREXPOSURE: ', {fixed_sql('total', 1)}, '% in energy (max {limit}%)')"
+    return total.filter(f"total > {limit}").selectExpr(key, "3 AS flag_order", "'' AS symbol", f"{text} AS flag")
 
 
 def risk_flags(positions: DataFrame, volatilities: DataFrame | None = None, key: str = "portfolio_id") -> DataFrame:
@@ -47,24 +34,22 @@ def risk_flags(positions: DataFrame, volatilities: DataFrame | None = None, key:
     own = overweight(positions, key).unionByName(sector_exposure(positions, key))
     if volatilities is None:
         return own
-    market = high_volatility(volatilities).agg(
-        F.sort_array(F.collect_list(F.struct(*FLAG_COLUMNS))).alias("f")
-    ).scalar()
+    listed = F.expr("sort_array(collect_list(struct(flag_order, symbol, flag)))")
+    market = high_volatility(volatilities).agg(listed).scalar()
     everyone = positions.select(key).distinct().select(key, F.inline(market))
     return everyone.unionByName(own)
 
 
 def flag_lists(flags: DataFrame, key: str = "portfolio_id") -> DataFrame:
     """Flag count and ordered flag texts per portfolio, the form a recommendation stores."""
-    ordered = F.sort_array(F.collect_list(F.struct(*FLAG_COLUMNS)))
-    return flags.groupBy(key).agg(
-        F.count("*").alias("n_flags"), F.transform(ordered, lambda f: f["flag"]).alias("flags")
-    )
+    ordered = "transform(sort_array(collect_list(struct(flag_order, symbol, flag))), f -> f.flag)"
+    return flags.groupBy(key).agg(F.expr("count(*) AS n_flags"), F.expr(f"{ordered} AS flags"))
 
 
-def overridden_direction(n_flags: Column, parsed: Column) -> Column:
-    return F.when(n_flags >= 1, "BEARISH").otherwise(parsed)
+def flag_counts(flags: DataFrame, key: str = "portfolio_id") -> DataFrame:
+    return flags.groupBy(key).agg(F.expr("count(*) AS n_flags"))
 
 
-def overridden_strength(n_flags: Column, parsed: Column) -> Column:
-    return F.when(n_flags >= 2, "STRONG").when(n_flags == 1, "MODERATE").otherwise(parsed)
+# the direction and strength that n_flags force on a risk signal
+OVERRIDDEN_DIRECTION = "CASE WHEN n_flags >= 1 THEN 'BEARISH' ELSE {parsed} END"
+OVERRIDDEN_STRENGTH = "CASE WHEN n_flags >= 2 THEN 'STRONG' WHEN n_flags = 1 THEN 'MODERATE' ELSE {parsed} END"

@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import BEARISH_WORDS, BULLISH_WORDS, MENTION_TICKERS
+from ..functions.lookup import quoted
 from ..functions.numeric import half_even
 from ..functions.parsing import has_any_word
 from .lookups import ticker_mentions
 
 MARGIN = 15
-
-
-def post_text() -> Column:
-    return F.concat(F.col("title"), F.lit(" "), F.coalesce("description", F.lit("")))
+POST_TEXT = "concat(title, ' ', coalesce(description, ''))"
 
 
 def dedupe_headlines(articles: DataFrame, queries, per_query: int = 10) -> DataFrame:
@@ -24,14 +21,12 @@ def dedupe_headlines(articles: DataFrame, queries, per_query: int = 10) -> DataF
     Expects query, url, published_at and any further columns. The limit per query acts before the
     shuffle, so what is deduplicated has at most len(queries) * per_query rows.
     """
-    listed = F.array(*[F.lit(q) for q in queries])
-    chosen = articles.filter(F.col("query").isin(list(queries)))
-    newest = W.partitionBy("query").orderBy(F.col("published_at").desc(), F.col("url"))
-    top = chosen.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= per_query)
-    top = top.withColumn("query_order", F.array_position(listed, F.col("query")).cast("int"))
-    place = F.struct("query_order", "rank")
-    first = F.row_number().over(W.partitionBy("url").orderBy(place))
-    return top.withColumn("_copy", first).filter(F.col("_copy") == 1).drop("_copy")
+    top = articles.filter(F.col("query").isin(list(queries))).selectExpr(
+        "*", "row_number() OVER (PARTITION BY query ORDER BY published_at DESC, url) AS rank"
+    ).filter(f"rank <= {per_query}")
+    ordered = top.selectExpr("*", f"CAST(array_position(array({quoted(queries)}), query) AS int) AS query_order")
+    copies = ordered.selectExpr("*", "row_number() OVER (PARTITION BY url ORDER BY query_order, rank) AS _copy")
+    return copies.filter("_copy = 1").drop("_copy")
 
 
 def recent_headlines(articles: DataFrame, limit: int = 15) -> DataFrame:
@@ -41,49 +36,44 @@ def recent_headlines(articles: DataFrame, limit: int = 15) -> DataFrame:
 
 def with_polarity(posts: DataFrame, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> DataFrame:
     """Adds polarity; a post with words of both lists is bullish."""
-    text = post_text()
-    return posts.withColumn(
-        "polarity",
-        F.when(has_any_word(text, bullish), "bullish").when(has_any_word(text, bearish), "bearish").otherwise("neutral"),
-    )
+    polarity = F.when(has_any_word(POST_TEXT, bullish), "bullish").when(has_any_word(POST_TEXT, bearish), "bearish")
+    return posts.withColumn("polarity", polarity.otherwise("neutral"))
 
 
 def top_tickers(posts: DataFrame, tickers=MENTION_TICKERS, limit: int = 5) -> DataFrame:
     """Posts mentioning each ticker, most mentioned first, ties by ticker."""
-    counts = ticker_mentions(posts, post_text(), tickers).groupBy("ticker").agg(F.count("*").alias("mentions"))
-    return counts.orderBy(F.col("mentions").desc(), "ticker").limit(limit)
+    counts = ticker_mentions(posts, POST_TEXT, tickers).groupBy("ticker").agg(F.expr("count(*) AS mentions"))
+    return counts.orderBy(F.desc("mentions"), "ticker").limit(limit)
 
 
 def summary(posts: DataFrame, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> DataFrame:
     """One row of counts and shares."""
-    polar = with_polarity(posts, bullish, bearish)
-    counts = polar.agg(*[
-        F.count_if(F.col("polarity") == p).alias(f"{p}_count") for p in ("bullish", "bearish", "neutral")
-    ], F.count("*").alias("total_posts"))
-    total = F.greatest("total_posts", F.lit(1))
-    return counts.select(
-        "*",
-        half_even(F.col("bullish_count") / total * 100, 1).alias("bullish_pct"),
-        half_even(F.col("bearish_count") / total * 100, 1).alias("bearish_pct"),
+    counts = with_polarity(posts, bullish, bearish).selectExpr(
+        *[f"count_if(polarity = '{p}') AS {p}_count" for p in ("bullish", "bearish", "neutral")],
+        "count(*) AS total_posts",
+    )
+    shares = [f"{p}_count / greatest(total_posts, 1) * 100 AS {p}_pct" for p in ("bullish", "bearish")]
+    return counts.selectExpr("*", *shares).withColumns(
+        {c: half_even(c, 1) for c in ("bullish_pct", "bearish_pct")}
     )
 
 
-def margin_direction(bullish: Column, bearish: Column, margin: float = MARGIN) -> Column:
+def margin_direction(bullish: str = "bullish_pct", bearish: str = "bearish_pct", margin: float = MARGIN) -> Column:
     """A side wins when it leads by more than the margin; missing shares count as 50."""
-    bull, bear = F.coalesce(bullish, F.lit(50.0)), F.coalesce(bearish, F.lit(50.0))
-    return F.when(bull > bear + margin, "BULLISH").when(bear > bull + margin, "BEARISH").otherwise("NEUTRAL")
+    bull, bear = f"coalesce({bullish}, 50d)", f"coalesce({bearish}, 50d)"
+    return F.expr(
+        f"CASE WHEN {bull} > {bear} + {margin} THEN 'BULLISH' WHEN {bear} > {bull} + {margin} THEN 'BEARISH' ELSE 'NEUTRAL' END"
+    )
 
 
 def with_margin(summary_row: DataFrame) -> DataFrame:
-    return summary_row.withColumn("direction", margin_direction(F.col("bullish_pct"), F.col("bearish_pct")))
+    return summary_row.withColumn("direction", margin_direction())
 
 
 def pie(summary_row: DataFrame) -> DataFrame:
     """Shares for display; the neutral share is what the rounded others leave."""
-    return summary_row.select(
-        "bullish_pct", "bearish_pct",
-        half_even(100 - F.col("bullish_pct") - F.col("bearish_pct"), 6).alias("neutral_pct"),
-    )
+    rest = summary_row.selectExpr("bullish_pct", "bearish_pct", "100 - bullish_pct - bearish_pct AS neutral_pct")
+    return rest.withColumn("neutral_pct", half_even("neutral_pct", 6))
 
 
 def directed(parsed: Column, fallback: Column) -> Column:

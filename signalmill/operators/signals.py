@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AGENT_WEIGHTS, ASSET_UNIVERSE, DEFAULT_ASSET, DIRECTIONS, STRENGTHS
 from ..functions import parsing as P
+from ..functions.lookup import quoted
 from ..functions.times import iso_date, iso_utc
+from .risk import OVERRIDDEN_DIRECTION, OVERRIDDEN_STRENGTH, flag_counts
+from .sentiment import directed
 
 AGENTS = tuple(AGENT_WEIGHTS)
 
 
 def parsed(responses: DataFrame) -> DataFrame:
     """Adds direction, strength, confidence and asset read from response_text."""
-    text = F.col("response_text")
+    text = "response_text"
     return responses.select(
         "*",
         P.direction_of(text).alias("direction"),
@@ -28,13 +31,11 @@ def parsed(responses: DataFrame) -> DataFrame:
 
 def signal_records(signals: DataFrame) -> DataFrame:
     """Stored form: ISO timestamp, its UTC date as key, evidence as JSON text."""
-    evidence = F.to_json(F.struct("direction", "strength", "confidence"))
+    evidence = "raw_data" if "raw_data" in signals.columns else "to_json(struct(direction, strength, confidence)) AS raw_data"
     return signals.select(
         "run_id", "agent_name", "asset", "direction", "strength", "confidence",
-        F.col("response_text").alias("reasoning"),
-        iso_utc(F.col("ts")).alias("timestamp"),
-        iso_date(F.col("ts")).alias("date"),
-        (F.col("raw_data") if "raw_data" in signals.columns else evidence).alias("raw_data"),
+        F.col("response_text").alias("reasoning"), iso_utc("ts").alias("timestamp"), iso_date("ts").alias("date"),
+        F.expr(evidence),
     )
 
 
@@ -47,8 +48,7 @@ def market_signal(responses: DataFrame, snapshot: DataFrame | None = None) -> Da
     rows = agent_rows(responses, "MarketDataAgent")
     if snapshot is None:
         return rows
-    evidence = snapshot.agg(F.max(F.to_json(F.struct("prices", "macro")))).scalar()
-    return rows.withColumn("raw_data", evidence)
+    return rows.withColumn("raw_data", snapshot.selectExpr("max(to_json(struct(prices, macro)))").scalar())
 
 
 def technical_signal(responses: DataFrame, best_asset: DataFrame) -> DataFrame:
@@ -58,55 +58,49 @@ def technical_signal(responses: DataFrame, best_asset: DataFrame) -> DataFrame:
 
 def sentiment_signal(responses: DataFrame, margin: DataFrame) -> DataFrame:
     """Sentiment agent rows; a NEUTRAL text falls back to the one-row ``margin`` direction."""
-    from .sentiment import directed
-
-    rows = agent_rows(responses, "SentimentAgent")
     fallback = margin.select("direction").scalar()
-    return rows.withColumn("direction", directed(F.col("direction"), fallback)).withColumn(
-        "asset", F.lit(DEFAULT_ASSET)
+    return agent_rows(responses, "SentimentAgent").withColumns(
+        {"direction": directed(F.col("direction"), fallback), "asset": F.lit(DEFAULT_ASSET)}
     )
 
 
 def risk_signal(responses: DataFrame, flags: DataFrame, key: str = "portfolio_id") -> DataFrame:
     """Risk agent rows; active flags of the run's portfolio override direction and strength."""
-    from .risk import overridden_direction, overridden_strength
-
-    counted = flags.groupBy(key).agg(F.count("*").alias("n_flags"))
-    rows = agent_rows(responses, "RiskManager").join(counted, key, "left")
-    rows = rows.withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
-    return rows.withColumn("direction", overridden_direction(F.col("n_flags"), F.col("direction"))).withColumn(
-        "strength", overridden_strength(F.col("n_flags"), F.col("strength"))
-    ).withColumn("asset", F.lit(DEFAULT_ASSET))
-
-
-def _outside(value: Column, low: float, high: float) -> Column:
-    return value.isNull() | F.isnan(value) | (value < low) | (value > high)
+    rows = agent_rows(responses, "RiskManager").join(flag_counts(flags, key), key, "left")
+    return rows.withColumn("n_flags", F.expr("coalesce(n_flags, 0)")).withColumns({
+        "direction": F.expr(OVERRIDDEN_DIRECTION.format(parsed="direction")),
+        "strength": F.expr(OVERRIDDEN_STRENGTH.format(parsed="strength")),
+        "asset": F.lit(DEFAULT_ASSET),
+    })
 
 
 def with_reasons(rows: DataFrame) -> DataFrame:
     """Adds reasons: what is wrong with a row; empty for a good one."""
-    checks: list[tuple[Column, str]] = [
-        (F.col("agent_name").isNull(), "agent_name missing"),
-        (F.col("asset").isNull(), "asset missing"),
-        (~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)), "direction invalid"),
-        (~F.coalesce(F.col("strength").isin(*STRENGTHS), F.lit(False)), "strength invalid"),
-        (_outside(F.col("confidence"), 0.0, 1.0), "confidence outside 0..1"),
-    ]
+    def one_of(column: str, values) -> str:
+        return f"coalesce({column} IN ({quoted(values)}), false)"
+
+    checks = {
+        "agent_name missing": "agent_name IS NULL",
+        "asset missing": "asset IS NULL",
+        "direction invalid": f"NOT {one_of('direction', DIRECTIONS)}",
+        "strength invalid": f"NOT {one_of('strength', STRENGTHS)}",
+        "confidence outside 0..1": "NOT coalesce(confidence BETWEEN 0 AND 1, false)",
+    }
     if "position_size_pct" in rows.columns:
-        checks.append((_outside(F.col("position_size_pct"), 0.0, 100.0), "position size outside 0..100"))
-    return rows.withColumn(
-        "reasons", F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))
-    )
+        checks["position size outside 0..100"] = "NOT coalesce(position_size_pct BETWEEN 0 AND 100, false)"
+    found = ", ".join(f"CASE WHEN {bad} THEN '{reason}' END" for reason, bad in checks.items())
+    return rows.selectExpr("*", f"array_compact(array({found})) AS reasons")
 
 
 def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with reasons)."""
     checked = with_reasons(rows)
-    return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
+    return checked.filter("size(reasons) = 0").drop("reasons"), checked.filter("size(reasons) > 0")
 
 
-def known_asset(asset: Column) -> Column:
-    return asset.isin(*ASSET_UNIVERSE)
+def in_universe(rows: DataFrame) -> DataFrame:
+    """Rows whose asset belongs to the tradable universe."""
+    return rows.filter(F.col("asset").isin(*ASSET_UNIVERSE))
 
 
 AgentFunction = Callable[[DataFrame], DataFrame]

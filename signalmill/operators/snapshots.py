@@ -21,7 +21,7 @@ def last_common_row(bars: DataFrame, as_of: Column, symbols=None, days: int = 5)
     recent = scan_bars(bars, as_of, symbols, days)
     newest = recent.agg(F.max("ts")).scalar()
     return recent.filter((F.col("ts") == newest) & F.col("close").isNotNull() & ~F.isnan("close")).select(
-        "symbol", half_even(F.col("close"), 4).alias("price")
+        "symbol", half_even("close", 4).alias("price")
     )
 
 
@@ -47,7 +47,7 @@ def zone_snapshot(prices: DataFrame, as_of: Column, labels=ZONE_LABELS, days: in
 
 def series_trend(observations: DataFrame, as_of: Column, series: str, weeks: int = 12) -> DataFrame:
     return series_window(observations, as_of, weeks * 7, [series]).select(
-        F.date_format("d", "yyyy-MM-dd").alias("date"), half_even(F.col("value"), 2).alias("price")
+        F.date_format("d", "yyyy-MM-dd").alias("date"), half_even("value", 2).alias("price")
     )
 
 
@@ -59,10 +59,9 @@ def mix_share(generation: DataFrame) -> DataFrame:
     latest = generation.groupBy("zone", "fuel").agg(F.max_by("mw", "d").alias("mw"), F.max("d").alias("d"))
     zone = W.partitionBy("zone")
     current = latest.withColumn("_newest", F.max("d").over(zone)).filter(F.col("d") == F.col("_newest"))
-    total = current.withColumn("_total", F.sum("mw").over(zone))
-    return total.filter((F.col("_total") != 0) & (F.col("mw") > 0)).select(
-        "zone", "fuel", half_even(F.col("mw") / F.col("_total") * 100, 2).alias("share_pct")
-    )
+    total = current.withColumn("_total", F.sum("mw").over(zone)).filter("_total <> 0 AND mw > 0")
+    share = total.withColumn("share_pct", F.expr("mw / _total * 100"))
+    return share.select("zone", "fuel", half_even("share_pct", 2).alias("share_pct"))
 
 
 def daily_macro(observations: DataFrame, names=MACRO_SERIES, days: int = MACRO_DAYS) -> DataFrame:
@@ -72,7 +71,8 @@ def daily_macro(observations: DataFrame, names=MACRO_SERIES, days: int = MACRO_D
     """
     rows = observations.filter(F.col("series_id").isin(list(names))).dropna(subset=["value"])
     following = F.lead("d").over(W.partitionBy("series_id").orderBy("d"))
-    end = F.least(F.date_sub(F.coalesce(following, F.date_add("d", days + 1)), 1), F.date_add("d", days))
+    rows = rows.withColumn("_next", following)
+    end = F.least(F.date_sub(F.coalesce("_next", F.date_add("d", days + 1)), 1), F.date_add("d", days))
     return rows.select(F.explode(F.sequence("d", end)).alias("d"), F.col("series_id").alias("key"), "value")
 
 

@@ -14,10 +14,10 @@ from ..operators.tables import last_write
 def write_dated(df: DataFrame, path: str, by: Sequence[str] = ("date",), fmt: str = "json") -> None:
     """Write rows below ``by=value`` folders, replacing only the folders that get rows.
 
-    Rows of a folder are split over several writers, so one large day does not become one task.
+    Rows are brought together by folder to avoid small files; a folder too large for one task is split.
     """
     (
-        df.write.mode("overwrite").format(fmt).partitionBy(*by)
+        df.hint("rebalance", *by).write.mode("overwrite").format(fmt).partitionBy(*by)
         .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").save(path)
     )
 
@@ -35,15 +35,19 @@ def listed_keys(spark: SparkSession, path: str, schema: str | StructType, fmt: s
 
 def write_batch(df: DataFrame, path: str, batch: int, by: Sequence[str] = ("date",)) -> None:
     """Store the rows of one write; writing a batch number again replaces that batch, so a retry is safe."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
 
 
-def read_keyed(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def read_keyed(
+    spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str] = (),
+) -> DataFrame:
     """The table as of its last batch: one row per key, later batches replacing whole rows."""
-    rows = spark.read.option("basePath", path).parquet(path)
+    rows = spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path)
     return last_write(rows, keys, ["batch", *order]).drop("batch")
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], by: Sequence[str] = ("date",)) -> None:
+def compact(
+    spark: SparkSession, path: str, schema: str, target: str, keys: Sequence[str], by: Sequence[str] = ("date",),
+) -> None:
     """Write the current state of a keyed table as batch 0 of a fresh path."""
-    write_batch(read_keyed(spark, path, keys), target, 0, by)
+    write_batch(read_keyed(spark, path, schema, keys), target, 0, by)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.numeric import half_even, to_float
+from ..functions.numeric import half_even, to_float_sql
 
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}"
 MONTH_PATTERN = r"^\d{4}-\d{2}$"
@@ -27,7 +27,7 @@ def _newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
 def _prices(rows: DataFrame, key: str, timestamp: Column, unit: str, source: str) -> DataFrame:
     return rows.select(
         F.col(key).alias("commodity"),
-        to_float(F.col("value")).alias("price"),
+        F.expr(to_float_sql("value")).alias("price"),
         F.lit(unit).alias("unit"),
         timestamp.alias("timestamp"),
         F.lit(source).alias("source"),
@@ -61,7 +61,7 @@ def monthly_prices(
 def inventory_delta(payloads: DataFrame, key: str = "series_id") -> DataFrame:
     """Newest weekly level per series and its change against the week before."""
     two = _newest(series_rows(payloads, [key]), key, 2).withColumn(
-        "_level", F.when(F.col("value").isNull(), F.lit(0.0)).otherwise(to_float(F.col("value")))
+        "_level", F.expr(f"CASE WHEN value IS NULL THEN 0d ELSE {to_float_sql('value')} END")
     )
     first, second = F.col("_rank") == 1, F.col("_rank") == 2
     per_series = two.groupBy(key).agg(
@@ -70,10 +70,8 @@ def inventory_delta(payloads: DataFrame, key: str = "series_id") -> DataFrame:
         F.max(F.when(second, F.col("_level"))).alias("_previous"),
         F.count_if(F.col("_level").isNull()).alias("_bad"),
     )
-    return per_series.filter(F.col("_bad") == 0).select(
-        key, "date", "inventory_mmbbl",
-        half_even(F.col("inventory_mmbbl") - F.col("_previous"), 2).alias("change_mmbbl"),
-    )
+    delta = per_series.filter("_bad = 0").withColumn("change_mmbbl", F.expr("inventory_mmbbl - _previous"))
+    return delta.select(key, "date", "inventory_mmbbl", half_even("change_mmbbl", 2).alias("change_mmbbl"))
 
 
 def news_rows(

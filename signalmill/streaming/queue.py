@@ -11,6 +11,7 @@ from ..sources.landed import read_keyed, write_batch
 from .windows import drain
 
 MESSAGE = "message_id string, attempt int, body string"
+OUTCOME = "message_id string, attempt int, body string, status string"
 EVENT_BODY = "event_type string, date string, s3_key string"
 
 
@@ -56,7 +57,7 @@ def consume(
 
 def reland(spark: SparkSession, out: str, landing: str) -> int:
     """Land the messages that are due for redelivery; returns how many."""
-    rows = read_keyed(spark, out, ["message_id"], ["attempt"]).filter(F.col("status") == "retry")
+    rows = read_keyed(spark, out, OUTCOME, ["message_id"], ["attempt"]).filter(F.col("status") == "retry")
     due = rows.select("message_id", (F.col("attempt") + 1).alias("attempt"), "body")
     count = due.count()
     if count:
@@ -66,4 +67,4 @@ def reland(spark: SparkSession, out: str, landing: str) -> int:
 
 def outcome(spark: SparkSession, out: str) -> DataFrame:
     """Latest state of every message."""
-    return read_keyed(spark, out, ["message_id"], ["attempt"])
+    return read_keyed(spark, out, OUTCOME, ["message_id"], ["attempt"])

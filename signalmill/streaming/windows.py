@@ -13,6 +13,7 @@ from ..operators.metrics import evaluated, windowed_sums
 from ..sources.landed import read_keyed, write_batch
 
 WATERMARK = "10 minutes"
+WINDOW_ROWS = "metric string, start timestamp, total double, n bigint"
 
 
 def event_time(stream: DataFrame, ts: str = "ts") -> DataFrame:
@@ -54,4 +55,4 @@ def alarm_states(
     spark: SparkSession, path: str, rules=ALARM_RULES, seconds: int = ALARM_PERIOD_SECONDS,
 ) -> DataFrame:
     """Alarm states over the windows a stream has stored so far."""
-    return evaluated(read_keyed(spark, path, ["metric", "start"]), rules, seconds)
+    return evaluated(read_keyed(spark, path, WINDOW_ROWS, ["metric", "start"]), rules, seconds)
