@@ -30,6 +30,11 @@ def half_even(value: str, digits: int) -> Column:
     return F.expr(half_even_sql(value, digits))
 
 
+def scaled_round_sql(value: str, digits: int) -> str:
+    """Column-wise rounding: the scaled product to the nearest whole number, ties to even."""
+    return f"rint({value} * {10**digits}d) / {10**digits}d"
+
+
 def rounded(digits: dict[str, int]) -> list[Column]:
     """Each named column rounded to its digits, under its own name."""
     return [half_even(name, d).alias(name) for name, d in digits.items()]

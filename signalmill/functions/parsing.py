@@ -12,25 +12,25 @@ from .numeric import half_even_sql
 CONFIDENCE_PATTERN = r"(?iU)confidence[:\s]+(\d+(?:\.\d+)?)\s*%?"
 PERCENT_PATTERN = r"(?U)(\d+(?:\.\d+)?)\s*%"
 POSITION_SIZE_PATTERN = r"(?iU)POSITION_SIZE[:\s]+(\d+(?:\.\d+)?)\s*%?"
-WHITESPACE = r"[\s\x1c-\x1f]"
+WHITESPACE = r"[\s\x1c-\x1f]"  # needs (?U), with which \s covers Unicode
 
 
 def _first_number(text: str, pattern: str) -> str:
     return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', 1), '') AS double)"
 
 
-def direction_of(text: str) -> Column:
-    """BULLISH words win over BEARISH words; substring matches, as in BELONG."""
+def direction_of(upper: str) -> Column:
+    """BULLISH words win over BEARISH words; substring matches in upper-case text, as in BELONG."""
     return F.expr(
-        f"CASE WHEN rlike(upper({text}), 'BULLISH|BUY|LONG') THEN 'BULLISH'"
-        f" WHEN rlike(upper({text}), 'BEARISH|SELL|SHORT') THEN 'BEARISH' ELSE 'NEUTRAL' END"
+        f"CASE WHEN rlike({upper}, 'BULLISH|BUY|LONG') THEN 'BULLISH'"
+        f" WHEN rlike({upper}, 'BEARISH|SELL|SHORT') THEN 'BEARISH' ELSE 'NEUTRAL' END"
     )
 
 
-def strength_of(text: str) -> Column:
+def strength_of(upper: str) -> Column:
     return F.expr(
-        f"CASE WHEN rlike(upper({text}), 'STRONG|HIGH') THEN 'STRONG'"
-        f" WHEN rlike(upper({text}), 'MODERATE|MEDIUM') THEN 'MODERATE' ELSE 'WEAK' END"
+        f"CASE WHEN rlike({upper}, 'STRONG|HIGH') THEN 'STRONG'"
+        f" WHEN rlike({upper}, 'MODERATE|MEDIUM') THEN 'MODERATE' ELSE 'WEAK' END"
     )
 
 
@@ -43,16 +43,16 @@ def confidence_of(text: str) -> Column:
     )
 
 
-def stated_asset_sql(text: str) -> str:
-    """First listed asset on the first ``ASSET:`` line that names one; NULL when there is none."""
+def stated_asset_sql(upper: str) -> str:
+    """First listed asset on the first ``ASSET:`` line of upper-case text that names one, else NULL."""
     names = ", ".join(f"'{a}'" for a in PARSED_ASSETS)
-    lines = f"filter(split(upper({text}), '\\n'), line -> contains(line, 'ASSET:'))"
+    lines = f"filter(split({upper}, '\\n'), line -> contains(line, 'ASSET:'))"
     hits = f"transform({lines}, line -> get(filter(array({names}), a -> contains(line, a)), 0))"
     return f"get(array_compact({hits}), 0)"
 
 
-def asset_of(text: str, default: str = DEFAULT_ASSET) -> Column:
-    return F.expr(f"coalesce({stated_asset_sql(text)}, '{default}')")
+def asset_of(upper: str, default: str = DEFAULT_ASSET) -> Column:
+    return F.expr(f"coalesce({stated_asset_sql(upper)}, '{default}')")
 
 
 def position_size_of(text: str, default: str) -> Column:
@@ -86,5 +86,4 @@ def estimated_tokens_sql(text: str) -> str:
 def has_any_word(text: str, words) -> Column:
     """Does a whitespace-separated word of the text (SQL) equal one of ``words``, case ignored?"""
     listed = "|".join(rf"\Q{w}\E" for w in words)
-    pattern = rf"(?U)(?:\A|{WHITESPACE})(?:{listed})(?:\z|{WHITESPACE})"
-    return F.lower(F.expr(text)).rlike(pattern)
+    return F.expr(f"concat(' ', lower({text}), ' ')").rlike(f"(?U){WHITESPACE}(?:{listed}){WHITESPACE}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PRICE_PER_MILLION
-from ..functions.numeric import half_even, half_even_sql, ratio_sql, rounded
+from ..functions.numeric import half_even, half_even_sql, ratio_sql, rounded, scaled_round_sql
 from ..functions.parsing import estimated_tokens_sql
 from .lookups import with_prices, with_prices_per_thousand
 from .order_stats import box_bounds, quantiles, ranked_values
@@ -181,7 +181,7 @@ def dashboard_summary(calls: DataFrame, key: str = "model_name", approximate: bo
     if not approximate:
         stats = _joined(stats, quantiles(calls, [key], "total_ms", {"p95_total_ms": 0.95}).drop("n"), [key])
     measures = ("avg_total_ms", "p95_total_ms", "avg_tokens_sec", "total_cost_usd")
-    return stats.select(key, "calls", *rounded({c: 2 for c in measures}))
+    return stats.selectExpr(key, "calls", *[f"{scaled_round_sql(c, 2)} AS {c}" for c in measures])
 
 
 def cost_by_agent_model(calls: DataFrame, key: str = "model_name") -> DataFrame:

@@ -133,11 +133,12 @@ def recommended(runs: DataFrame, key: str, weights: Mapping[str, float] = AGENT_
     runs = runs.withColumn("raw_score", half_even("raw_score", 4))
     runs = runs.withColumn("score", F.expr(DAMPED.replace("score", "raw_score")))
     runs = runs.withColumn("suggested_size_pct", F.expr(SIZED))
+    runs = runs.withColumn("_upper", F.upper("answer.response_text"))
     text = "answer.response_text"
     return runs.select(
         "run_id", key, "ts", "signals", "n_flags", "flags", "raw_score", "score", "suggested_size_pct",
         iso_date("ts").alias("date"),
-        F.expr(f"coalesce({stated_asset_sql(text)}, {common_asset_sql()}) AS asset"),
+        F.expr(f"coalesce({stated_asset_sql('_upper')}, {common_asset_sql()}) AS asset"),
         "answer.direction", "answer.strength", "answer.confidence",
         position_size_of(text, "suggested_size_pct").alias("position_size_pct"),
         F.col(text).alias("entry_rationale"),

@@ -17,7 +17,7 @@ from ..functions.parsing import has_any_word
 
 def with_agent_weight(signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS) -> DataFrame:
     """Adds weight; an unlisted agent keeps its row with the default weight."""
-    table = lookup_table(signals.sparkSession, list(weights.items()), "agent_name string, _weight double")
+    table = lookup_table(signals.sparkSession, list(weights.items()), ["agent_name", "_weight"])
     return signals.join(table, "agent_name", "left").selectExpr(
         *signals.columns, f"coalesce(_weight, {DEFAULT_WEIGHT}d) AS weight"
     )
@@ -29,7 +29,7 @@ def with_prices(
 ) -> DataFrame:
     """Adds price_in and price_out by model."""
     rows = [(model, float(p_in), float(p_out)) for model, (p_in, p_out) in prices.items()]
-    table = lookup_table(calls.sparkSession, rows, "model string, _in double, _out double")
+    table = lookup_table(calls.sparkSession, rows, ["model", "_in", "_out"])
     return calls.join(table, "model", "left").selectExpr(
         *calls.columns, f"coalesce(_in, {default[0]}d) AS price_in", f"coalesce(_out, {default[1]}d) AS price_out"
     )
@@ -43,7 +43,7 @@ def with_prices_per_thousand(
 
 def with_series_name(observations: DataFrame, names: Mapping[str, str] = MACRO_SERIES) -> DataFrame:
     """Adds name; an unlisted series is named by its id."""
-    table = lookup_table(observations.sparkSession, list(names.items()), "series_id string, _name string")
+    table = lookup_table(observations.sparkSession, list(names.items()), ["series_id", "_name"])
     return observations.join(table, "series_id", "left").selectExpr(
         *observations.columns, "coalesce(_name, series_id) AS name"
     )
@@ -51,7 +51,7 @@ def with_series_name(observations: DataFrame, names: Mapping[str, str] = MACRO_S
 
 def with_zone_label(observations: DataFrame, labels: Mapping[str, str] = ZONE_LABELS) -> DataFrame:
     """Keeps the labelled zones only and adds label."""
-    table = lookup_table(observations.sparkSession, list(labels.items()), "zone string, label string")
+    table = lookup_table(observations.sparkSession, list(labels.items()), ["zone", "label"])
     return observations.join(table, "zone")
 
 

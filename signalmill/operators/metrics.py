@@ -56,9 +56,9 @@ def period_start(seconds: int) -> Column:
 
 def windowed_sums(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_SECONDS) -> DataFrame:
     """Sum and count per window; a window without data is absent."""
-    return metrics.groupBy(*by, period_start(seconds).alias("start")).agg(
-        F.sum("value").alias("total"), F.count("*").alias("n")
-    )
+    window = F.window("ts", f"{seconds} seconds").alias("window")
+    sums = metrics.groupBy(*by, window).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    return sums.select(*by, F.col("window.start").alias("start"), "total", "n")
 
 
 def windowed_percentiles(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_SECONDS) -> DataFrame:
@@ -79,7 +79,7 @@ def evaluated(periods: DataFrame, rules=ALARM_RULES, seconds: int = ALARM_PERIOD
     """
     table = lookup_table(
         periods.sparkSession, [(m, float(t), bool(s)) for m, t, s in rules],
-        "metric string, threshold double, strict boolean",
+        ["metric", "threshold", "strict"],
     )
     total = F.col("total")
     breach = F.when(F.col("strict"), total > F.col("threshold")).otherwise(total >= F.col("threshold"))

@@ -58,15 +58,22 @@ def quantiles(df: DataFrame, keys: list[str], value: str, points: Mapping[str, f
     for name, p in points.items():
         ranks[f"{name}__lo"] = f"floor((n - 1) * {p}d)"
         ranks[f"{name}__hi"] = f"ceil((n - 1) * {p}d)"
-    between = [
-        f"{name}__lo + ({name}__hi - {name}__lo) * ((n - 1) * {p}d - floor((n - 1) * {p}d)) AS {name}"
-        for name, p in points.items()
-    ]
+    between = [_between(f"{name}__lo", f"{name}__hi", f"((n - 1) * {p}d - floor((n - 1) * {p}d))") + f" AS {name}"
+               for name, p in points.items()]
     return ranked_values(df, keys, value, ranks).selectExpr(*keys, "n", *between)
 
 
+def _between(low: str, high: str, part: str) -> str:
+    """Linear interpolation taken from the nearer end, which is what fixes its last digit."""
+    return (
+        f"CASE WHEN {part} >= 0.5 THEN {high} - ({high} - {low}) * (1 - {part})"
+        f" ELSE {low} + ({high} - {low}) * {part} END"
+    )
+
+
 def box_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact quartiles, the outermost values within 1.5 IQR of them, and the number of values beyond.
+    """Exact quartiles, the outermost values within 1.5 IQR of them (a whisker never ends inside the box),
+    and the number of values beyond.
 
     Works on the value counts, whose shuffle the quartiles already pay for.
     """
@@ -77,8 +84,8 @@ def box_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     inside = "_v BETWEEN _low AND _high"
     return value_counts(df, keys, value).join(fences, _same(keys, "_q_")).groupBy(*keys).agg(*_aggregates({
         "n": "max(n)", "q1": "max(q1)", "median": "max(median)", "q3": "max(q3)",
-        "whisker_low": f"min(CASE WHEN {inside} THEN _v END)",
-        "whisker_high": f"max(CASE WHEN {inside} THEN _v END)",
+        "whisker_low": f"least(max(q1), min(CASE WHEN {inside} THEN _v END))",
+        "whisker_high": f"greatest(max(q3), max(CASE WHEN {inside} THEN _v END))",
         "outliers": f"coalesce(sum(CASE WHEN NOT ({inside}) THEN _c END), 0)",
     }))
 

@@ -19,13 +19,12 @@ AGENTS = tuple(AGENT_WEIGHTS)
 
 def parsed(responses: DataFrame) -> DataFrame:
     """Adds direction, strength, confidence and asset read from response_text."""
-    text = "response_text"
-    return responses.select(
-        "*",
-        P.direction_of(text).alias("direction"),
-        P.strength_of(text).alias("strength"),
-        P.confidence_of(text).alias("confidence"),
-        P.asset_of(text).alias("asset"),
+    return responses.withColumn("_upper", F.upper("response_text")).select(
+        *responses.columns,
+        P.direction_of("_upper").alias("direction"),
+        P.strength_of("_upper").alias("strength"),
+        P.confidence_of("response_text").alias("confidence"),
+        P.asset_of("_upper").alias("asset"),
     )
 
 

@@ -162,8 +162,8 @@ VIEWS["box0"] = """
 SELECT model_name, quantile_cont(total_ms, 0.25) AS q1, quantile_cont(total_ms, 0.5) AS median, quantile_cont(total_ms, 0.75) AS q3 FROM calls GROUP BY model_name"""
 VIEWS["box"] = """
 SELECT model_name, count(*) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
-       min(CASE WHEN total_ms >= q1 - 1.5 * (q3 - q1) THEN total_ms END) AS whisker_low,
-       max(CASE WHEN total_ms <= q3 + 1.5 * (q3 - q1) THEN total_ms END) AS whisker_high,
+       least(min(CASE WHEN total_ms >= q1 - 1.5 * (q3 - q1) THEN total_ms END), any_value(q1)) AS whisker_low,
+       greatest(max(CASE WHEN total_ms <= q3 + 1.5 * (q3 - q1) THEN total_ms END), any_value(q3)) AS whisker_high,
        count_if(total_ms < q1 - 1.5 * (q3 - q1) OR total_ms > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM calls JOIN box0 USING (model_name) GROUP BY model_name"""
 
@@ -177,14 +177,23 @@ def call_box_stats(inp):
     return rows.select("model_name", "n", *rounded({c: 6 for c in shown}), "outliers")
 
 
+VIEWS["dash_placed"] = """
+SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY total_ms) - 1 AS place,
+       (count(*) OVER (PARTITION BY model_name) - 1) * 0.95::DOUBLE AS "at" FROM calls"""
 VIEWS["dash0"] = """
-SELECT model_name, count(call_id) AS calls, avg(total_ms) AS a_ms, quantile_cont(total_ms, 0.95) AS p95, avg(tokens_per_sec) AS a_tps,
-       CAST(sum(CAST(cost_usd AS DECIMAL(28,8))) AS DOUBLE) AS cost FROM calls GROUP BY model_name"""
+SELECT model_name, count(call_id) AS calls, avg(total_ms) AS a_ms, avg(tokens_per_sec) AS a_tps, max("at") - floor(max("at")) AS t,
+       max(CASE WHEN place = floor("at") THEN total_ms END) AS lo, max(CASE WHEN place = ceil("at") THEN total_ms END) AS hi,
+       CAST(sum(CAST(cost_usd AS DECIMAL(28,8))) AS DOUBLE) AS cost FROM dash_placed GROUP BY model_name"""
+VIEWS["dash1"] = "SELECT *, CASE WHEN t >= 0.5 THEN hi - (hi - lo) * (1 - t) ELSE lo + (hi - lo) * t END AS p95 FROM dash0"
+
+
+def _two(column: str) -> str:
+    return f"round_even({column} * 100, 0) / 100"
 
 
 @query("call_dashboard_summary", q(f"""
-SELECT model_name, calls, {half_even('a_ms', 2)} AS avg_total_ms, {half_even('p95', 2)} AS p95_total_ms,
-       {half_even('a_tps', 2)} AS avg_tokens_sec, {half_even('cost', 2)} AS total_cost_usd FROM dash0"""))
+SELECT model_name, calls, {_two('a_ms')} AS avg_total_ms, {_two('p95')} AS p95_total_ms,
+       {_two('a_tps')} AS avg_tokens_sec, {_two('cost')} AS total_cost_usd FROM dash1"""))
 def call_dashboard_summary(inp):
     return C.dashboard_summary(inp.calls())
 

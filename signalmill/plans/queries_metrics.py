@@ -179,7 +179,7 @@ def snapshot_trigger(inp):
     """Every landed snapshot announced once."""
     spark = inp.spark
     landing, out = scratch_path(spark, "snapshots"), scratch_path(spark, "events")
-    L.write_dated(snapshots(inp), landing)
+    snapshots(inp).write.json(landing)
     G.on_new_snapshot(
         spark, landing, scratch_path(spark, "state"), schemas.MARKET_SNAPSHOT,
         lambda batch, number: L.write_batch(batch, out, number, ["event_type"]),

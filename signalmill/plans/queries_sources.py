@@ -126,11 +126,11 @@ def scan_fundamentals(inp):
 
 
 @query("scan_dated_json", q(f"""
-SELECT {sql_day('d')} AS date, symbol, close, volume FROM bars_d"""))
+SELECT {sql_day('ts')} AS date, symbol, {sql_stamp('ts')} AS ts, close, volume FROM bars_h"""))
 def scan_dated_json(inp):
     path = scratch_path(inp.spark, "raw")
-    L.write_dated(inp.bars_d().select(day("d").alias("date"), "symbol", "close", "volume"), path)
-    return L.read_dated(inp.spark, path, "symbol string, close double, volume bigint, date string")
+    L.write_dated(inp.bars_h().select(day("ts").alias("date"), "symbol", stamp("ts").alias("ts"), "close", "volume"), path)
+    return L.read_dated(inp.spark, path, "symbol string, ts string, close double, volume bigint, date string")
 
 
 @query("scan_dated_parquet", q(f"""

@@ -132,12 +132,12 @@ def _parsed(inp: Inputs, name: str, column):
 
 @query("resp_direction", q("SELECT run_id, agent_name, direction FROM signals"))
 def resp_direction(inp):
-    return _parsed(inp, "direction", P.direction_of("response_text"))
+    return _parsed(inp, "direction", P.direction_of("upper(response_text)"))
 
 
 @query("resp_strength", q("SELECT run_id, agent_name, strength FROM signals"))
 def resp_strength(inp):
-    return _parsed(inp, "strength", P.strength_of("response_text"))
+    return _parsed(inp, "strength", P.strength_of("upper(response_text)"))
 
 
 @query("resp_confidence", q("SELECT run_id, agent_name, confidence FROM signals"))
@@ -147,7 +147,7 @@ def resp_confidence(inp):
 
 @query("resp_asset", q("SELECT run_id, agent_name, asset FROM signals"))
 def resp_asset(inp):
-    return _parsed(inp, "asset", P.asset_of("response_text"))
+    return _parsed(inp, "asset", P.asset_of("upper(response_text)"))
 
 
 @query("resp_position_size", q("""

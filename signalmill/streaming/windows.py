@@ -27,11 +27,10 @@ def stream_sums(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_
 
 def stream_percentiles(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_SECONDS) -> DataFrame:
     """p50 and p95 per window by mergeable sketch, the form a running stream keeps as state."""
-    window = F.window("ts", f"{seconds} seconds")["start"].alias("start")
-    sketch = lambda p: F.percentile_approx("value", p, 10_000)
-    return event_time(metrics).groupBy(*by, window).agg(
-        F.count("*").alias("n"), sketch(0.5).alias("p50"), sketch(0.95).alias("p95")
-    )
+    window = F.window("ts", f"{seconds} seconds").alias("window")
+    sketches = F.percentile_approx("value", [0.5, 0.95], 10_000).alias("_p")
+    rows = event_time(metrics).groupBy(*by, window).agg(F.count("*").alias("n"), sketches)
+    return rows.selectExpr(*by, "window.start AS start", "n", "_p[0] AS p50", "_p[1] AS p95")
 
 
 def drain(
