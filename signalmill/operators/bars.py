@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SLICE_SECONDS = 7 * 86_400
 BLOCK_ROWS = 1024
 HALO_ROWS = 640
+LATEST_SALTS = 32
 
 
 def resample(ticks: DataFrame, unit: str = "hour") -> DataFrame:
@@ -67,8 +68,12 @@ def blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO
 def latest(bars: DataFrame, rows: int = HALO_ROWS) -> DataFrame:
     """The newest ``rows`` bars per symbol with rn counted inside them and _own on the last one.
 
-    The row limit is applied on the map side already, so a hot symbol sends few rows.
+    The row limit acts on the map side, then on LATEST_SALTS parts of a symbol, then on the symbol, so the
+    last task of a hot symbol gets a fixed number of rows however many tasks read it.
     """
-    aged = bars.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS _age")
+    part = f"pmod(xxhash64(ts), {LATEST_SALTS})"
+    parts = bars.selectExpr("*", f"row_number() OVER (PARTITION BY symbol, {part} ORDER BY ts DESC) AS _place")
+    kept = parts.filter(f"_place <= {rows}").drop("_place")
+    aged = kept.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS _age")
     counted = aged.filter(f"_age <= {rows}").selectExpr("*", "count(*) OVER (PARTITION BY symbol) AS n")
     return counted.selectExpr("*", "n - _age + 1 AS rn", "_age = 1 AS _own").drop("_age")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_POSITION_PCT, MAX_SECTOR_PCT, MAX_VOLATILITY_PCT
+from ..constants import MAX_POSITION_PCT, MAX_SECTOR_PCT, MAX_VOLATILITY_PCT, VOLATILITY_SYMBOLS
 from ..functions.numeric import fixed_sql
 
 
@@ -25,17 +27,21 @@ def sector_exposure(positions: DataFrame, key: str = "portfolio_id", limit: floa
     return total.filter(f"total > {limit}").selectExpr(key, "3 AS flag_order", "'' AS symbol", f"{text} AS flag")
 
 
-def risk_flags(positions: DataFrame, volatilities: DataFrame | None = None, key: str = "portfolio_id") -> DataFrame:
+def risk_flags(
+    positions: DataFrame, volatilities: DataFrame | None = None, key: str = "portfolio_id",
+    symbols: Sequence[str] = VOLATILITY_SYMBOLS,
+) -> DataFrame:
     """One row per flag, in the order (flag_order, symbol) within a portfolio.
 
-    Volatility flags hold for every portfolio; they come from a short parameter list of symbols, so they
-    are attached as one small array. Flags stay rows: nothing gathers a portfolio into one task.
+    Volatility flags hold for every portfolio. They exist for the listed symbols only, so the list bounds
+    the one small array that is attached. Flags stay rows: nothing gathers a portfolio into one task.
     """
     own = overweight(positions, key).unionByName(sector_exposure(positions, key))
     if volatilities is None:
         return own
     listed = F.expr("sort_array(collect_list(struct(flag_order, symbol, flag)))")
-    market = high_volatility(volatilities).agg(listed).scalar()
+    watched = volatilities.filter(F.col("symbol").isin(list(symbols)))
+    market = high_volatility(watched).agg(listed).scalar()
     everyone = positions.select(key).distinct().select(key, F.inline(market))
     return everyone.unionByName(own)
 

@@ -194,7 +194,7 @@ def flag_sector(inp):
 SELECT * FROM own_flags UNION ALL
 SELECT p.portfolio_id, f.* FROM (SELECT DISTINCT portfolio_id FROM positions) p, vol_flags f"""))
 def risk_flags(inp):
-    return R.risk_flags(inp.positions(), volatilities(inp))
+    return R.risk_flags(inp.positions(), volatilities(inp), symbols=SHOWN_SYMBOLS)
 
 
 # --- snapshots ---------------------------------------------------------------------
