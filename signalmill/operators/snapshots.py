@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MACRO_SERIES, ZONE_LABELS
 from ..functions.numeric import half_even
+from ..functions.times import AsOf
 from ..sources.series import scan_bars, series_window
 from .lookups import with_series_name, with_zone_label
 
@@ -16,7 +17,7 @@ NEWS_LIMIT = 10
 MACRO_DAYS = 30
 
 
-def last_common_row(bars: DataFrame, as_of: Column, symbols=None, days: int = 5) -> DataFrame:
+def last_common_row(bars: DataFrame, as_of: AsOf, symbols=None, days: int = 5) -> DataFrame:
     """Closes on the newest time of all symbols together; a symbol without a close then is omitted."""
     recent = scan_bars(bars, as_of, symbols, days)
     newest = recent.agg(F.max("ts")).scalar()
@@ -25,7 +26,7 @@ def last_common_row(bars: DataFrame, as_of: Column, symbols=None, days: int = 5)
     )
 
 
-def latest_per_symbol(bars: DataFrame, as_of: Column, symbols=None, days: int = 5) -> DataFrame:
+def latest_per_symbol(bars: DataFrame, as_of: AsOf, symbols=None, days: int = 5) -> DataFrame:
     """Each symbol's own last close in the look-back."""
     return scan_bars(bars, as_of, symbols, days).groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
 
@@ -34,18 +35,18 @@ def _last(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("value", "d").alias("value"), F.max("d").alias("d"))
 
 
-def macro_snapshot(observations: DataFrame, as_of: Column, names=MACRO_SERIES, days: int = MACRO_DAYS) -> DataFrame:
+def macro_snapshot(observations: DataFrame, as_of: AsOf, names=MACRO_SERIES, days: int = MACRO_DAYS) -> DataFrame:
     """Latest value of every tracked series with its name; a series without a value is absent."""
     recent = series_window(observations, as_of, days, list(names))
     return with_series_name(_last(recent, "series_id"), names)
 
 
-def zone_snapshot(prices: DataFrame, as_of: Column, labels=ZONE_LABELS, days: int = 1) -> DataFrame:
+def zone_snapshot(prices: DataFrame, as_of: AsOf, labels=ZONE_LABELS, days: int = 1) -> DataFrame:
     """Latest price of the labelled zones."""
     return with_zone_label(_last(series_window(prices, as_of, days), "zone"), labels)
 
 
-def series_trend(observations: DataFrame, as_of: Column, series: str, weeks: int = 12) -> DataFrame:
+def series_trend(observations: DataFrame, as_of: AsOf, series: str, weeks: int = 12) -> DataFrame:
     return series_window(observations, as_of, weeks * 7, [series]).select(
         F.date_format("d", "yyyy-MM-dd").alias("date"), half_even("value", 2).alias("price")
     )

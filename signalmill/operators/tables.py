@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import AsOf, days_before
+
 
 def last_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the last written replacing the whole earlier row.
@@ -59,9 +61,9 @@ def agent_log(signals: DataFrame, agent: str = "All", limit: int = 10) -> DataFr
     return newest.select("agent_name", "direction", "asset", F.substring("timestamp", 1, 16).alias("minute"), "reasoning")
 
 
-def retention(table: DataFrame, as_of: Column, date: str, archive_after: int | None, expire_after: int | None) -> DataFrame:
+def retention(table: DataFrame, as_of: AsOf, date: str, archive_after: int | None, expire_after: int | None) -> DataFrame:
     """Adds tier: keep, archive or expire by age in days."""
-    age = F.datediff(as_of, F.col(date))
+    age = F.datediff(days_before(as_of, 0), F.col(date))
     tier = F.lit("keep")
     if archive_after is not None:
         tier = F.when(age > archive_after, "archive").otherwise(tier)

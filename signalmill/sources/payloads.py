@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.numeric import half_even, to_float_sql
+from ..functions.times import AsOf, days_before
 
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}"
 MONTH_PATTERN = r"^\d{4}-\d{2}$"
@@ -35,22 +36,22 @@ def _prices(rows: DataFrame, key: str, timestamp: Column, unit: str, source: str
 
 
 def spot_prices(
-    payloads: DataFrame, as_of: Column, days: int = 30, key: str = "commodity",
+    payloads: DataFrame, as_of: AsOf, days: int = 30, key: str = "commodity",
     unit: str = "USD/bbl", source: str = "eia",
 ) -> DataFrame:
     """Daily spot prices of the look-back, the newest ``days`` entries per commodity."""
-    start = F.date_format(F.date_sub(as_of, days), "yyyy-MM-dd")
+    start = F.date_format(days_before(as_of, days), "yyyy-MM-dd")
     rows = _newest(series_rows(payloads, [key]).filter(F.col("period") >= start), key, days)
     stamp = F.when(F.col("period").rlike(DAY_PATTERN), F.try_to_timestamp("period"))
     return _prices(rows, key, stamp, unit, source)
 
 
 def monthly_prices(
-    payloads: DataFrame, as_of: Column, days: int = 30, key: str = "commodity",
+    payloads: DataFrame, as_of: AsOf, days: int = 30, key: str = "commodity",
     unit: str = "USD/MMBtu", source: str = "eia", months: int = 12,
 ) -> DataFrame:
     """Monthly prices dated to the first of the month, at most ``months`` per commodity."""
-    start = F.date_format(F.date_sub(as_of, days), "yyyy-MM")
+    start = F.date_format(days_before(as_of, days), "yyyy-MM")
     rows = _newest(series_rows(payloads, [key]).filter(F.col("period") >= start), key, months)
     stamp = F.when(
         F.col("period").rlike(MONTH_PATTERN), F.try_to_timestamp(F.concat("period", F.lit("-01")))
@@ -75,7 +76,7 @@ def inventory_delta(payloads: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def news_rows(
-    payloads: DataFrame, as_of: Column, days: int = 3, page_size: int = 20, query: str = "query",
+    payloads: DataFrame, as_of: AsOf, days: int = 3, page_size: int = 20, query: str = "query",
     body: str = "body",
 ) -> DataFrame:
     """Articles of the look-back, newest ``page_size`` per query, rows without url or source skipped."""
@@ -83,7 +84,7 @@ def news_rows(
     articles = parsed.select(query, F.inline("_p.articles")).withColumn(
         "published_at", F.try_to_timestamp("publishedAt")
     )
-    inside = articles.filter(F.col("published_at") >= F.date_sub(as_of, days).cast("timestamp"))
+    inside = articles.filter(F.col("published_at") >= days_before(as_of, days).cast("timestamp"))
     newest = W.partitionBy(query).orderBy(F.col("published_at").desc(), F.col("url"))
     page = inside.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= page_size)
     return page.filter(F.col("url").isNotNull() & F.col("source.name").isNotNull()).select(

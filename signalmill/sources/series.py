@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import AsOf, days_before
+
 
 def series_window(
-    observations: DataFrame, as_of: Column, days: int = 90, series=None,
+    observations: DataFrame, as_of: AsOf, days: int = 90, series=None,
 ) -> DataFrame:
     """Observations of the look-back without NULL or NaN values."""
-    rows = observations.filter(F.col("d") >= F.date_sub(as_of, days)).dropna(subset=["value"])
+    rows = observations.filter(F.col("d") >= days_before(as_of, days)).dropna(subset=["value"])
     return rows if series is None else rows.filter(F.col("series_id").isin(list(series)))
 
 
-def zone_prices(observations: DataFrame, as_of: Column, days: int = 7, zone: str = "series_id") -> DataFrame:
+def zone_prices(observations: DataFrame, as_of: AsOf, days: int = 7, zone: str = "series_id") -> DataFrame:
     """Zone observations as price rows of commodity ``POWER_<zone>``."""
     return series_window(observations, as_of, days).select(
         F.concat(F.lit("POWER_"), F.col(zone)).alias("commodity"),
@@ -25,7 +27,7 @@ def zone_prices(observations: DataFrame, as_of: Column, days: int = 7, zone: str
     )
 
 
-def scan_bars(bars: DataFrame, as_of: Column, symbols=None, days: int = 60) -> DataFrame:
+def scan_bars(bars: DataFrame, as_of: AsOf, symbols=None, days: int = 60) -> DataFrame:
     """Bars of the look-back; a symbol without rows yields nothing. Both filters reach the scan."""
-    rows = bars.filter(F.col("ts") >= F.date_sub(as_of, days))
+    rows = bars.filter(F.col("ts") >= days_before(as_of, days))
     return rows if symbols is None else rows.filter(F.col("symbol").isin(list(symbols)))
