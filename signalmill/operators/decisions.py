@@ -11,7 +11,7 @@ from ..constants import (
     AGENT_WEIGHTS, DEFAULT_ASSET, DEFAULT_WEIGHT, NO_FLAGS_TEXT, PORTFOLIO_AGENT, STRENGTH_FACTORS, WEAK_FACTOR,
 )
 from ..functions.lookup import quoted
-from ..functions.numeric import fixed_sql, half_even, half_even_sql
+from ..functions.numeric import half_even
 from ..functions.parsing import position_size_of, stated_asset_sql
 from ..functions.times import iso_date, iso_utc
 from .lookups import with_agent_weight
@@ -140,7 +140,7 @@ def recommended(runs: DataFrame, key: str, weights: Mapping[str, float] = AGENT_
         iso_date("ts").alias("date"),
         F.expr(f"coalesce({stated_asset_sql('_upper')}, {common_asset_sql()}) AS asset"),
         "answer.direction", "answer.strength", "answer.confidence",
-        position_size_of(text, "suggested_size_pct").alias("position_size_pct"),
+        position_size_of("_upper", "suggested_size_pct").alias("position_size_pct"),
         F.col(text).alias("entry_rationale"),
         F.expr(f"coalesce(array_join(flags, ', '), '{NO_FLAGS_TEXT}') AS risk_notes"),
         F.expr("transform(signals, s -> s.agent_name) AS contributing_agents"),
@@ -160,60 +160,6 @@ def run_summaries(decisions: DataFrame) -> DataFrame:
     return stamped.selectExpr("run_id", "date", f"{document} AS body")
 
 
-# --- text blocks shown next to a decision ---------------------------------------------
-
-def evidence_digest(decisions: DataFrame) -> DataFrame:
-    """Signals, flags, score and size of a run as the fixed text block; needs run_decisions rows."""
-    percent = f"CAST(CAST({half_even_sql('(s.confidence * 100)', 0)} AS bigint) AS string)"
-    line = (
-        "concat('  ', s.agent_name, ': ', s.direction, ' (', s.strength, ') confidence=',"
-        f" {percent}, '% asset=', s.asset)"
-    )
-    block = (
-        f"concat_ws('\\n', 'AGENT SIGNALS:', array_join(transform(signals, s -> {line}), '\\n'), 'RISK FLAGS:',"
-        " CASE WHEN n_flags > 0 THEN array_join(transform(flags, f -> concat('  ⚠ ', f)), '\\n') ELSE '  ✓ None' END,"
-        f" concat('AGGREGATED SIGNAL SCORE: ', CASE WHEN score >= 0 THEN '+' ELSE '' END, {fixed_sql('score', 2)}),"
-        f" concat('SUGGESTED POSITION SIZE: ', {fixed_sql('suggested_size_pct', 1)}, '% of portfolio'))"
-    )
-    return decisions.selectExpr("run_id", f"{block} AS digest")
-
-
-def price_lines(prices: DataFrame) -> DataFrame:
-    """``  SYMBOL: $12.34`` per (key, value) row."""
-    return prices.selectExpr("key", f"concat('  ', key, ': $', {fixed_sql('value', 2)}) AS line")
-
-
-def macro_lines(macro: DataFrame, limit: int = 6) -> DataFrame:
-    """``  SERIES: 12.34`` for the first series in the given order (column ``place``)."""
-    first = macro.orderBy("place").limit(limit)
-    return first.selectExpr("key", f"concat('  ', key, ': ', {fixed_sql('value', 2)}) AS line")
-
-
-def indicator_lines(records: DataFrame) -> DataFrame:
-    """One line per symbol record; an undefined histogram shows as nan."""
-    hist = f"coalesce({fixed_sql('macd_hist', 4)}, 'nan')"
-    return records.selectExpr(
-        "symbol AS key",
-        f"concat(symbol, ': close=$', close, ', RSI=', rsi, ', MACD_hist=', {hist},"
-        " ', BB=[', bb_low, '-', bb_high, '] | Signals: ', array_join(ta_signals, ', ')) AS line",
-    )
-
-
-def volatility_lines(volatilities: DataFrame) -> DataFrame:
-    return volatilities.selectExpr(
-        "symbol AS key", f"concat('  ', symbol, ': ', {fixed_sql('volatility', 1)}, '% annualized') AS line"
-    )
-
-
-def inventory_lines(inventory: DataFrame) -> DataFrame:
-    """Level and change per series row (inventory_mmbbl, change_mmbbl)."""
-    return inventory.selectExpr(
-        "series_id AS key",
-        "concat('  Inventory: ', inventory_mmbbl, ' Mmbbl (change: ', coalesce(CAST(change_mmbbl AS string), 'None'),"
-        " ' Mmbbl)') AS line",
-    )
-
-
 def strong_only(decisions: DataFrame) -> DataFrame:
     return decisions.filter("strength = 'STRONG'")
 

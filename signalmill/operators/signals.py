@@ -23,7 +23,7 @@ def parsed(responses: DataFrame) -> DataFrame:
         *responses.columns,
         P.direction_of("_upper").alias("direction"),
         P.strength_of("_upper").alias("strength"),
-        P.confidence_of("response_text").alias("confidence"),
+        P.confidence_of("_upper").alias("confidence"),
         P.asset_of("_upper").alias("asset"),
     )
 

@@ -118,6 +118,13 @@ def filter_ok_calls(inp):
     return C.ok_calls(inp.calls()).select("call_id", "total_ms")
 
 
+@query("failed_call_rows", q("""
+SELECT call_id, CAST(0 AS BIGINT) AS total_ms, CAST(0 AS BIGINT) AS cost_usd, substr(repeat(model, 40), 1, 120) AS error FROM calls WHERE NOT ok"""))
+def failed_call_rows(inp):
+    failed = C.failed_rows(inp.calls().withColumn("error", F.expr("repeat(model, 40)")))
+    return failed.select("call_id", "total_ms", "cost_usd", "error")
+
+
 @query("call_summary", q(f"SELECT {SUMMARY} FROM call_sum"))
 def call_summary(inp):
     return C.call_summary(inp.calls())

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from ..constants import PORTFOLIO_AGENT
 from ..functions.times import iso_date, iso_utc
 from ..operators import decisions as D
+from ..operators import digests as G
 from ..operators import indicators as I
 from ..operators import lookups as J
 from ..operators import risk as R
 from ..operators import sentiment as S
 from ..operators import signals as X
+from ..sources import payloads as P
 from . import queries_market as M
 from . import queries_text as Q
-from .bindings import Inputs
+from .bindings import TICKERS, Inputs
 from .oracle_views import VIEWS, fixed, half_even, q
 from .registry import query
 
@@ -244,7 +246,7 @@ SELECT run_id, concat_ws(chr(10), 'AGENT SIGNALS:', signal_block, 'RISK FLAGS:',
   concat('AGGREGATED SIGNAL SCORE: ', CASE WHEN score >= 0 THEN '+' ELSE '' END, {fixed('score', 2)}),
   concat('SUGGESTED POSITION SIZE: ', {fixed('suggested_size_pct', 1)}, '% of portfolio')) AS digest FROM decided"""))
 def evidence_digest(inp):
-    return D.evidence_digest(decisions(inp))
+    return G.run_digest(decisions(inp))
 
 
 @query("evidence_market_digest", q(f"""
@@ -252,16 +254,33 @@ SELECT 'indicators' AS part, symbol AS key, concat(symbol, ': close=$', CAST(clo
    {fixed('macd_hist', 4)}, ', BB=[', CAST(bb_low AS VARCHAR), '-', CAST(bb_high AS VARCHAR), '] | Signals: ', replace(ta_signals, '; ', ', ')) AS line FROM ta_rec
 UNION ALL SELECT 'volatility', symbol, concat('  ', symbol, ': ', {fixed('volatility', 1)}, '% annualized') FROM vol
 UNION ALL SELECT 'prices', symbol, concat('  ', symbol, ': $', {fixed('close', 2)}) FROM bars_d WHERE d = (SELECT max(d) FROM bars_d)
+UNION ALL SELECT 'positions', concat(portfolio_id, '/', symbol), concat('  ', symbol, ': ', {fixed('size_pct', 1)}, '%') FROM positions
+UNION ALL SELECT 'inventory', series_id, concat('  Inventory: ', CAST(v AS VARCHAR), ' Mmbbl (change: ', coalesce(CAST({half_even('delta', 2)} AS VARCHAR), 'None'), ' Mmbbl)')
+  FROM leveled WHERE place = 1
+UNION ALL SELECT 'tickers', '', string_agg(concat(ticker, '(', mentions, ')'), ', ' ORDER BY mentions DESC, ticker)
+  FROM (SELECT ticker, count(*) AS mentions FROM mentions GROUP BY ticker ORDER BY mentions DESC, ticker LIMIT 5)
+UNION ALL SELECT 'headlines', url, concat('  - ', title) FROM (SELECT * FROM headlines ORDER BY query_order, rank LIMIT 15)
+UNION ALL SELECT 'flags', '', '  ✓ No active risk flags'
 UNION ALL SELECT 'macro', series_id, concat('  ', series_id, ': ', {fixed('value', 2)})
   FROM (SELECT series_id, max_by(value, d) AS value FROM obs GROUP BY series_id ORDER BY series_id LIMIT 6)"""))
 def evidence_market_digest(inp):
     prices = inp.bars_d().filter(F.col("d") == inp.table("orders").agg(F.max(F.to_date("o_orderdate"))).scalar())
+    calm = R.high_volatility(M.volatilities(inp), 1e9)
+    no_flags = calm.selectExpr("symbol AS key", "flag AS line")
+    tickers = G.ticker_text(S.top_tickers(inp.posts(), TICKERS))
     macro = inp.obs().groupBy("series_id").agg(F.max_by("value", "d").alias("value"))
     parts = {
-        "indicators": D.indicator_lines(M.records(inp)),
-        "volatility": D.volatility_lines(M.volatilities(inp)),
-        "prices": D.price_lines(prices.select(F.col("symbol").alias("key"), F.col("close").alias("value"))),
-        "macro": D.macro_lines(macro.select(F.col("series_id").alias("key"), "value", F.col("series_id").alias("place"))),
+        "indicators": G.indicator_lines(M.records(inp)),
+        "volatility": G.volatility_lines(M.volatilities(inp)),
+        "prices": G.price_lines(prices.select(F.col("symbol").alias("key"), F.col("close").alias("value"))),
+        "inventory": G.or_placeholder(G.inventory_lines(P.inventory_delta(inp.inventory_payloads())), G.NO_INVENTORY),
+        "positions": G.or_placeholder(
+            G.position_lines(inp.positions()).selectExpr("concat(portfolio_id, '/', symbol) AS key", "line"), G.NO_POSITIONS
+        ),
+        "headlines": G.or_placeholder(G.headline_lines(S.recent_headlines(Q.headlines(inp))), G.NO_HEADLINES),
+        "flags": G.or_placeholder(no_flags, G.NO_FLAGS),
+        "tickers": tickers.selectExpr("'' AS key", "tickers AS line"),
+        "macro": G.macro_lines(macro.select(F.col("series_id").alias("key"), "value", F.col("series_id").alias("place"))),
     }
     rows = [lines.select(F.lit(part).alias("part"), "key", "line") for part, lines in parts.items()]
     out = rows[0]

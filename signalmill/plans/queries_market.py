@@ -197,6 +197,13 @@ def risk_flags(inp):
     return R.risk_flags(inp.positions(), volatilities(inp), symbols=SHOWN_SYMBOLS)
 
 
+VIEWS["weekly"] = """
+SELECT series_id, date_trunc('week', d) AS p, CASE WHEN series_id = 'NO' THEN 0.0 ELSE max(value) END AS v
+FROM obs GROUP BY series_id, date_trunc('week', d)"""
+VIEWS["leveled"] = """
+SELECT *, v - lead(v) OVER (PARTITION BY series_id ORDER BY p DESC) AS delta,
+       row_number() OVER (PARTITION BY series_id ORDER BY p DESC) AS place FROM weekly"""
+
 # --- snapshots ---------------------------------------------------------------------
 
 def last_hour(inp: Inputs):

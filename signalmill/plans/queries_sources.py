@@ -53,11 +53,7 @@ def ing_monthly_prices(inp):
 
 @query("ing_inventory_delta", q(f"""
 SELECT series_id, {sql_day('p')} AS date, v AS inventory_mmbbl, {half_even('delta', 2)} AS change_mmbbl
-FROM leveled WHERE place = 1""",
-    weekly="""SELECT series_id, date_trunc('week', d) AS p, CASE WHEN series_id = 'NO' THEN 0.0 ELSE max(value) END AS v
-FROM obs GROUP BY series_id, date_trunc('week', d)""",
-    leveled="""SELECT *, v - lead(v) OVER (PARTITION BY series_id ORDER BY p DESC) AS delta,
-row_number() OVER (PARTITION BY series_id ORDER BY p DESC) AS place FROM weekly"""))
+FROM leveled WHERE place = 1"""))
 def ing_inventory_delta(inp):
     return P.inventory_delta(inp.inventory_payloads())
 

@@ -142,7 +142,7 @@ def resp_strength(inp):
 
 @query("resp_confidence", q("SELECT run_id, agent_name, confidence FROM signals"))
 def resp_confidence(inp):
-    return _parsed(inp, "confidence", P.confidence_of("response_text"))
+    return _parsed(inp, "confidence", P.confidence_of("upper(response_text)"))
 
 
 @query("resp_asset", q("SELECT run_id, agent_name, asset FROM signals"))
@@ -153,7 +153,7 @@ def resp_asset(inp):
 @query("resp_position_size", q("""
 SELECT run_id, agent_name, CASE WHEN sized IS NOT NULL THEN least(sized, 20.0::DOUBLE) ELSE 5.0::DOUBLE END AS position_size_pct FROM signals"""))
 def resp_position_size(inp):
-    return _parsed(inp, "position_size_pct", P.position_size_of("response_text", "5d"))
+    return _parsed(inp, "position_size_pct", P.position_size_of("upper(response_text)", "5d"))
 
 
 MODELS = ("anthropic.claude-v2", "amazon.titan-text-lite-v1", "meta.llama3-8b-instruct-v1:0", "mistral.mistral-7b-instruct-v0:2")

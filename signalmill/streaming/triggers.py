@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..operators.snapshots import snapshot_events
 from ..sources.landed import write_batch
 from .windows import drain
 
+logger = logging.getLogger(__name__)
+
 
 def catalog_new(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: str | StructType, fmt: str = "parquet",
@@ -39,4 +42,4 @@ def notify(decisions: DataFrame, path: str, batch: int) -> None:
     try:
         notifications(decisions).withColumn("sent_for", F.lit(batch)).write.mode("overwrite").json(f"{path}/batch={batch}")
     except Exception as error:  # best effort by contract
-        print(f"notification skipped: {error}")
+        logger.warning("notification skipped: %s", error)

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from signalmill.operators import decisions as D
+from signalmill.operators import digests as G
 from signalmill.operators import lookups as J
 from signalmill.operators import risk as R
 from signalmill.operators import signals as X
@@ -118,13 +119,22 @@ def test_records_and_notifications(spark):
 
 
 def test_digest(spark):
-    text = D.evidence_digest(D.run_decisions(responses(spark, ALL[1:2] + ALL[4:]), flags(spark, "F1"))).first().digest
+    text = G.run_digest(D.run_decisions(responses(spark, ALL[1:2] + ALL[4:]), flags(spark, "F1"))).first().digest
     assert text == (
         "AGENT SIGNALS:\n  TechnicalAnalyst: BULLISH (STRONG) confidence=80% asset=CVX\nRISK FLAGS:\n  ⚠ F1\n"
         "AGGREGATED SIGNAL SCORE: +0.14\nSUGGESTED POSITION SIZE: 1.4% of portfolio"
     )
 
 
+def test_placeholders_show_only_without_lines(spark):
+    positions = spark.createDataFrame([(1, "A", 20.25)], "portfolio_id int, symbol string, size_pct double")
+    lines = G.position_lines(positions).select("key", "line")
+    assert [r.line for r in G.or_placeholder(lines, G.NO_POSITIONS).collect()] == ["  A: 20.2%"]
+    assert [r.line for r in G.or_placeholder(lines.limit(0), G.NO_POSITIONS).collect()] == [G.NO_POSITIONS]
+    top = spark.createDataFrame([("COP", 1), ("XLE", 3)], "ticker string, mentions bigint")
+    assert G.ticker_text(top).first().tickers == "XLE(3), COP(1)" and G.ticker_text(top.limit(0)).first().tickers == "none"
+
+
 def test_flag_limits_are_strict_and_ordered(spark):
     positions = spark.createDataFrame([(1, "A", 20.0), (1, "B", 20.5), (1, "C", 19.75), (2, "A", 30.0), (2, "B", 30.0)],
                                       "portfolio_id int, symbol string, size_pct double")

