@@ -13,6 +13,7 @@ from ..sources.series import scan_bars, series_window
 from .lookups import with_series_name, with_zone_label
 
 PRIORITY = {"equities": 1, "spot": 2, "zones": 3}
+TRACKED_SOURCES = ("yfinance", "fred", "eia_wti")
 NEWS_LIMIT = 10
 MACRO_DAYS = 30
 
@@ -111,6 +112,16 @@ def combined(quotes: DataFrame, macro: DataFrame, news: DataFrame, source: str =
     )
 
 
+def source_failures(dates: DataFrame, landed: DataFrame, sources=TRACKED_SOURCES) -> DataFrame:
+    """(d, source) of every tracked source that landed nothing on a run date; feeds the failure metric.
+
+    dates(d) holds the run dates, landed(d, source) what arrived.
+    """
+    listed = F.array(*[F.lit(s) for s in sources])
+    expected = dates.select("d").distinct().select("d", F.explode(listed).alias("source"))
+    return expected.join(landed.select("d", "source").distinct(), ["d", "source"], "left_anti")
+
+
 def source_counts(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(
         "date", F.size("prices").alias("prices_count"), F.size("macro").alias("macro_count"), "news_count"

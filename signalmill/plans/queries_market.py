@@ -301,6 +301,18 @@ def snap_combined(inp):
     return snapshots(inp).select("date", F.inline(F.concat(entries("price", "prices"), entries("macro", "macro"), news)))
 
 
+@query("snap_source_failures", q(f"""
+SELECT {sql_day('d')} AS d, source FROM (SELECT DISTINCT d FROM quotes), (VALUES ('yfinance'), ('fred'), ('eia_wti')) t(source)
+WHERE (d, source) NOT IN (SELECT d, 'yfinance' FROM bars_d UNION ALL SELECT d, CASE series_id WHEN 'AF' THEN 'fred' ELSE 'eia_wti' END
+  FROM obs WHERE series_id IN ('AF', 'NO'))"""))
+def snap_source_failures(inp):
+    bars = inp.bars_d().select("d", F.lit("yfinance").alias("source"))
+    obs = inp.obs()
+    series = obs.filter("series_id IN ('AF', 'NO')").selectExpr("d", "CASE series_id WHEN 'AF' THEN 'fred' ELSE 'eia_wti' END AS source")
+    zones = obs.filter("series_id IN ('AF', 'NO', 'RF')").select("d")
+    return N.source_failures(bars.select("d").unionByName(zones), bars.unionByName(series)).withColumn("d", day("d"))
+
+
 @query("snap_source_counts", q(f"""
 SELECT {sql_day('d')} AS date, CAST(count_if(kind = 'price') AS INT) AS prices_count, CAST(count_if(kind = 'macro') AS INT) AS macro_count,
        CAST(max(CASE WHEN kind = 'news' THEN value END) AS INT) AS news_count FROM snap_entries GROUP BY d"""))
