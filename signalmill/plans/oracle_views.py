@@ -74,7 +74,7 @@ SELECT CAST(floor(event_id / 4) AS BIGINT) AS run_id,
                  WHEN 3 THEN 'USO or NATGAS' ELSE 'cvx' END, chr(10),
               CASE WHEN user_id % 2 = 0 THEN concat('POSITION_SIZE: ', CAST(user_id % 30 AS VARCHAR), '%', chr(10)) ELSE '' END,
               'REASONING: text ', CAST(event_id AS VARCHAR)) AS response_text,
-       CAST(floor(event_id / 4) AS BIGINT) % 25 AS portfolio_id
+       CAST(CAST(floor(event_id / 4) AS BIGINT) % 25 AS INTEGER) AS portfolio_id
 FROM events"""
 VIEWS["answers"] = """
 SELECT run_id, 'PortfolioManager' AS agent_name, max(ts) AS ts,

@@ -119,7 +119,7 @@ def filter_ok_calls(inp):
 
 
 @query("failed_call_rows", q("""
-SELECT call_id, CAST(0 AS BIGINT) AS total_ms, CAST(0 AS BIGINT) AS cost_usd, substr(repeat(model, 40), 1, 120) AS error FROM calls WHERE NOT ok"""))
+SELECT call_id, CAST(0 AS INTEGER) AS total_ms, CAST(0 AS INTEGER) AS cost_usd, substr(repeat(model, 40), 1, 120) AS error FROM calls WHERE NOT ok"""))
 def failed_call_rows(inp):
     failed = C.failed_rows(inp.calls().withColumn("error", F.expr("repeat(model, 40)")))
     return failed.select("call_id", "total_ms", "cost_usd", "error")
