@@ -16,7 +16,6 @@ from ..functions.parsing import position_size_of, stated_asset_sql
 from ..functions.times import iso_date, iso_utc
 from .lookups import with_agent_weight
 from .risk import OVERRIDDEN_DIRECTION, OVERRIDDEN_STRENGTH, flag_lists
-from .sentiment import directed
 from .signals import parsed
 
 MAX_SIZE_PCT = 20.0
@@ -98,34 +97,49 @@ def run_decisions(
     """The whole chain over all runs: texts, flags and market evidence to one recommendation per run.
 
     ``responses`` holds the agents' texts and, as agent PortfolioManager, the final answer.
-    ``flags`` are risk flag rows per portfolio; ``best_asset`` and ``social_direction`` are one-row tables.
+    ``flags`` are risk flag rows per portfolio; ``best_asset`` and ``social_direction`` (direction) are one-row
+    tables. Each of the three may instead hold a row per date ``d``: a run then sees the one of its own date.
     A run without any specialist row gives no recommendation; a missing agent is left out.
     """
-    agent, asset, direction = F.col("agent_name"), F.col("asset"), F.col("direction")
-    rows = parsed(responses)
-    if best_asset is not None:
-        rows = rows.withColumn("asset", F.when(agent == "TechnicalAnalyst", best_asset.scalar()).otherwise(asset))
-    rows = rows.withColumn(
-        "asset", F.when(agent.isin("SentimentAgent", "RiskManager"), DEFAULT_ASSET).otherwise(asset)
-    )
-    if social_direction is not None:
-        fallback = directed(direction, social_direction.select("direction").scalar())
-        rows = rows.withColumn("direction", F.when(agent == "SentimentAgent", fallback).otherwise(direction))
     answer = "max_by(struct(response_text, direction, strength, confidence), ts)"
-    runs = run_rows(rows, weights, {
+    runs = run_rows(parsed(responses), weights, {
         key: f"max({key})", "answer": f"{answer} FILTER (WHERE agent_name = '{PORTFOLIO_AGENT}')",
     })
-    runs = runs.filter("size(signals) > 0 AND answer IS NOT NULL").join(flag_lists(flags, key), key, "left")
+    runs = runs.filter("size(signals) > 0 AND answer IS NOT NULL").withColumn("d", F.to_date("ts"))
+    lists = flag_lists(flags, key)
+    runs = runs.join(lists, [c for c in (key, "d") if c in lists.columns], "left")
+    runs = _with_context(runs, best_asset, "best_asset")
+    if social_direction is not None:
+        social_direction = social_direction.withColumnRenamed("direction", "social_direction")
+    runs = _with_context(runs, social_direction, "social_direction")
     return recommended(runs.withColumn("n_flags", F.expr("coalesce(n_flags, 0)")), key, weights)
 
 
+def _with_context(runs: DataFrame, context: DataFrame | None, name: str) -> DataFrame:
+    """Adds the column ``name``: of the run's date, of the only row, or NULL without a context."""
+    if context is None:
+        return runs.withColumn(name, F.lit(None).cast("string"))
+    if "d" in context.columns:
+        return runs.join(context.select("d", name), "d", "left")
+    return runs.withColumn(name, context.select(name).scalar())
+
+
 def recommended(runs: DataFrame, key: str, weights: Mapping[str, float] = AGENT_WEIGHTS) -> DataFrame:
-    """Score, size and final answer per run row (signals, answer, n_flags, flags)."""
-    risk = "CASE WHEN s.agent_name = 'RiskManager' THEN {} ELSE s.{} END"
-    direction = risk.format(OVERRIDDEN_DIRECTION.format(parsed="s.direction"), "direction")
-    strength = risk.format(OVERRIDDEN_STRENGTH.format(parsed="s.strength"), "strength")
+    """Score, size and final answer per run row (signals, answer, n_flags, flags, best_asset, social_direction)."""
+    asset = (
+        "CASE s.agent_name WHEN 'TechnicalAnalyst' THEN coalesce(best_asset, s.asset)"
+        f" WHEN 'SentimentAgent' THEN '{DEFAULT_ASSET}' WHEN 'RiskManager' THEN '{DEFAULT_ASSET}' ELSE s.asset END"
+    )
+    direction = (
+        f"CASE WHEN s.agent_name = 'RiskManager' THEN {OVERRIDDEN_DIRECTION.format(parsed='s.direction')}"
+        " WHEN s.agent_name = 'SentimentAgent' AND s.direction = 'NEUTRAL'"
+        " THEN coalesce(social_direction, s.direction) ELSE s.direction END"
+    )
+    strength = (
+        f"CASE WHEN s.agent_name = 'RiskManager' THEN {OVERRIDDEN_STRENGTH.format(parsed='s.strength')} ELSE s.strength END"
+    )
     overridden = (
-        "transform(signals, s -> named_struct('agent_name', s.agent_name, 'asset', s.asset,"
+        f"transform(signals, s -> named_struct('agent_name', s.agent_name, 'asset', {asset},"
         f" 'direction', {direction}, 'strength', {strength}, 'confidence', s.confidence))"
     )
     # every step names its result: a later expression uses it several times

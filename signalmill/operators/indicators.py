@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_ASSET, TRADING_DAYS
 from ..functions.lookup import quoted
 from ..functions.numeric import fixed_sql, half_even, rounded
+from ..sources.series import carried
 from . import bars as B
 
 MIN_BARS = 26
+LOOKBACK_DAYS = 90
 RSI_ROWS, BAND_ROWS, SIGNAL_START = 14, 20, 34
 INDICATORS = ["rsi", "macd", "macd_signal", "macd_hist", "bb_high", "bb_mid", "bb_low"]
 RECORD_DIGITS = {"close": 2, "rsi": 2, "macd": 4, "macd_signal": 4, "macd_hist": 4, "bb_high": 2, "bb_mid": 2, "bb_low": 2}
@@ -119,14 +121,27 @@ def direction_by_score(records: DataFrame) -> DataFrame:
     )
 
 
-def best_asset(records: DataFrame, order=None) -> DataFrame:
-    """One row: the symbol of largest absolute score; ties go by the given order, then by name."""
+def _best(order) -> Column:
     place = "0"
     if order:
         place = f"coalesce(nullif(array_position(array({quoted(order)}), symbol), 0), {len(order) + 1})"
-    return records.selectExpr(
-        f"coalesce(min_by(symbol, struct(-abs(ta_score), {place}, symbol)), '{DEFAULT_ASSET}') AS best_asset"
-    )
+    return F.expr(f"coalesce(min_by(symbol, struct(-abs(ta_score), {place}, symbol)), '{DEFAULT_ASSET}') AS best_asset")
+
+
+def best_asset(records: DataFrame, order=None) -> DataFrame:
+    """One row: the symbol of largest absolute score; ties go by the given order, then by name."""
+    return records.agg(_best(order))
+
+
+def best_asset_by_day(series: DataFrame, order=None, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """The best asset of every date (d), from what was known at its end: no later bar has a say.
+
+    ``series`` are indicator_series rows. A symbol without a bar on a date shows its last one of the look-back.
+    """
+    fields = ", ".join(["close", "rn AS n", *INDICATORS])
+    last = series.groupBy("symbol", F.to_date("ts").alias("d")).agg(F.expr(f"max_by(struct({fields}), ts) AS _last"))
+    known = carried(last.select("symbol", "d", "_last.*"), "symbol", days)
+    return scored(known).groupBy("d").agg(_best(order))
 
 
 def log_returns(bars: DataFrame, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:

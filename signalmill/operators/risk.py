@@ -47,9 +47,10 @@ def risk_flags(
 
 
 def flag_lists(flags: DataFrame, key: str = "portfolio_id") -> DataFrame:
-    """Flag count and ordered flag texts per portfolio, the form a recommendation stores."""
+    """Flag count and ordered flag texts per portfolio (and date d, if flags are dated), as a recommendation stores them."""
     ordered = "transform(sort_array(collect_list(struct(flag_order, symbol, flag))), f -> f.flag)"
-    return flags.groupBy(key).agg(F.expr("count(*) AS n_flags"), F.expr(f"{ordered} AS flags"))
+    keys = [key, "d"] if "d" in flags.columns else [key]
+    return flags.groupBy(*keys).agg(F.expr("count(*) AS n_flags"), F.expr(f"{ordered} AS flags"))
 
 
 def flag_counts(flags: DataFrame, key: str = "portfolio_id") -> DataFrame:

@@ -46,11 +46,11 @@ def top_tickers(posts: DataFrame, tickers=MENTION_TICKERS, limit: int = 5) -> Da
     return counts.orderBy(F.desc("mentions"), "ticker").limit(limit)
 
 
-def summary(posts: DataFrame, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> DataFrame:
-    """One row of counts and shares."""
-    counts = with_polarity(posts, bullish, bearish).selectExpr(
-        *[f"count_if(polarity = '{p}') AS {p}_count" for p in ("bullish", "bearish", "neutral")],
-        "count(*) AS total_posts",
+def summary(posts: DataFrame, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS, by=()) -> DataFrame:
+    """One row of counts and shares, or one per ``by`` columns such as the date d."""
+    counts = with_polarity(posts, bullish, bearish).groupBy(*by).agg(
+        *[F.expr(f"count_if(polarity = '{p}') AS {p}_count") for p in ("bullish", "bearish", "neutral")],
+        F.expr("count(*) AS total_posts"),
     )
     shares = [f"{p}_count / greatest(total_posts, 1) * 100 AS {p}_pct" for p in ("bullish", "bearish")]
     return counts.selectExpr("*", *shares).withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import MACRO_SERIES, ZONE_LABELS
 from ..functions.numeric import half_even
 from ..functions.times import AsOf
-from ..sources.series import scan_bars, series_window
+from ..sources.series import carried, scan_bars, series_window
 from .lookups import with_series_name, with_zone_label
 
 PRIORITY = {"equities": 1, "spot": 2, "zones": 3}
@@ -72,10 +72,7 @@ def daily_macro(observations: DataFrame, names=MACRO_SERIES, days: int = MACRO_D
     A daily series has at most one row per calendar day, and a row is repeated at most days + 1 times.
     """
     rows = observations.filter(F.col("series_id").isin(list(names))).dropna(subset=["value"])
-    following = F.lead("d").over(W.partitionBy("series_id").orderBy("d"))
-    rows = rows.withColumn("_next", following)
-    end = F.least(F.date_sub(F.coalesce("_next", F.date_add("d", days + 1)), 1), F.date_add("d", days))
-    return rows.select(F.explode(F.sequence("d", end)).alias("d"), F.col("series_id").alias("key"), "value")
+    return carried(rows, "series_id", days).selectExpr("d", "series_id AS key", "value")
 
 
 def daily_news(articles: DataFrame, limit: int = NEWS_LIMIT) -> DataFrame:

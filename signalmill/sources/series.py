@@ -27,6 +27,17 @@ def zone_prices(observations: DataFrame, as_of: AsOf, days: int = 7, zone: str =
     )
 
 
+def carried(daily: DataFrame, key: str, days: int) -> DataFrame:
+    """Each row repeated on the following dates until the key's next row, for at most ``days`` days.
+
+    ``daily`` has one row per key and date d, so what is ordered per key is bounded by the calendar.
+    """
+    rows = daily.selectExpr("*", f"lead(d) OVER (PARTITION BY {key} ORDER BY d) AS _next")
+    last = f"least(date_add(d, {days}), date_sub(coalesce(_next, date_add(d, {days + 1})), 1))"
+    others = [f"`{c}`" for c in daily.columns if c != "d"]
+    return rows.selectExpr(*others, f"explode(sequence(d, {last})) AS d")
+
+
 def scan_bars(bars: DataFrame, as_of: AsOf, symbols=None, days: int = 60) -> DataFrame:
     """Bars of the look-back; a symbol without rows yields nothing. Both filters reach the scan."""
     rows = bars.filter(F.col("ts") >= days_before(as_of, days))

@@ -155,3 +155,15 @@ def test_registered_agents(spark):
 def test_run_rows_need_one_shuffle(spark):
     plan = D.run_rows(X.parsed(responses(spark, ALL)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_dated_evidence_reaches_the_runs_of_its_date(spark):
+    rows = [(1, a, T, "CONFIDENCE: 50%", 1) for a in ("TechnicalAnalyst", "SentimentAgent", "RiskManager", "PortfolioManager")]
+    rows += [(2, a, T + dt.timedelta(days=1), t, 1) for _, a, _, t, _ in rows]
+    best = spark.createDataFrame([(T.date(), "USO")], "d date, best_asset string")
+    social = spark.createDataFrame([((T + dt.timedelta(days=1)).date(), "BULLISH")], "d date, direction string")
+    flags = spark.createDataFrame([(1, (T + dt.timedelta(days=1)).date(), 2, "s", "F")], "portfolio_id int, d date, flag_order int, symbol string, flag string")
+    got = {r.run_id: r for r in D.run_decisions(spark.createDataFrame(rows, RESPONSES), flags, best, social).collect()}
+    assert [(s.asset, s.direction) for s in got[1].signals] == [("USO", "NEUTRAL"), ("XLE", "NEUTRAL"), ("XLE", "NEUTRAL")]
+    assert [(s.asset, s.direction) for s in got[2].signals] == [("XLE", "NEUTRAL"), ("XLE", "BULLISH"), ("XLE", "BEARISH")]
+    assert (got[1].n_flags, got[2].n_flags) == (0, 1)
