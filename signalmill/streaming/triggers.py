@@ -17,11 +17,31 @@ from .windows import drain
 logger = logging.getLogger(__name__)
 
 
+def schema_changes(
+    spark: SparkSession, source: str, schema: str | StructType, fmt: str = "parquet", folders: tuple[str, ...] = (),
+) -> list[str]:
+    """Differences between the declared columns and those of self-describing files, as text.
+
+    Folder columns have no type of their own, so only their presence counts.
+    """
+    declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType for f in declared}
+    stored = {f.name: f.dataType for f in spark.read.format(fmt).load(source).schema}
+    return (
+        [f"new column {c}" for c in stored if c not in kinds]
+        + [f"missing column {c}" for c in kinds if c not in stored]
+        + [f"column {c} is {stored[c].simpleString()}" for c in kinds if c in stored and c not in folders and stored[c] != kinds[c]]
+    )
+
+
 def catalog_new(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: str | StructType, fmt: str = "parquet",
     by: tuple[str, ...] = ("date",),
 ) -> StreamingQuery:
-    """Add files not seen before to the catalogued table; a changed schema is not applied."""
+    """Add files not seen before to the catalogued table; a changed schema is logged, not applied."""
+    if fmt in ("parquet", "orc"):
+        for change in schema_changes(spark, source, schema, fmt, by):
+            logger.warning("%s: %s", source, change)
     rows = spark.readStream.schema(schema).format(fmt).load(source)
     return drain(rows, checkpoint, lambda batch, number: write_batch(batch, target, number, by))
 

@@ -92,3 +92,10 @@ def test_new_files_are_picked_up_once(spark):
 def test_notify_never_fails_the_run(spark, caplog):
     G.notify(spark.range(1), "/nowhere", 0)
     assert "notification skipped" in caplog.text
+
+
+def test_schema_changes_are_named(spark):
+    source = scratch_path(spark, "src")
+    spark.range(1).selectExpr("'A' AS symbol", "1 AS close", "2 AS extra").write.parquet(source)
+    got = G.schema_changes(spark, source, "symbol string, close double, gone int")
+    assert got == ["new column extra", "missing column gone", "column close is int"]
