@@ -14,12 +14,14 @@ HALO_ROWS = 640
 LATEST_SALTS = 32
 
 
-def resample(ticks: DataFrame, unit: str = "hour") -> DataFrame:
-    """Ticks (symbol, ts, id, value) to open/high/low/close/volume bars; equal times go by id.
+def resample(ticks: DataFrame, unit: str = "hour", tie: str | None = "id") -> DataFrame:
+    """Ticks (symbol, ts, value) to open/high/low/close/volume bars; equal times go by the ``tie`` column.
 
     Only partial aggregates of bounded size cross the shuffle, so a hot symbol costs no more than a cold one.
+    With ``tie=None``, for times unique per symbol, the order is a plain timestamp and the aggregation needs no
+    sort, which more than halves its time.
     """
-    order = F.struct("ts", "id")
+    order = F.struct("ts", tie) if tie else F.col("ts")
     bucket = F.date_trunc(unit, "ts").cast("timestamp_ntz")
     return ticks.groupBy("symbol", bucket.alias("ts")).agg(
         F.min_by("value", order).alias("open"),
@@ -36,7 +38,9 @@ def numbered(bars: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     Rows are sorted inside (symbol, time slice) only. What runs per symbol is one summary row per
     slice, a count bounded by the length of the calendar.
     """
-    sliced = bars.selectExpr("*", f"floor(unix_seconds(CAST(ts AS timestamp)) / {slice_seconds}) AS _slice")
+    # a slice that cannot be NULL leaves both uses of the bars with the same plan, so their shuffle is shared
+    timed = bars.filter("symbol IS NOT NULL AND ts IS NOT NULL")
+    sliced = timed.selectExpr("*", f"coalesce(unix_seconds(CAST(ts AS timestamp)) div {slice_seconds}, 0L) AS _slice")
     per_slice = sliced.groupBy("symbol", "_slice").agg(
         F.count("*").alias("_rows"), F.max_by("close", "ts").alias("_last")
     )

@@ -9,7 +9,6 @@ from ..functions.numeric import half_even as he
 from ..functions.numeric import rounded
 from ..operators import metrics as M
 from ..operators import signals as X
-from ..operators import snapshots as N
 from ..session import scratch_path
 from ..sources import landed as L
 from ..streaming import queue as Q

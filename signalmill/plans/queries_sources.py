@@ -14,7 +14,7 @@ from ..sources import landed as L
 from ..sources import payloads as P
 from ..sources import series as S
 from .bindings import KEYWORDS, SHOWN_SYMBOLS, Inputs
-from .oracle_views import VIEWS, half_even, q
+from .oracle_views import half_even, q
 from .queries_decisions import decisions
 from .registry import day, query, sql_day, sql_stamp, stamp
 

@@ -155,3 +155,20 @@ def test_indicator_windows_share_one_exchange_per_key(spark):
     by_block = [line for line in exchanges if "_block" in line]
     assert len(by_block) == 1
     assert not any("SinglePartition" in line for line in plan.splitlines())
+
+
+def test_unique_times_need_no_tie_column(spark):
+    rows = [("A", dt.datetime(2024, 1, 1, 5, m), m, float(m)) for m in (10, 0, 30)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id bigint, value double")
+    plain = B.resample(ticks.drop("id"), tie=None)
+    assert [tuple(r) for r in plain.collect()] == [tuple(r) for r in B.resample(ticks).collect()]
+    assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_asset_of_a_day_ignores_later_bars(spark):
+    rows = history("A", 900, 6) + history("B", 700, 7)
+    cut = dt.datetime(2024, 1, 20)
+    whole = {r.d: r.best_asset for r in I.best_asset_by_day(I.indicator_series(frame(spark, rows))).collect()}
+    early = I.best_asset_by_day(I.indicator_series(frame(spark, [r for r in rows if r[1] < cut])))
+    for row in early.filter(f"d < DATE'{cut:%Y-%m-%d}'").collect():
+        assert whole[row.d] == row.best_asset
