@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,16 +29,21 @@ def build_session(app: str = "signalmill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_private: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a private one is made only for an unset local session."""
+    """The folder all executors share. A local session without one gets a private folder, removed when Python ends."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="signalmill-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    if context.applicationId not in _private:
+        _private[context.applicationId] = folder = tempfile.mkdtemp(prefix="signalmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _private[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
