@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .quality_rules import op7_quality_rules
 from .secret_scan import op3_secret_scan
+from .simhash_dedup import op9_simhash_dedup
+from .source_mix import op4_source_mix
 from .token_counts import op10_token_counts
 from .url_filter import op8_url_filter
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_source_mix": op4_source_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}

@@ -80,3 +80,44 @@ def quality(rows, least=20, share=0.05):
         counts = quality_counts(text)
         out[doc_id] = (*counts, lost, not counts[5] and 2 * lost <= counts[0])
     return out
+
+
+def fingerprint(text, size=4):
+    import xxhash
+
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, bits=4):
+    """{print: least print reachable}, by comparing all pairs."""
+    import numpy as np
+
+    values = np.array(sorted(set(prints)), np.uint64)
+    parent = list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1:] ^ values[i]) <= bits) + i + 1:
+            a, b = sorted((root(i), root(int(j))))
+            parent[b] = a
+    return {int(v): int(values[root(i)]) for i, v in enumerate(values)}
+
+
+def near_duplicates(rows, bits=4):
+    """rows: (doc_id, text); gives {doc_id: (fingerprint, component)}"""
+    prints = {d: fingerprint(t) for d, t in rows}
+    group = components(prints.values(), bits)
+    least = {}
+    for d, p in prints.items():
+        least[group[p]] = min(d, least.get(group[p], d))
+    return {d: (f"{p:016x}", least[group[p]]) for d, p in prints.items()}
