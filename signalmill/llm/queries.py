@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from .line_dedup import op5_line_dedup
+from .pieces import op2_sentencepiece
 from .quality_rules import op7_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash_dedup import op9_simhash_dedup
 from .source_mix import op4_source_mix
 from .token_counts import op10_token_counts
 from .url_filter import op8_url_filter
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mix": op4_source_mix,
+    "op5_line_dedup": op5_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
