@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .line_dedup import op5_line_dedup
 from .pieces import op2_sentencepiece
 from .quality_rules import op7_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mix": op4_source_mix,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ann": op6_ann,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_simhash_dedup": op9_simhash_dedup,
