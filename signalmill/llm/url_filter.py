@@ -53,11 +53,11 @@ def matched_rule(host_column: Column, path_column: Column, rules: Sequence[tuple
     return found
 
 
-def grams(prefix: str, text: Column, n: int) -> Column:
-    """Character n-grams of a text, each marked with where it comes from; a shorter text is one gram."""
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
-    return F.transform(starts, lambda i: F.concat(F.lit(prefix), *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)]))
+def grams(prefix: str, chars: str, n: int) -> Column:
+    """The n-grams of an array of characters, each marked with where it comes from; a shorter one is one gram."""
+    own = F.col(chars)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(own) - n, F.lit(0)))
+    return F.transform(starts, lambda i: F.concat(F.lit(prefix), *[F.coalesce(F.get(own, i + k), F.lit("")) for k in range(n)]))
 
 
 class UrlModel:
@@ -69,7 +69,9 @@ class UrlModel:
         self.model, self.constant = None, 0.0
 
     def _features(self, urls: DataFrame) -> DataFrame:
-        both = F.concat(grams("h", F.col("__host"), self.n), grams("p", F.col("__path"), self.n))
+        chars = {c: F.split(F.concat(F.lit("^"), F.col(f"__{c}"), F.lit("$")), "") for c in ("host", "path")}
+        urls = urls.withColumns({f"__{c}_chars": x for c, x in chars.items()})
+        both = F.concat(grams("h", "__host_chars", self.n), grams("p", "__path_chars", self.n))
         return self.hasher.transform(urls.withColumn("__grams", both))
 
     def fit(self, labelled: DataFrame, url: str = "url", blocked: str = "blocked") -> UrlModel:
