@@ -38,6 +38,8 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Up to so many revisits (about 300 bytes each) go to every task; more are joined.
+SENT_REVISITS = 20_000
 _NAMES = uuid.UUID("6f0d0f3a-5d0e-5c55-9d8c-3f4b1f0a7c11")
 _HEADER = re.compile(rb"^(\S+) ([0-9A-Fa-f.:]+) (\d{14}) (\S+) ((?:\S+ ){0,5})(\d+)$")
 
@@ -79,7 +81,7 @@ def write_archive(records: DataFrame, path: str, first: bytes, end: str) -> None
     """``records`` (``value`` binary) as gzip files, each beginning with the record ``first``; ``end`` closes a record."""
     ship_code(records.sparkSession)
     rows = records.mapInArrow(lambda batches: _with_first(batches, first), "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").text(path)
+    rows.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def arc_first(version: int) -> bytes:
@@ -317,8 +319,10 @@ def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 100, fi
     again = large.join(first, ["payload_bytes", "payload_digest"]).where(
         (F.col("archive") != F.col("first.archive")) | (F.col("offset") != F.col("first.offset"))
     ).select("archive", "offset", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("archive", "offset", "url", "date")])
+    again = written(again, "arc-revisits")
+    sent = F.broadcast(again) if again.count() <= SENT_REVISITS else again.hint("shuffle_hash")
     records = read_arc(spark, arc).where("problem IS NULL").drop("problem")
-    rows = records.join(again.hint("shuffle_hash"), ["archive", "offset"], "left")
+    rows = records.join(sent, ["archive", "offset"], "left")
     write_archive(rows.mapInArrow(_to_warc, "value binary"), warc, warc_first(), "\r\n\r\n")
 
 
