@@ -4,8 +4,10 @@ The ``\n``-split lines of a text are hashed. A cyclic rolling hash over the last
 wherever it falls on one value in ``every``, so boundaries depend on nearby lines alone and shift with them. Chunks of two
 or more lines that hold a word are candidates.
 
-Narrow rows (two hashes, length, place) find the chunk hashes that occur more than once; only the chunks under those
-travel with their text, are grouped byte by byte, and all but the first (least key, then content, then place) are
+Narrow rows (two hashes, length, place) find the chunk hashes that occur more than once. Up to a checked number these go
+to every task, so that only the chunks under them travel with their text; beyond it all chunks meet them by a shuffle.
+Candidates
+are grouped byte by byte, and all but the first (least key, then content, then place) are
 removed. Equal chunks meet by partial aggregation and skew-splittable joins, never as one group.
 
 Defined results: null and empty texts stay as they are; rows equal in key and text count as one document; a document that
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, same, table, written
 
 
+#: Up to so many repeated hashes (24 bytes each) go to every task; more are joined.
+SENT_HASHES = 300_000
+
+
 def _turned(h: Column, by: int) -> Column:
     return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
 
@@ -67,7 +73,8 @@ def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     often = rows.groupBy(*marks).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     often = written(often, "chunk-hashes")
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col("place").alias("p"))
-    found = written(rows.join(often, marks, "left_semi").withColumn("__order", order), "chunks")
+    sent = F.broadcast(often) if often.count() <= SENT_HASHES else often.hint("shuffle_hash")
+    found = written(rows.join(sent, marks, "left_semi").withColumn("__order", order), "chunks")
     first = found.groupBy(*marks, "chunk").agg(F.min("__order").alias("__first")).withColumnRenamed("chunk", "__kept")
     met = found.join(first, marks).where((F.col("chunk") == F.col("__kept")) & ~F.col("__order").eqNullSafe(F.col("__first")))
     return met.select("__key", "__content", "place")
