@@ -6,9 +6,8 @@ or more lines that hold a word are candidates.
 
 Narrow rows (two hashes, length, place) find the chunk hashes that occur more than once. Up to a checked number these go
 to every task, so that only the chunks under them travel with their text; beyond it all chunks meet them by a shuffle.
-Candidates
-are grouped byte by byte, and all but the first (least key, then content, then place) are
-removed. Equal chunks meet by partial aggregation and skew-splittable joins, never as one group.
+Candidates are grouped byte by byte, and all but the first (least key, then content, then place) are removed. Equal
+chunks meet by partial aggregation and skew-splittable joins, never as one group.
 
 Defined results: null and empty texts stay as they are; rows equal in key and text count as one document; a document that
 loses all its chunks keeps an empty text; an empty table gives an empty result.

@@ -121,3 +121,56 @@ def near_duplicates(rows, bits=4):
     for d, p in prints.items():
         least[group[p]] = min(d, least.get(group[p], d))
     return {d: (f"{p:016x}", least[group[p]]) for d, p in prints.items()}
+
+
+def _xxh(data, seed=42):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed=seed)
+
+
+def chunks(text, window=3, every=4):
+    """The content-defined chunks of a text, as lists of lines."""
+    lines = text.split("\n")
+    hashes = [_xxh(x.encode()) for x in lines]
+    out, start = [], 0
+    for i in range(len(lines)):
+        total = 0
+        for back in range(window):
+            h = hashes[i - back] if i >= back else 0
+            total ^= (h << back | h >> (64 - back)) & (2**64 - 1) if back else h
+        value = _xxh(total.to_bytes(8, "little"))
+        value -= 2**64 if value >= 2**63 else 0
+        if value % every == 0 or i == len(lines) - 1:
+            out.append(lines[start:i + 1])
+            start = i + 1
+    return out
+
+
+def line_dedup(rows):
+    """rows: distinct (doc_id, text) with ids that are not null; gives {doc_id: text}"""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        kept = []
+        for chunk in chunks(text):
+            joined = "\n".join(chunk)
+            if len(chunk) > 1 and WORD.search(joined):
+                if joined in seen:
+                    continue
+                seen.add(joined)
+            kept.append(joined)
+        out[doc_id] = "\n".join(kept)
+    return out
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """{source: target}: excess over ``most`` times a source's size is shared again until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, total = {}, sum(sizes.values())
+    while len(out) < len(names):
+        rest = [s for s in names if s not in out]
+        share = {s: (total - sum(out.values())) * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > most * sizes[s] + 1e-9]
+        out |= {s: float(most * sizes[s]) for s in over} if over else share
+    return out
