@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A history is cut into time slices for numbering and into row blocks for windows.
-# Every block but the first also carries the last HALO_ROWS rows before it: the slowest
-# average here (alpha 1/14) has forgotten its start by then ((13/14)**640 is about 2e-21).
 SLICE_SECONDS = 7 * 86_400
 BLOCK_ROWS = 1024
-HALO_ROWS = 640
-LATEST_SALTS = 32
 
 
 def resample(ticks: DataFrame, unit: str = "hour", tie: str | None = "id") -> DataFrame:
@@ -58,8 +54,8 @@ def numbered(bars: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     )
 
 
-def blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
-    """Adds _block and repeats the rows a later block needs to see; _own marks the original copies."""
+def blocked(rows: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
+    """Adds _block and repeats the ``halo_rows`` rows that a later block looks back on; _own marks the original copies."""
     in_tail = f"(rn - 1) % {block_rows} >= {block_rows - halo_rows} AND rn <= n - 1 - (n - 1) % {block_rows}"
     return (
         rows.selectExpr("*", f"(rn - 1) div {block_rows} AS _home")
@@ -67,17 +63,3 @@ def blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO
         .selectExpr("*", "_block = _home AS _own")
         .drop("_home")
     )
-
-
-def latest(bars: DataFrame, rows: int = HALO_ROWS) -> DataFrame:
-    """The newest ``rows`` bars per symbol with rn counted inside them and _own on the last one.
-
-    The row limit acts on the map side, then on LATEST_SALTS parts of a symbol, then on the symbol, so the
-    last task of a hot symbol gets a fixed number of rows however many tasks read it.
-    """
-    part = f"pmod(xxhash64(ts), {LATEST_SALTS})"
-    parts = bars.selectExpr("*", f"row_number() OVER (PARTITION BY symbol, {part} ORDER BY ts DESC) AS _place")
-    kept = parts.filter(f"_place <= {rows}").drop("_place")
-    aged = kept.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS _age")
-    counted = aged.filter(f"_age <= {rows}").selectExpr("*", "count(*) OVER (PARTITION BY symbol) AS n")
-    return counted.selectExpr("*", "n - _age + 1 AS rn", "_age = 1 AS _own").drop("_age")

@@ -55,10 +55,11 @@ SIZED = f"least(abs(score) * 10, {MAX_SIZE_PCT}d)"
 def run_rows(
     signals: DataFrame, weights: Mapping[str, float] = AGENT_WEIGHTS, extra: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per run with ``signals``: its agents' latest signals in fixed agent order.
+    """One row per run with ``signals``: its agents' latest signals, listed agents in their order, then others by name.
 
-    A pivot of fixed-size aggregates: map-side combining keeps a repeated run small, and everything
-    a run needs is gathered by a single shuffle. An agent without a row is simply not in the array.
+    A pivot with one slot per listed agent: map-side combining keeps a repeated run small, and everything a run needs is
+    gathered by a single shuffle. An agent without a row is simply not in the array. What distinct rows of other agents
+    a run holds come together before the latest of each is taken; a run is a handful of rows.
     """
     record = f"struct({', '.join(SIGNAL_FIELDS)})"
     named = {"ts": "max(ts)", **(extra or {})}
@@ -66,8 +67,12 @@ def run_rows(
     for slot, agent in zip(slots, weights):
         of_agent = f"agent_name = {quoted([agent])}"
         named[slot] = f"max_by({record}, ts) FILTER (WHERE {of_agent})"
+    other = f"agent_name IS NOT NULL AND agent_name NOT IN ({quoted([*weights, PORTFOLIO_AGENT])})"
+    named["_others"] = f"collect_set(struct(agent_name AS a, ts AS t, {record} AS s)) FILTER (WHERE {other})"
     runs = signals.groupBy("run_id").agg(*[F.expr(f"{text} AS {name}") for name, text in named.items()])
-    return runs.withColumn("signals", F.expr(f"array_compact(array({', '.join(slots)}))")).drop(*slots)
+    names = "array_sort(array_distinct(transform(_others, o -> o.a)))"
+    others = f"transform({names}, a -> array_max(filter(_others, o -> o.a = a)).s)"
+    return runs.withColumn("signals", F.expr(f"concat(array_compact(array({', '.join(slots)})), {others})")).drop(*slots, "_others")
 
 
 def common_asset_sql(signals: str = "signals") -> str:
@@ -93,12 +98,14 @@ def run_decisions(
     social_direction: DataFrame | None = None,
     weights: Mapping[str, float] = AGENT_WEIGHTS,
     key: str = "portfolio_id",
+    market_flags: DataFrame | None = None,
 ) -> DataFrame:
     """The whole chain over all runs: texts, flags and market evidence to one recommendation per run.
 
     ``responses`` holds the agents' texts and, as agent PortfolioManager, the final answer.
-    ``flags`` are risk flag rows per portfolio; ``best_asset`` and ``social_direction`` (direction) are one-row
-    tables. Each of the three may instead hold a row per date ``d``: a run then sees the one of its own date.
+    ``flags`` are risk flag rows per portfolio; ``market_flags`` (flag_order, symbol, flag) hold for every run, also one
+    without portfolio or positions, and come first. ``best_asset`` and ``social_direction`` (direction) are one-row
+    tables. Each of the four may instead hold rows per date ``d``: a run then sees those of its own date.
     A run without any specialist row gives no recommendation; a missing agent is left out.
     """
     answer = "max_by(struct(response_text, direction, strength, confidence), ts)"
@@ -108,6 +115,7 @@ def run_decisions(
     runs = runs.filter("size(signals) > 0 AND answer IS NOT NULL").withColumn("d", F.to_date("ts"))
     lists = flag_lists(flags, key)
     runs = runs.join(lists, [c for c in (key, "d") if c in lists.columns], "left")
+    runs = _with_market_flags(runs, market_flags)
     runs = _with_context(runs, best_asset, "best_asset")
     if social_direction is not None:
         social_direction = social_direction.withColumnRenamed("direction", "social_direction")
@@ -115,6 +123,20 @@ def run_decisions(
     return recommended(runs.withColumn("n_flags", F.expr("coalesce(n_flags, 0)")), key, weights)
 
 
+def _with_market_flags(runs: DataFrame, market_flags: DataFrame | None) -> DataFrame:
+    """Puts the market's flags before the run's own; n_flags counts both, flags is NULL if there are none."""
+    if market_flags is None:
+        return runs
+    listed = F.expr("transform(sort_array(collect_list(struct(flag_order, symbol, flag))), f -> f.flag) AS _market")
+    if "d" in market_flags.columns:
+        runs = runs.join(market_flags.groupBy("d").agg(listed), "d", "left")
+    else:
+        runs = runs.withColumn("_market", market_flags.agg(listed).scalar())
+    runs = runs.withColumn("_all", F.expr("concat(coalesce(_market, array()), coalesce(flags, array()))"))
+    counted = {"n_flags": F.size("_all").cast("long"), "flags": F.expr("CASE WHEN size(_all) > 0 THEN _all END")}
+    return runs.withColumns(counted).drop("_market", "_all")
+
+
 def _with_context(runs: DataFrame, context: DataFrame | None, name: str) -> DataFrame:
     """Adds the column ``name``: of the run's date, of the only row, or NULL without a context."""
     if context is None:

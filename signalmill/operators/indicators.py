@@ -9,7 +9,9 @@ from ..constants import DEFAULT_ASSET, TRADING_DAYS
 from ..functions.lookup import quoted
 from ..functions.numeric import fixed_sql, half_even, rounded
 from ..sources.series import carried
+from ..functions.times import AsOf, days_before
 from . import bars as B
+from .bars import BLOCK_ROWS
 
 MIN_BARS = 26
 LOOKBACK_DAYS = 90
@@ -19,37 +21,109 @@ RECORD_DIGITS = {"close": 2, "rsi": 2, "macd": 4, "macd_signal": 4, "macd_hist":
 USABLE = "close IS NOT NULL AND NOT isnan(close)"
 
 
-def _ewma(value: str, age: str, alpha: str, keys: str) -> str:
-    """Exponential average seeded with its first value, as a weighted running sum.
+GAIN, FAST, SLOW, SIGNAL = 1 / 14, 2 / 13, 2 / 27, 0.2
+# Rows after which the slowest of these averages has lost its start altogether: the weight is no double any more.
+FORGOTTEN_ROWS = 10_100
 
-    y(i) = q^i * (x0 + sum of alpha * x(j) * q^-j) with q = 1 - alpha; ``age`` counts from the seed.
-    q^-age stays far inside a double because a block has at most BLOCK_ROWS + HALO_ROWS rows.
+
+def _local(value: str, alpha: float, seed: int, where: str = "true") -> str:
+    """What the rows of a block add to an exponential average, as a weighted running sum.
+
+    With q = 1 - alpha and k the row's place in its block: q^k * sum of w * x(j) * q^-j, where w is 1 at row ``seed`` of the
+    history, alpha after it and 0 before. q^-k stays far inside a double for the lengths that blocks may have.
     """
-    term = f"CASE WHEN {age} = 0 THEN {value} WHEN {age} > 0 THEN {value} * {alpha} * pow(1 - {alpha}, -({age})) END"
-    window = f"(PARTITION BY {keys} ORDER BY rn ROWS UNBOUNDED PRECEDING)"
-    return f"pow(1 - {alpha}, {age}) * sum({term}) OVER {window}"
+    weight = f"CASE WHEN NOT ({where}) OR rn < {seed} THEN 0d WHEN rn = {seed} THEN 1d ELSE {alpha!r}d END"
+    return f"pow({1 - alpha!r}d, _k) * sum({weight} * {value} * pow({1 - alpha!r}d, -_k)) OVER (PARTITION BY symbol, _block ORDER BY rn ROWS UNBOUNDED PRECEDING)"
+
 
+def _block_sums(rows: DataFrame, block_rows: int) -> DataFrame:
+    """What each block's rows add to every average by the block's end: one aggregate, no window.
 
-def _add_indicators(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All indicator columns; rows need close, rn and _own. One exchange and one sort serve every column."""
-    by = ", ".join(keys)
-    spec = f"(PARTITION BY {by} ORDER BY rn)"
-    band = f"(PARTITION BY {by} ORDER BY rn ROWS {BAND_ROWS - 1} PRECEDING)"
+    The signal averages the line, so a close enters it by the sum of both decays over the rows in between.
+    """
+    s = 1 - SIGNAL
+    seed = "CASE WHEN rn = 1 THEN 1d ELSE {0!r}d END"
+    sums = {
+        "_gain": f"greatest(close - prev_close, 0d) * {GAIN!r}d * pow({1 - GAIN!r}d, _m)",
+        "_loss": f"greatest(prev_close - close, 0d) * {GAIN!r}d * pow({1 - GAIN!r}d, _m)",
+    }
+    entering = []
+    for name, alpha in (("_fast", FAST), ("_slow", SLOW)):
+        q, weight = 1 - alpha, seed.format(alpha)
+        sums[name] = f"close * {weight} * pow({q!r}d, _m)"
+        after = f"{SIGNAL / (q - s)!r}d * (pow({q!r}d, _m + 1) - pow({s!r}d, _m + 1))"
+        first = (
+            f"pow({q!r}d, {MIN_BARS} - rn) * (pow({s!r}d, _end - {MIN_BARS})"
+            f" + {SIGNAL * q / (q - s)!r}d * (pow({q!r}d, _end - {MIN_BARS}) - pow({s!r}d, _end - {MIN_BARS})))"
+        )
+        entering.append(f"{weight} * (CASE WHEN rn > {MIN_BARS} THEN {after} ELSE {first} END)")
+    sums["_signal"] = f"close * ({entering[0]} - {entering[1]})"
+    placed = rows.selectExpr("symbol", "close", "prev_close", "rn", f"(rn - 1) div {block_rows} AS _block", f"least(n, ((rn - 1) div {block_rows} + 1) * {block_rows}) AS _end")
+    placed = placed.selectExpr("*", "_end - rn AS _m")
+    return placed.groupBy("symbol", "_block").agg(
+        F.max("_end").alias("rn"), *[F.expr(f"coalesce(sum({value}), 0d) AS {name}") for name, value in sums.items()]
+    ).withColumn("_k", F.expr(f"rn - _block * {block_rows}"))
+
+
+def _decayed(columns: dict[str, float], blocks: int) -> list[str]:
+    """The averages at the end of a block: what it and the blocks before it add, each decayed by the rows in between."""
+    frame = f"(PARTITION BY symbol ORDER BY _block ROWS {blocks} PRECEDING)"
+    rows = f"collect_list(struct(rn, {', '.join(columns)})) OVER {frame}"
+    return [f"aggregate({rows}, 0d, (t, b) -> t + b.{name} * pow({1 - alpha!r}d, rn - b.rn)) AS _y{name}" for name, alpha in columns.items()]
+
+
+def _added_by_start(alpha: float) -> str:
+    """The signal's share, _k rows into a block, of an average that enters the block with value one."""
+    q, s = 1 - alpha, 1 - SIGNAL
+    return f"({SIGNAL * q / (q - s)!r}d * (pow({q!r}d, _k) - pow({s!r}d, _k)))"
+
+
+def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
+    """Every indicator on every bar: symbol, ts, close, rn, n and INDICATORS (NULL while warming up).
+
+    Inside a block, averages are running sums of what its own rows add. The state with which a block begins is the
+    decayed sum of what the blocks before it added, one row per block, exact in double arithmetic. Gain and loss enter the RSI as a
+    ratio, which a flat price does not change however long it lasts, so their state is that of the last block with a move.
+    """
+    if not 2 * SIGNAL_START <= block_rows <= 2048:
+        raise ValueError("a block has 68 to 2048 rows")
+    numbered = B.numbered(bars.select("symbol", "ts", "close").filter(USABLE), slice_seconds)
+    rows = B.blocked(numbered, block_rows, BAND_ROWS - 1)
+    band = f"OVER (PARTITION BY symbol, _block ORDER BY rn ROWS {BAND_ROWS - 1} PRECEDING)"
+    flat = f"max(close) {band} = min(close) {band}"
+    rows = rows.selectExpr(
+        "symbol", "ts", "close", "rn", "n", "_block", "_own", f"(rn - 1) % {block_rows} + 1 AS _k",
+        "CASE WHEN rn > 1 THEN greatest(close - prev_close, 0d) ELSE 0d END AS _up",
+        "CASE WHEN rn > 1 THEN greatest(prev_close - close, 0d) ELSE 0d END AS _down",
+        f"CASE WHEN {flat} THEN close ELSE avg(close) {band} END AS _mid",
+        f"CASE WHEN {flat} THEN 0d ELSE stddev_pop(close) {band} END AS _dev",
+    ).filter("_own")
     rows = rows.selectExpr(
-        "*", f"rn - min(rn) OVER (PARTITION BY {by}) AS _age", f"close - lag(close) OVER {spec} AS _move"
+        "*", f"{_local('_up', GAIN, 1)} AS _gain", f"{_local('_down', GAIN, 1)} AS _loss",
+        f"{_local('close', FAST, 1)} AS _fast", f"{_local('close', SLOW, 1)} AS _slow",
+    )
+    rows = rows.selectExpr("*", f"{_local('(_fast - _slow)', SIGNAL, MIN_BARS)} AS _signal")
+    back = -(-FORGOTTEN_ROWS // block_rows)
+    ends = _block_sums(numbered, block_rows)
+    ends = ends.selectExpr("*", *_decayed({"_gain": GAIN, "_loss": GAIN, "_fast": FAST, "_slow": SLOW}, back))
+    order = "OVER (PARTITION BY symbol ORDER BY _block)"
+    ends = ends.selectExpr(
+        "symbol", "_block", "rn", "_y_fast", "_y_slow",
+        f"last(CASE WHEN _gain + _loss > 0 THEN struct(rn, _y_gain AS gain, _y_loss AS loss) END, true) {order} AS _moved",
+        f"_signal + coalesce(lag(_y_fast) {order} * {_added_by_start(FAST)} - lag(_y_slow) {order} * {_added_by_start(SLOW)}, 0d) AS _signal",
     )
-    gain, loss = "greatest(coalesce(_move, 0d), 0d)", "greatest(-coalesce(_move, 0d), 0d)"
+    ends = ends.selectExpr("*", *_decayed({"_signal": SIGNAL}, back))
+    state = ends.selectExpr("symbol", "_block + 1 AS _block", "_y_fast", "_y_slow", "_moved", "_y_signal")
+    rows = rows.join(state, ["symbol", "_block"], "left")
+    since = f"pow({1 - GAIN!r}d, rn - _moved.rn)"
+    still = "_gain = 0 AND _loss = 0 AND _moved IS NOT NULL"
     rows = rows.selectExpr(
-        "*",
-        f"{_ewma(gain, '_age', '(1d/14)', by)} AS _gain",
-        f"{_ewma(loss, '_age', '(1d/14)', by)} AS _loss",
-        f"{_ewma('close', '_age', '(2d/13)', by)} - {_ewma('close', '_age', '(2d/27)', by)} AS _line",
-        f"avg(close) OVER {band} AS _mid",
-        f"stddev_pop(close) OVER {band} AS _dev",
-        # the signal line starts where the line does: row 26, or the first halo row of a later block
-        f"rn - greatest(rn - _age, {MIN_BARS}) AS _signal_age",
+        "symbol", "ts", "close", "rn", "n", "_mid", "_dev",
+        f"CASE WHEN {still} THEN _moved.gain ELSE _gain + coalesce(_moved.gain * {since}, 0d) END AS _gain",
+        f"CASE WHEN {still} THEN _moved.loss ELSE _loss + coalesce(_moved.loss * {since}, 0d) END AS _loss",
+        f"_fast + coalesce(_y_fast * pow({1 - FAST!r}d, _k), 0d) - _slow - coalesce(_y_slow * pow({1 - SLOW!r}d, _k), 0d) AS _line",
+        f"_signal + coalesce(_y_signal * pow({1 - SIGNAL!r}d, _k) + _y_fast * {_added_by_start(FAST)} - _y_slow * {_added_by_start(SLOW)}, 0d) AS _signal",
     )
-    rows = rows.selectExpr("*", f"{_ewma('_line', '_signal_age', '0.2d', by)} AS _signal")
     known = {
         "rsi": (RSI_ROWS, "CASE WHEN _loss = 0 THEN 100d ELSE 100 - 100 / (1 + _gain / _loss) END"),
         "macd": (MIN_BARS, "_line"),
@@ -59,25 +133,20 @@ def _add_indicators(rows: DataFrame, keys: list[str]) -> DataFrame:
         "bb_mid": (BAND_ROWS, "_mid"),
         "bb_low": (BAND_ROWS, "_mid - 2 * _dev"),
     }
-    return rows.selectExpr("*", *[f"CASE WHEN rn >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()])
+    return rows.selectExpr("symbol", "ts", "close", "rn", "n", *[f"CASE WHEN rn >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()])
 
 
-def indicator_series(
-    bars: DataFrame, block_rows: int = B.BLOCK_ROWS, halo_rows: int = B.HALO_ROWS,
-    slice_seconds: int = B.SLICE_SECONDS,
-) -> DataFrame:
-    """Every indicator on every bar: symbol, ts, close, rn and INDICATORS (NULL while warming up)."""
-    closes = bars.select("symbol", "ts", "close").filter(USABLE)
-    rows = B.blocked(B.numbered(closes, slice_seconds), block_rows, halo_rows)
-    done = _add_indicators(rows, ["symbol", "_block"])
-    return done.filter("_own").select("symbol", "ts", "close", "rn", *INDICATORS)
+def within(bars: DataFrame, as_of: AsOf | None, days: int) -> DataFrame:
+    """The bars of the ``days`` days up to and with ``as_of``; all bars without one."""
+    if as_of is None:
+        return bars
+    return bars.filter((F.col("ts") >= days_before(as_of, days)) & (F.col("ts") < days_before(as_of, -1)))
 
 
-def indicator_latest(bars: DataFrame) -> DataFrame:
-    """Indicators of each symbol's last bar, read from its newest bars only; n counts those bars."""
-    closes = bars.select("symbol", "ts", "close").filter(USABLE)
-    done = _add_indicators(B.latest(closes), ["symbol"])
-    return done.filter("_own").select("symbol", "ts", "close", "n", *INDICATORS)
+def indicator_latest(bars: DataFrame, as_of: AsOf | None = None, days: int = LOOKBACK_DAYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Indicators of each symbol's last bar, over the look-back before ``as_of`` or all given bars; n counts those bars."""
+    done = indicator_series(within(bars, as_of, days), block_rows)
+    return done.filter("rn = n").select("symbol", "ts", "close", "n", *INDICATORS)
 
 
 def history_gate(bars: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
@@ -106,11 +175,11 @@ def scored(latest: DataFrame) -> DataFrame:
     return latest.filter(f"n >= {MIN_BARS}").selectExpr("*", f"{score} AS ta_score", f"{reasons} AS ta_signals")
 
 
-def indicator_records(bars: DataFrame, symbols=None) -> DataFrame:
-    """The rounded record per symbol."""
+def indicator_records(bars: DataFrame, symbols=None, as_of: AsOf | None = None, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """The rounded record per symbol, from the look-back before ``as_of`` or all given bars."""
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(list(symbols)))
-    return scored(indicator_latest(bars)).select("symbol", *rounded(RECORD_DIGITS), "ta_score", "ta_signals")
+    return scored(indicator_latest(bars, as_of, days)).select("symbol", *rounded(RECORD_DIGITS), "ta_score", "ta_signals")
 
 
 def direction_by_score(records: DataFrame) -> DataFrame:
@@ -144,17 +213,23 @@ def best_asset_by_day(series: DataFrame, order=None, days: int = LOOKBACK_DAYS)
     return scored(known).groupBy("d").agg(_best(order))
 
 
+VOLATILITY_DAYS = 60
+
+
 def log_returns(bars: DataFrame, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
-    """ln(close / previous close) per bar; the first bar of a symbol has none."""
+    """ln(close / previous close) per bar; the first bar of a symbol has none, nor has one beside a missing close."""
     rows = B.numbered(bars.select("symbol", "ts", "close"), slice_seconds)
     value = "CASE WHEN close > 0 AND prev_close > 0 THEN ln(close / prev_close) END AS log_return"
-    return rows.selectExpr("symbol", "ts", "n", value).filter("log_return IS NOT NULL")
+    return rows.selectExpr("symbol", "ts", "n", value).filter("log_return IS NOT NULL AND NOT isnan(log_return)")
 
 
-def volatility(bars: DataFrame, symbols=None, min_bars: int = 10) -> DataFrame:
-    """Annualised volatility in percent from the given bars; symbols with too few bars are absent."""
+def volatility(bars: DataFrame, symbols=None, min_bars: int = 10, as_of: AsOf | None = None, days: int = VOLATILITY_DAYS) -> DataFrame:
+    """Annualised volatility in percent over the look-back before ``as_of`` or all given bars; symbols with too few bars
+    or returns are absent."""
+    bars = within(bars, as_of, days)
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(list(symbols)))
     annual = F.expr(f"stddev_samp(log_return) * sqrt({TRADING_DAYS}d) * 100 AS _annual")
     per_symbol = log_returns(bars).groupBy("symbol").agg(annual, F.max("n").alias("_n"))
-    return per_symbol.filter(f"_n >= {min_bars}").select("symbol", half_even("_annual", 2).alias("volatility"))
+    usable = per_symbol.filter(f"_n >= {min_bars} AND _annual IS NOT NULL AND NOT isnan(_annual)")
+    return usable.select("symbol", half_even("_annual", 2).alias("volatility"))

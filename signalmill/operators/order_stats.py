@@ -17,8 +17,8 @@ BUCKETS_PER_E_FOLD = 1000
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bucket _b, distinct value _v and its count _c; NULL values are left out."""
-    rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v").filter("_v IS NOT NULL")
+    """keys, bucket _b, distinct value _v and its count _c; NULL and NaN are left out."""
+    rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v").filter("_v IS NOT NULL AND NOT isnan(_v)")
     # monotone in the value, at most about 1.4 million distinct buckets over all doubles
     bucket = f"CAST(floor(signum(_v) * log1p(abs(_v)) * {BUCKETS_PER_E_FOLD}) AS bigint) AS _b"
     return rows.selectExpr("*", bucket).groupBy(*keys, "_b", "_v").count().withColumnRenamed("count", "_c")

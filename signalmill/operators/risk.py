@@ -13,7 +13,7 @@ from ..functions.numeric import fixed_sql
 
 def high_volatility(volatilities: DataFrame, limit: float = MAX_VOLATILITY_PCT) -> DataFrame:
     text = f"concat('HIGH VOLATILITY: ', symbol, ' at ', {fixed_sql('volatility', 1)}, '%')"
-    return volatilities.filter(f"volatility > {limit}").selectExpr("1 AS flag_order", "symbol", f"{text} AS flag")
+    return volatilities.filter(f"volatility > {limit} AND NOT isnan(volatility)").selectExpr("1 AS flag_order", "symbol", f"{text} AS flag")
 
 
 def overweight(positions: DataFrame, key: str = "portfolio_id", limit: float = MAX_POSITION_PCT) -> DataFrame:
@@ -27,22 +27,28 @@ def sector_exposure(positions: DataFrame, key: str = "portfolio_id", limit: floa
     return total.filter(f"total > {limit}").selectExpr(key, "3 AS flag_order", "'' AS symbol", f"{text} AS flag")
 
 
+def market_flags(volatilities: DataFrame, symbols: Sequence[str] = VOLATILITY_SYMBOLS) -> DataFrame:
+    """The volatility flags of the listed symbols: (flag_order, symbol, flag)."""
+    return high_volatility(volatilities.filter(F.col("symbol").isin(list(symbols))))
+
+
 def risk_flags(
     positions: DataFrame, volatilities: DataFrame | None = None, key: str = "portfolio_id",
-    symbols: Sequence[str] = VOLATILITY_SYMBOLS,
+    symbols: Sequence[str] = VOLATILITY_SYMBOLS, portfolios: DataFrame | None = None,
 ) -> DataFrame:
     """One row per flag, in the order (flag_order, symbol) within a portfolio.
 
-    Volatility flags hold for every portfolio. They exist for the listed symbols only, so the list bounds
+    Volatility flags hold for every portfolio, with or without positions: ``portfolios`` (column ``key``, repeats
+    allowed) lists them, else those with positions are meant. They exist for the listed symbols only, so the list bounds
     the one small array that is attached. Flags stay rows: nothing gathers a portfolio into one task.
     """
     own = overweight(positions, key).unionByName(sector_exposure(positions, key))
     if volatilities is None:
         return own
     listed = F.expr("sort_array(collect_list(struct(flag_order, symbol, flag)))")
-    watched = volatilities.filter(F.col("symbol").isin(list(symbols)))
-    market = high_volatility(watched).agg(listed).scalar()
-    everyone = positions.select(key).distinct().select(key, F.inline(market))
+    market = market_flags(volatilities, symbols).agg(listed).scalar()
+    known = positions if portfolios is None else portfolios
+    everyone = known.select(key).distinct().select(key, F.inline(market))
     return everyone.unionByName(own)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import AGENT_WEIGHTS, ASSET_UNIVERSE, DEFAULT_ASSET, DIRECTIONS, STRENGTHS
+from ..constants import AGENT_WEIGHTS, DEFAULT_ASSET, DIRECTIONS, STRENGTHS
 from ..functions import parsing as P
 from ..functions.lookup import quoted
 from ..functions.times import iso_date, iso_utc
@@ -97,11 +97,6 @@ def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("size(reasons) = 0").drop("reasons"), checked.filter("size(reasons) > 0")
 
 
-def in_universe(rows: DataFrame) -> DataFrame:
-    """Rows whose asset belongs to the tradable universe."""
-    return rows.filter(F.col("asset").isin(*ASSET_UNIVERSE))
-
-
 AgentFunction = Callable[[DataFrame], DataFrame]
 _registry: dict[str, AgentFunction] = {}
 

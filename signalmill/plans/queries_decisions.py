@@ -20,9 +20,13 @@ from .bindings import TICKERS, Inputs
 from .oracle_views import VIEWS, fixed, half_even, q
 from .registry import query
 
+# every run has the market's volatility flags, whatever its portfolio holds
+VIEWS["run_flags"] = """
+SELECT portfolio_id, flag_order, symbol, flag FROM (SELECT DISTINCT portfolio_id FROM responses), vol_flags
+UNION ALL SELECT portfolio_id, flag_order, symbol, flag FROM own_flags WHERE portfolio_id IN (SELECT portfolio_id FROM responses)"""
 VIEWS["flag_counts"] = """
 SELECT portfolio_id, count(*) AS n_flags, string_agg(flag, ', ' ORDER BY flag_order, symbol) AS notes,
-       string_agg(concat('  ⚠ ', flag), chr(10) ORDER BY flag_order, symbol) AS flag_block FROM own_flags GROUP BY portfolio_id"""
+       string_agg(concat('  ⚠ ', flag), chr(10) ORDER BY flag_order, symbol) AS flag_block FROM run_flags GROUP BY portfolio_id"""
 VIEWS["final_signals"] = """
 SELECT s.run_id, s.portfolio_id, s.agent_name, s.ts, s.confidence, coalesce(n_flags, 0) AS n_flags,
   CASE agent_name WHEN 'MarketDataAgent' THEN 1 WHEN 'TechnicalAnalyst' THEN 2 WHEN 'SentimentAgent' THEN 3 ELSE 4 END AS place,
@@ -79,9 +83,20 @@ def social_direction(inp: Inputs):
     return S.with_margin(Q.social(inp))
 
 
+def market_flags(inp: Inputs):
+    return R.market_flags(M.volatilities(inp), M.SHOWN_SYMBOLS)
+
+
+def flags(inp: Inputs):
+    """The flags of every portfolio that a run has."""
+    return R.risk_flags(inp.positions(), M.volatilities(inp), symbols=M.SHOWN_SYMBOLS, portfolios=inp.responses())
+
+
 def decisions(inp: Inputs):
     responses = inp.responses().unionByName(inp.answers())
-    return D.run_decisions(responses, R.risk_flags(inp.positions()), best_asset(inp), social_direction(inp))
+    return D.run_decisions(
+        responses, R.risk_flags(inp.positions()), best_asset(inp), social_direction(inp), market_flags=market_flags(inp)
+    )
 
 
 SIGNAL = ["run_id", "agent_name", "asset", "direction", "strength", "confidence"]
@@ -113,7 +128,7 @@ def sentiment_signal(inp):
 
 @query("risk_signal", q(f"SELECT {SIGNAL_SQL}, n_flags FROM final_signals WHERE agent_name = 'RiskManager'"))
 def risk_signal(inp):
-    return X.risk_signal(inp.responses(), R.risk_flags(inp.positions())).select(*SIGNAL, "n_flags")
+    return X.risk_signal(inp.responses(), flags(inp)).select(*SIGNAL, "n_flags")
 
 
 @query("join_agent_weight", q("""
@@ -133,7 +148,7 @@ SELECT run_id, portfolio_id, count(*) AS n_signals,
        coalesce(max(n_flags), 0) AS n_flags
 FROM signals LEFT JOIN flag_counts USING (portfolio_id) GROUP BY run_id, portfolio_id"""))
 def join_run_evidence(inp):
-    return J.run_evidence(X.parsed(inp.responses()), R.risk_flags(inp.positions()))
+    return J.run_evidence(X.parsed(inp.responses()), flags(inp))
 
 
 @query("signal_record", q("""
@@ -171,7 +186,7 @@ SELECT run_id, CASE WHEN n_flags > 0 THEN score * 0.5 ELSE score END AS damped
 FROM plain_score JOIN (SELECT DISTINCT run_id, portfolio_id FROM responses) USING (run_id) LEFT JOIN flag_counts USING (portfolio_id)"""))
 def damp_score(inp):
     runs = inp.responses().groupBy("run_id").agg(F.max("portfolio_id").alias("portfolio_id"))
-    counted = R.flag_counts(R.risk_flags(inp.positions()))
+    counted = R.flag_counts(flags(inp))
     rows = D.scores(X.parsed(inp.responses())).join(runs, "run_id").join(counted, "portfolio_id", "left")
     return rows.selectExpr("run_id", f"{D.DAMPED} AS damped")
 
@@ -248,7 +263,7 @@ def run_decisions_by_day(inp):
     """Every run with the market evidence of its own date."""
     daily = I.best_asset_by_day(I.indicator_series(inp.bars_h()))
     responses = inp.responses().unionByName(inp.answers())
-    rows = D.run_decisions(responses, R.risk_flags(inp.positions()), daily, social_direction(inp))
+    rows = D.run_decisions(responses, R.risk_flags(inp.positions()), daily, social_direction(inp), market_flags=market_flags(inp))
     technical = "get(filter(signals, s -> s.agent_name = 'TechnicalAnalyst'), 0).asset AS technical_asset"
     return rows.selectExpr("run_id", "asset", technical, "score")
 
@@ -302,13 +317,12 @@ UNION ALL SELECT 'inventory', series_id, concat('  Inventory: ', CAST(v AS VARCH
 UNION ALL SELECT 'tickers', '', string_agg(concat(ticker, '(', mentions, ')'), ', ' ORDER BY mentions DESC, ticker)
   FROM (SELECT ticker, count(*) AS mentions FROM mentions GROUP BY ticker ORDER BY mentions DESC, ticker LIMIT 5)
 UNION ALL SELECT 'headlines', url, concat('  - ', title) FROM (SELECT * FROM headlines ORDER BY query_order, rank LIMIT 15)
-UNION ALL SELECT 'flags', '', '  ✓ No active risk flags'
+UNION ALL SELECT 'flags', symbol, concat('  ⚠ ', flag) FROM vol_flags
 UNION ALL SELECT 'macro', series_id, concat('  ', series_id, ': ', {fixed('value', 2)})
   FROM (SELECT series_id, max_by(value, d) AS value FROM obs GROUP BY series_id ORDER BY series_id LIMIT 6)"""))
 def evidence_market_digest(inp):
     prices = inp.bars_d().filter(F.col("d") == inp.table("orders").agg(F.max(F.to_date("o_orderdate"))).scalar())
-    calm = R.high_volatility(M.volatilities(inp), 1e9)
-    no_flags = calm.selectExpr("symbol AS key", "flag AS line")
+    raised = market_flags(inp).selectExpr("symbol AS key", "concat('  ⚠ ', flag) AS line")
     tickers = G.ticker_text(S.top_tickers(inp.posts(), TICKERS))
     macro = inp.obs().groupBy("series_id").agg(F.max_by("value", "d").alias("value"))
     parts = {
@@ -320,7 +334,7 @@ def evidence_market_digest(inp):
             G.position_lines(inp.positions()).selectExpr("concat(portfolio_id, '/', symbol) AS key", "line"), G.NO_POSITIONS
         ),
         "headlines": G.or_placeholder(G.headline_lines(S.recent_headlines(Q.headlines(inp))), G.NO_HEADLINES),
-        "flags": G.or_placeholder(no_flags, G.NO_FLAGS),
+        "flags": G.or_placeholder(raised, G.NO_FLAGS),
         "tickers": tickers.selectExpr("'' AS key", "tickers AS line"),
         "macro": G.macro_lines(macro.select(F.col("series_id").alias("key"), "value", F.col("series_id").alias("place"))),
     }

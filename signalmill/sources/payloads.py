@@ -32,7 +32,7 @@ def _prices(rows: DataFrame, key: str, timestamp: Column, unit: str, source: str
         F.lit(unit).alias("unit"),
         timestamp.alias("timestamp"),
         F.lit(source).alias("source"),
-    ).dropna(subset=["price", "timestamp"])
+    ).filter("price IS NOT NULL AND timestamp IS NOT NULL")  # a price that reads as NaN stays
 
 
 def spot_prices(

@@ -167,3 +167,35 @@ def test_dated_evidence_reaches_the_runs_of_its_date(spark):
     assert [(s.asset, s.direction) for s in got[1].signals] == [("USO", "NEUTRAL"), ("XLE", "NEUTRAL"), ("XLE", "NEUTRAL")]
     assert [(s.asset, s.direction) for s in got[2].signals] == [("XLE", "NEUTRAL"), ("XLE", "BULLISH"), ("XLE", "BEARISH")]
     assert (got[1].n_flags, got[2].n_flags) == (0, 1)
+
+
+def test_unlisted_agents_count_with_the_default_weight(spark):
+    more = [(1, "Zeta", "BULLISH STRONG CONFIDENCE: 80% ASSET: USO"), (1, "Beta", "BEARISH WEAK CONFIDENCE: 50%"), (1, "Beta", "BEARISH WEAK CONFIDENCE: 50%")]
+    rows = responses(spark, ALL + more)
+    row = D.run_decisions(rows, flags(spark)).first()
+    assert [s.agent_name for s in row.signals][-2:] == ["Beta", "Zeta"] and len(row.signals) == 6
+    plain = D.run_decisions(responses(spark, ALL), flags(spark)).first()
+    assert row.raw_score == pytest.approx(plain.raw_score + 0.25 * 0.8 - 0.25 * 0.3 * 0.5, abs=1e-4)
+    assert row.contributing_agents == [s.agent_name for s in row.signals]
+
+
+def test_market_flags_hold_without_portfolio_or_positions(spark):
+    market = spark.createDataFrame([(1, "USO", "HIGH VOLATILITY: USO at 35.2%"), (1, "XLE", "HIGH VOLATILITY: XLE at 40.0%")], "flag_order int, symbol string, flag string")
+    nobody = spark.createDataFrame([], "portfolio_id int, flag_order int, symbol string, flag string")
+    rows = responses(spark, ALL).withColumn("portfolio_id", X.F.lit(None).cast("int"))
+    row = D.run_decisions(rows, nobody, market_flags=market).first()
+    assert row.n_flags == 2 and row.risk_notes == "HIGH VOLATILITY: USO at 35.2%, HIGH VOLATILITY: XLE at 40.0%"
+    risk = [s for s in row.signals if s.agent_name == "RiskManager"][0]
+    assert (risk.direction, risk.strength) == ("BEARISH", "STRONG") and row.score == row.raw_score * 0.5
+    calm = D.run_decisions(rows, nobody, market_flags=market.limit(0)).first()
+    assert (calm.n_flags, calm.risk_notes) == (0, "No active risk flags")
+    both = D.run_decisions(responses(spark, ALL), flags(spark, "F1"), market_flags=market).first()
+    assert both.n_flags == 3 and both.risk_notes.endswith("F1")
+
+
+def test_portfolios_without_positions_have_market_flags(spark):
+    positions = spark.createDataFrame([], "portfolio_id int, symbol string, size_pct double")
+    vols = spark.createDataFrame([("XLE", 31.0), ("USO", float("nan"))], "symbol string, volatility double")
+    everyone = spark.createDataFrame([(1,), (1,), (2,)], "portfolio_id int")
+    got = R.risk_flags(positions, vols, portfolios=everyone).collect()
+    assert sorted((r.portfolio_id, r.flag) for r in got) == [(1, "HIGH VOLATILITY: XLE at 31.0%"), (2, "HIGH VOLATILITY: XLE at 31.0%")]
