@@ -69,7 +69,7 @@ def posts_with_words(posts: DataFrame, text: str, words) -> DataFrame:
 
 def unseen(articles: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
     """Articles whose url is not stored yet."""
-    return articles.join(stored.select(key).distinct(), key, "left_anti")
+    return articles.join(stored.select(key), key, "left_anti")
 
 
 def run_evidence(signals: DataFrame, flags: DataFrame, key: str = "portfolio_id") -> DataFrame:

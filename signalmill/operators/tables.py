@@ -13,10 +13,14 @@ from ..functions.times import AsOf, days_before
 def last_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the last written replacing the whole earlier row.
 
-    A partial aggregate: a key written a billion times still sends one row per task.
+    A partial aggregate: a key written a billion times still sends one row per task. Keys are the grouping columns, so a
+    filter on a key passes below the aggregate to folders and scan.
     """
-    newest = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
-    return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(newest).select("_row.*")
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.select(*keys).distinct()
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return rows.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -33,7 +37,9 @@ def lookup(table: DataFrame, key: Mapping[str, object]) -> DataFrame:
 
 
 def newest_of_key(table: DataFrame, key: Mapping[str, object], order: str = "timestamp", limit: int = 100) -> DataFrame:
-    return lookup(table, key).orderBy(F.col(order).desc()).limit(limit)
+    """The newest rows of a key, ties by all other columns."""
+    others = [c for c, kind in table.dtypes if c != order and c not in key and not kind.startswith("map")]
+    return lookup(table, key).orderBy(F.col(order).desc(), *others).limit(limit)
 
 
 def first_rows(table: DataFrame, limit: int = 100, order: str = "timestamp", key: Sequence[str] = ()) -> DataFrame:

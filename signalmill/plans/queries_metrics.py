@@ -156,15 +156,19 @@ def stream_latency_15m(inp):
 
 @query("queue_consume_dlq", """
 SELECT CAST(event_id AS VARCHAR) AS message_id, CASE WHEN event_type = 'error' THEN 'dead' ELSE 'ok' END AS status,
-       CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS attempt FROM events""")
+       CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS attempt FROM events
+UNION ALL SELECT concat('line:', sha256(concat('{broken ', CAST(event_id AS VARCHAR)))), 'dead', 3 FROM events WHERE event_id % 50 = 7""")
 def queue_consume_dlq(inp):
-    """Messages from events, the bodies of errors cut open; bad ones are redelivered until they are dead."""
+    """Messages from events, the bodies of errors cut open, some without an attempt, and lines that are no messages; bad
+    ones are redelivered until they are dead."""
     body = F.to_json(F.struct(F.col("event_type"), day("ts").alias("date"), F.lit("k").alias("s3_key")))
     landing, out, state = (scratch_path(inp.spark, name) for name in ("queue", "outcome", "state"))
-    inp.table("events").select(
-        F.col("event_id").cast("string").alias("message_id"), F.lit(1).alias("attempt"),
+    events = inp.table("events")
+    events.select(
+        F.col("event_id").cast("string").alias("message_id"), F.when(F.col("event_id") % 50 != 8, 1).alias("attempt"),
         F.when(F.col("event_type") == "error", F.regexp_replace(body, r"\}$", "")).otherwise(body).alias("body"),
     ).write.json(landing)
+    events.filter("event_id % 50 = 7").select(F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).write.mode("append").text(landing)
     Q.consume(inp.spark, landing, out, state)
     while Q.reland(inp.spark, out, landing):
         Q.consume(inp.spark, landing, out, state)

@@ -179,15 +179,15 @@ def lookup_key(inp):
 
 @query("query_key_desc", q(f"""
 SELECT model_name, {sql_stamp('ts')} AS "timestamp", call_id, total_ms, cost_usd FROM calls
-WHERE model_name = 'groq/purchase' ORDER BY ts DESC LIMIT 100"""))
+WHERE model_name = 'groq/purchase' ORDER BY ts DESC, call_id LIMIT 100"""))
 def query_key_desc(inp):
     rows = T.newest_of_key(inp.calls(), {"model_name": "groq/purchase"}, "ts", 100)
     return rows.select("model_name", stamp("ts").alias("timestamp"), "call_id", "total_ms", "cost_usd")
 
 
-@query("scan_limit", q(f"""SELECT {SHOWN} FROM signals ORDER BY "timestamp" DESC, agent_name LIMIT 100"""))
+@query("scan_limit", q(f"""SELECT {SHOWN} FROM signals ORDER BY "timestamp" DESC, agent_name, run_id LIMIT 100"""))
 def scan_limit(inp):
-    return T.first_rows(signal_table(inp), 100, "timestamp", ["agent_name"])
+    return T.first_rows(signal_table(inp), 100, "timestamp", ["agent_name", "run_id"])
 
 
 @query("lookup_by_agent", q(f"SELECT {SHOWN} FROM signals WHERE agent_name = 'SentimentAgent'"))

@@ -158,3 +158,11 @@ def test_lookup_joins_are_broadcast(spark):
     df = spark.range(10).selectExpr("CAST(id AS string) AS model", "id AS prompt_tokens", "id AS completion_tokens")
     plan = C.with_cost(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_nan_is_no_value_of_an_order_statistic(spark):
+    from signalmill.operators import order_stats as O
+
+    df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, 4.0, float("nan"), None)], "k string, v double")
+    row = O.quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert (row.n, row.p50) == (4, 2.5) and abs(row.p95 - 3.85) < 1e-12

@@ -99,3 +99,18 @@ def test_schema_changes_are_named(spark):
     spark.range(1).selectExpr("'A' AS symbol", "1 AS close", "2 AS extra").write.parquet(source)
     got = G.schema_changes(spark, source, "symbol string, close double, gone int")
     assert got == ["new column extra", "missing column gone", "column close is int"]
+
+
+def test_lines_that_are_no_messages_end_as_dead_letters(spark):
+    landing, out, state = (scratch_path(spark, n) for n in ("queue", "out", "state"))
+    lines = ["{not json", "plain text", "", "[1, 2]", '{"message_id": "a", "body": "{\\"event_type\\": \\"x\\"}"}',
+             '{"message_id": "b", "attempt": null, "body": "bad"}', '{"attempt": 1, "body": "bad too"}', '{"message_id": "c"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(landing)
+    rounds = 0
+    Q.consume(spark, landing, out, state, max_receives=3)
+    while Q.reland(spark, out, landing):
+        rounds += 1
+        assert rounds < 5
+        Q.consume(spark, landing, out, state, max_receives=3)
+    got = sorted((r.message_id[:5], r.status, r.attempt) for r in Q.outcome(spark, out).collect())
+    assert got == [("a", "ok", 1), ("b", "dead", 3), ("c", "dead", 3)] + [("line:", "dead", 3)] * 4

@@ -142,3 +142,28 @@ def test_price_trend_of_an_absent_key_is_null(spark):
     df = spark.createDataFrame([("2026-01-01", "combined", {"A": 1.0})], "date string, source string, prices map<string,double>")
     assert T.price_trend_sql(df, "WTI", "combined").first().price is None
     assert T.price_trend_sql(df, "A", "combined").first().price == 1.0
+
+
+def test_a_key_filter_reaches_the_folders_of_a_keyed_table(spark):
+    from signalmill.operators import tables as T
+    from signalmill.sources import landed as L
+    from signalmill.session import scratch_path
+
+    path = scratch_path(spark, "keyed")
+    rows = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-02", "a", 2), ("2024-01-02", "b", 3)], "date string, agent string, n int")
+    L.write_batch(rows, path, 0)
+    L.write_batch(rows.filter("agent = 'a' AND n = 2").withColumn("n", rows.n + 10), path, 1)
+    table = L.read_keyed(spark, path, "agent string, n int, date string", ["date", "agent"])
+    found = T.lookup(table, {"date": "2024-01-02", "agent": "a"})
+    assert [tuple(r) for r in found.select("agent", "n").collect()] == [("a", 12)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "2024-01-02" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "agent" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_a_price_that_reads_as_nan_stays(spark):
+    from signalmill.sources import payloads as P
+
+    body = '{"response": {"data": [{"period": "2024-01-05", "value": "NaN"}, {"period": "2024-01-04", "value": "1.5"}, {"period": "2024-01-03", "value": "x"}]}}'
+    got = P.spot_prices(spark.createDataFrame([("WTI", body)], "commodity string, body string"), "2024-01-10").collect()
+    assert sorted(str(r.price) for r in got) == ["1.5", "nan"]
