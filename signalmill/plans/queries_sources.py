@@ -161,8 +161,8 @@ FROM signals) WHERE place = 1"""
 SHOWN = 'run_id, agent_name, asset, direction, strength, confidence, "timestamp", date'
 
 
-@query("sink_upsert", q(f"SELECT {SHOWN} FROM keyed", keyed=KEYED))
-def sink_upsert(inp):
+def stored_signals(inp: Inputs):
+    """The signals written in two batches and read back by key."""
     path = scratch_path(inp.spark, "signals")
     rows = signal_table(inp)
     noon = "2024-01-15T12:00:00"
@@ -171,10 +171,15 @@ def sink_upsert(inp):
     return L.read_keyed(inp.spark, path, SIGNAL_ROW, schemas.KEYS["signals"], ["timestamp"])
 
 
+@query("sink_upsert", q(f"SELECT {SHOWN} FROM keyed", keyed=KEYED))
+def sink_upsert(inp):
+    return stored_signals(inp)
+
+
 @query("lookup_key", q(f"SELECT {SHOWN} FROM keyed WHERE date = '2024-01-10' AND agent_name = 'RiskManager'", keyed=KEYED))
 def lookup_key(inp):
-    found = T.lookup(signal_table(inp), {"date": "2024-01-10", "agent_name": "RiskManager"})
-    return T.last_write(found, schemas.KEYS["signals"], ["timestamp"])
+    """A full key of the stored table: only its folder is read."""
+    return T.lookup(stored_signals(inp), {"date": "2024-01-10", "agent_name": "RiskManager"})
 
 
 @query("query_key_desc", q(f"""

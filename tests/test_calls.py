@@ -166,3 +166,23 @@ def test_nan_is_no_value_of_an_order_statistic(spark):
     df = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, 4.0, float("nan"), None)], "k string, v double")
     row = O.quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (row.n, row.p50) == (4, 2.5) and abs(row.p95 - 3.85) < 1e-12
+
+
+def test_values_in_one_bucket_are_cut_again(spark):
+    import random
+
+    from signalmill.operators import order_stats as O
+
+    rng = random.Random(4)
+    groups = {
+        "plateau": [30_000 + rng.random() * 20 for _ in range(4000)],
+        "tiny": [rng.random() * 9e-4 for _ in range(4000)] + [0.0, -0.0, 5e-324, -1e-300],
+        "huge": [rng.choice((-1, 1)) * 1.7e308 * rng.random() for _ in range(999)],
+        "equal": [7.5] * 50, "one": [1.0], "mixed": [rng.gauss(0, 1) * 10 ** rng.randrange(-12, 12) for _ in range(3000)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: r for r in O.ranked_values(df, ["k"], "v", {"low": "0", "mid": "n div 2", "p95": "CAST(floor(0.95 * n) AS bigint)", "top": "n - 1"}).collect()}
+    for k, vs in groups.items():
+        s = sorted(vs)
+        n = len(s)
+        assert (got[k].n, got[k].low, got[k].mid, got[k].p95, got[k].top) == (n, s[0], s[n // 2], s[int(0.95 * n)], s[-1]), k

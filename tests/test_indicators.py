@@ -142,6 +142,15 @@ def test_resample_takes_first_and_last_by_time_then_id(spark):
     assert (bar.open, bar.high, bar.low, bar.close, bar.volume) == (5.0, 9.0, 1.0, 7.0, 4)
 
 
+def test_resample_with_a_tie_column_needs_no_sort(spark):
+    t = dt.datetime(1969, 12, 31, 23, 5)
+    rows = [("A", t, i, float(n)) for n, i in enumerate((3, -2, 2**63 - 1, -(2**63)))]
+    bars = B.resample(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id bigint, value double"))
+    bar = bars.first()
+    assert (bar.open, bar.close) == (3.0, 2.0)
+    assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_order_and_partitions_do_not_matter(spark):
     df = frame(spark, history("A", 900, 6) + history("B", 700, 7))
     one = sorted(map(tuple, I.indicator_records(df).collect()), key=str)
