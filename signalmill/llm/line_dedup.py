@@ -74,7 +74,8 @@ def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col("place").alias("p"))
     sent = F.broadcast(often) if often.count() <= SENT_HASHES else often.hint("shuffle_hash")
     found = written(rows.join(sent, marks, "left_semi").withColumn("__order", order), "chunks")
-    first = found.groupBy(*marks, "chunk").agg(F.min("__order").alias("__first")).withColumnRenamed("chunk", "__kept")
+    # written, so that the join shuffles both sides anew and a chunk that is everywhere can be split
+    first = written(found.groupBy(*marks, "chunk").agg(F.min("__order").alias("__first")).withColumnRenamed("chunk", "__kept"), "first-chunks")
     met = found.join(first, marks).where((F.col("chunk") == F.col("__kept")) & ~F.col("__order").eqNullSafe(F.col("__first")))
     return met.select("__key", "__content", "place")
 
