@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .line_dedup import op5_line_dedup
+from .oracles import QUALITY_RULES, SECRET_SCAN
 from .pieces import op2_sentencepiece
 from .quality_rules import op7_quality_rules
 from .secret_scan import op3_secret_scan
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_secret_scan": SECRET_SCAN, "op7_quality_rules": QUALITY_RULES}
