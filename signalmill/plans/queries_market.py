@@ -132,6 +132,36 @@ def ta_score(inp):
     return rows.select("symbol", "ta_score", F.array_join("ta_signals", "; ").alias("ta_signals"))
 
 
+# daily bars that stand still from their 101st on, as a halted symbol's do
+FLAT = """SELECT symbol, CAST(d AS TIMESTAMP) AS ts, CASE WHEN rn > 100 THEN max(CASE WHEN rn = 100 THEN close END) OVER (PARTITION BY symbol) ELSE close END AS close
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS rn FROM bars_d)"""
+
+
+@query("ind_flat_history", q(f"""
+SELECT symbol, {sql_day('ts')} AS d, {half_even('rsi', 6)} AS rsi, {half_even('macd', 4)} AS macd, {half_even('macd_signal', 4)} AS macd_signal,
+       {half_even('bb_high', 4)} AS bb_high, {half_even('bb_low', 4)} AS bb_low FROM ind""", bars_h=FLAT))
+def ind_flat_history(inp):
+    """A flat price keeps its RSI across all row blocks, and its bands are the price."""
+    rows = inp.daily_bars().selectExpr("symbol", "ts", "close", "row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn")
+    held = "CASE WHEN rn > 100 THEN max(CASE WHEN rn = 100 THEN close END) OVER (PARTITION BY symbol) ELSE close END AS close"
+    series = I.indicator_series(rows.selectExpr("symbol", "ts", held), slice_seconds=90 * 86_400)
+    return series.select("symbol", day("ts").alias("d"), *rounded({"rsi": 6, "macd": 4, "macd_signal": 4, "bb_high": 4, "bb_low": 4}))
+
+
+def newest_day(inp: Inputs):
+    return inp.table("orders").agg(F.max(F.to_date("o_orderdate"))).scalar()
+
+
+def _back(days: int) -> str:
+    return f"SELECT symbol, CAST(d AS TIMESTAMP) AS ts, close FROM bars_d WHERE d >= (SELECT max(d) FROM bars_d) - {days}"
+
+
+@query("volatility_lookback", q(f"SELECT symbol, {half_even('v', 2)} AS volatility FROM vol0", bars_h=_back(60)))
+def volatility_lookback(inp):
+    """Volatility of the last 60 days of a history of years."""
+    return I.volatility(inp.daily_bars(), as_of=newest_day(inp))
+
+
 def records(inp: Inputs):
     return I.indicator_records(inp.bars_h())
 
@@ -148,6 +178,13 @@ def ta_record(inp):
     return records(inp).withColumn("ta_signals", F.array_join("ta_signals", "; "))
 
 
+@query("ta_record_lookback", q("SELECT * REPLACE (CAST(ta_score AS INT) AS ta_score) FROM ta_rec", bars_h=_back(90)))
+def ta_record_lookback(inp):
+    """Records of the last 90 days of a history of years."""
+    found = I.indicator_records(inp.daily_bars(), as_of=newest_day(inp))
+    return found.withColumn("ta_signals", F.array_join("ta_signals", "; "))
+
+
 @query("ta_direction", q("""
 SELECT CAST(sum(ta_score) AS BIGINT) AS total_score,
        CASE WHEN sum(ta_score) > 1 THEN 'BULLISH' WHEN sum(ta_score) < -1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction FROM ta"""))
