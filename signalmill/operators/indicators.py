@@ -58,10 +58,10 @@ def _block_sums(rows: DataFrame, block_rows: int) -> DataFrame:
         )
         entering.append(f"{weight} * (CASE WHEN rn > {MIN_BARS} THEN {after} ELSE {first} END)")
     sums["_signal"] = f"close * ({entering[0]} - {entering[1]})"
-    placed = rows.selectExpr("symbol", "close", "prev_close", "rn", f"(rn - 1) div {block_rows} AS _block", f"least(n, ((rn - 1) div {block_rows} + 1) * {block_rows}) AS _end")
+    placed = rows.selectExpr("symbol", "close", "prev_close", "rn", f"(rn - 1) div {block_rows} AS _block", "n", f"least(n, ((rn - 1) div {block_rows} + 1) * {block_rows}) AS _end")
     placed = placed.selectExpr("*", "_end - rn AS _m")
     return placed.groupBy("symbol", "_block").agg(
-        F.max("_end").alias("rn"), *[F.expr(f"coalesce(sum({value}), 0d) AS {name}") for name, value in sums.items()]
+        F.max("_end").alias("rn"), F.max("n").alias("n"), *[F.expr(f"coalesce(sum({value}), 0d) AS {name}") for name, value in sums.items()]
     ).withColumn("_k", F.expr(f"rn - _block * {block_rows}"))
 
 
@@ -78,12 +78,42 @@ def _added_by_start(alpha: float) -> str:
     return f"({SIGNAL * q / (q - s)!r}d * (pow({q!r}d, _k) - pow({s!r}d, _k)))"
 
 
+def _block_states(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Every average at the end of each block: _y_fast, _y_slow, _y_signal, and _moved (rn, gain, loss) at the end of the
+    last block with a move."""
+    back = -(-FORGOTTEN_ROWS // block_rows)
+    ends = _block_sums(rows, block_rows)
+    ends = ends.selectExpr("*", *_decayed({"_gain": GAIN, "_loss": GAIN, "_fast": FAST, "_slow": SLOW}, back))
+    order = "OVER (PARTITION BY symbol ORDER BY _block)"
+    ends = ends.selectExpr(
+        "symbol", "_block", "rn", "n", "_y_fast", "_y_slow",
+        f"last(CASE WHEN _gain + _loss > 0 THEN struct(rn, _y_gain AS gain, _y_loss AS loss) END, true) {order} AS _moved",
+        f"_signal + coalesce(lag(_y_fast) {order} * {_added_by_start(FAST)} - lag(_y_slow) {order} * {_added_by_start(SLOW)}, 0d) AS _signal",
+    )
+    return ends.selectExpr("*", *_decayed({"_signal": SIGNAL}, back))
+
+
+def _known(rows: str) -> list[str]:
+    """The indicators from _gain, _loss, _line, _signal, _mid and _dev, NULL before ``rows`` bars suffice."""
+    known = {
+        "rsi": (RSI_ROWS, "CASE WHEN _loss = 0 THEN 100d ELSE 100 - 100 / (1 + _gain / _loss) END"),
+        "macd": (MIN_BARS, "_line"),
+        "macd_signal": (SIGNAL_START, "_signal"),
+        "macd_hist": (SIGNAL_START, "_line - _signal"),
+        "bb_high": (BAND_ROWS, "_mid + 2 * _dev"),
+        "bb_mid": (BAND_ROWS, "_mid"),
+        "bb_low": (BAND_ROWS, "_mid - 2 * _dev"),
+    }
+    return [f"CASE WHEN {rows} >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()]
+
+
 def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
     """Every indicator on every bar: symbol, ts, close, rn, n and INDICATORS (NULL while warming up).
 
     Inside a block, averages are running sums of what its own rows add. The state with which a block begins is the
-    decayed sum of what the blocks before it added, one row per block, exact in double arithmetic. Gain and loss enter the RSI as a
-    ratio, which a flat price does not change however long it lasts, so their state is that of the last block with a move.
+    decayed sum of what the blocks before it added, one row per block, exact in double arithmetic. Gain and loss enter
+    the RSI as a ratio, which a flat price does not change however long it lasts, so their state is that of the last
+    block with a move.
     """
     if not 2 * SIGNAL_START <= block_rows <= 2048:
         raise ValueError("a block has 68 to 2048 rows")
@@ -103,16 +133,7 @@ def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_second
         f"{_local('close', FAST, 1)} AS _fast", f"{_local('close', SLOW, 1)} AS _slow",
     )
     rows = rows.selectExpr("*", f"{_local('(_fast - _slow)', SIGNAL, MIN_BARS)} AS _signal")
-    back = -(-FORGOTTEN_ROWS // block_rows)
-    ends = _block_sums(numbered, block_rows)
-    ends = ends.selectExpr("*", *_decayed({"_gain": GAIN, "_loss": GAIN, "_fast": FAST, "_slow": SLOW}, back))
-    order = "OVER (PARTITION BY symbol ORDER BY _block)"
-    ends = ends.selectExpr(
-        "symbol", "_block", "rn", "_y_fast", "_y_slow",
-        f"last(CASE WHEN _gain + _loss > 0 THEN struct(rn, _y_gain AS gain, _y_loss AS loss) END, true) {order} AS _moved",
-        f"_signal + coalesce(lag(_y_fast) {order} * {_added_by_start(FAST)} - lag(_y_slow) {order} * {_added_by_start(SLOW)}, 0d) AS _signal",
-    )
-    ends = ends.selectExpr("*", *_decayed({"_signal": SIGNAL}, back))
+    ends = _block_states(numbered, block_rows)
     state = ends.selectExpr("symbol", "_block + 1 AS _block", "_y_fast", "_y_slow", "_moved", "_y_signal")
     rows = rows.join(state, ["symbol", "_block"], "left")
     since = f"pow({1 - GAIN!r}d, rn - _moved.rn)"
@@ -124,16 +145,7 @@ def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_second
         f"_fast + coalesce(_y_fast * pow({1 - FAST!r}d, _k), 0d) - _slow - coalesce(_y_slow * pow({1 - SLOW!r}d, _k), 0d) AS _line",
         f"_signal + coalesce(_y_signal * pow({1 - SIGNAL!r}d, _k) + _y_fast * {_added_by_start(FAST)} - _y_slow * {_added_by_start(SLOW)}, 0d) AS _signal",
     )
-    known = {
-        "rsi": (RSI_ROWS, "CASE WHEN _loss = 0 THEN 100d ELSE 100 - 100 / (1 + _gain / _loss) END"),
-        "macd": (MIN_BARS, "_line"),
-        "macd_signal": (SIGNAL_START, "_signal"),
-        "macd_hist": (SIGNAL_START, "_line - _signal"),
-        "bb_high": (BAND_ROWS, "_mid + 2 * _dev"),
-        "bb_mid": (BAND_ROWS, "_mid"),
-        "bb_low": (BAND_ROWS, "_mid - 2 * _dev"),
-    }
-    return rows.selectExpr("symbol", "ts", "close", "rn", "n", *[f"CASE WHEN rn >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()])
+    return rows.selectExpr("symbol", "ts", "close", "rn", "n", *_known("rn"))
 
 
 def within(bars: DataFrame, as_of: AsOf | None, days: int) -> DataFrame:
@@ -144,9 +156,22 @@ def within(bars: DataFrame, as_of: AsOf | None, days: int) -> DataFrame:
 
 
 def indicator_latest(bars: DataFrame, as_of: AsOf | None = None, days: int = LOOKBACK_DAYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Indicators of each symbol's last bar, over the look-back before ``as_of`` or all given bars; n counts those bars."""
-    done = indicator_series(within(bars, as_of, days), block_rows)
-    return done.filter("rn = n").select("symbol", "ts", "close", "n", *INDICATORS)
+    """Indicators of each symbol's last bar, over the look-back before ``as_of`` or all given bars; n counts those bars.
+
+    The state at the end of the last block is all that the averages need, and the bands the last bars: no row window.
+    """
+    rows = B.numbered(within(bars, as_of, days).select("symbol", "ts", "close").filter(USABLE))
+    ends = _block_states(rows, block_rows).filter("rn = n").selectExpr(
+        "symbol", "n", "coalesce(_moved.gain, 0d) AS _gain", "coalesce(_moved.loss, 0d) AS _loss", "_y_fast - _y_slow AS _line", "_y_signal AS _signal"
+    )
+    last = rows.filter(f"rn > n - {BAND_ROWS}").groupBy("symbol").agg(
+        F.max_by("ts", "rn").alias("ts"), F.expr("transform(sort_array(collect_list(struct(rn, close))), x -> x.close) AS _closes")
+    )
+    total = "aggregate(_closes, 0d, (t, x) -> t + x)"
+    last = last.selectExpr("symbol", "ts", "_closes", "element_at(_closes, -1) AS close", "array_max(_closes) = array_min(_closes) AS _flat", f"{total} / size(_closes) AS _mean")
+    squares = "aggregate(_closes, 0d, (t, x) -> t + (x - _mean) * (x - _mean)) / size(_closes)"
+    last = last.selectExpr("symbol", "ts", "close", "CASE WHEN _flat THEN close ELSE _mean END AS _mid", f"CASE WHEN _flat THEN 0d ELSE sqrt({squares}) END AS _dev")
+    return last.join(ends, "symbol").selectExpr("symbol", "ts", "close", "n", *_known("n"))
 
 
 def history_gate(bars: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact order statistics per group that never hold a group in one task.
 
 Rows are first counted per distinct (group, value): a partial aggregate, so a hot group is spread over its
-values and a hot value is one row. Values fall into buckets of about 0.1 % relative width by a monotone
-expression; the bucket totals (bounded per group) tell which bucket holds each wanted rank. A bucket that holds one
-is cut again, twice, into ``CUTS`` equal parts of its own range, in the same way; only the values of the last cut,
-6e-11 of their size apart, are put in order.
+values and a hot value is one row. Values fall into buckets of about 0.1 % relative width, and each bucket into
+2^20 cuts, both by a monotone expression. Bucket totals (bounded per group) tell which buckets hold the wanted ranks,
+cut totals (bounded per bucket) which cuts do, and only the values of those cuts, 1e-9 of their size apart, are put
+in order.
 """
 
 from __future__ import annotations
@@ -15,60 +15,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 1000
-CUTS = 4096
+CUTS = 1 << 20
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bucket _b, distinct value _v and its count _c; NULL and NaN are left out."""
+    """keys, bucket _b, its cut _b1, distinct value _v and its count _c; NULL and NaN are left out."""
     rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v").filter("_v IS NOT NULL AND NOT isnan(_v)")
+    counts = rows.groupBy(*keys, "_v").count().withColumnRenamed("count", "_c")
     # monotone in the value, at most about 3 million distinct buckets over all doubles; ln of a double is above -800
-    place = f"CAST(floor((ln(abs(_v)) + 800) * {BUCKETS_PER_E_FOLD}) AS bigint)"
-    bucket = f"CASE WHEN _v = 0 THEN 0L WHEN _v > 0 THEN {place} ELSE -{place} END AS _b"
-    return rows.selectExpr("*", bucket).groupBy(*keys, "_b", "_v").count().withColumnRenamed("count", "_c")
+    place = f"(ln(abs(_v)) + 800) * {BUCKETS_PER_E_FOLD}"
+    counts = counts.selectExpr("*", f"CASE WHEN _v = 0 THEN 0d ELSE {place} END AS _x", "CAST(signum(_v) AS bigint) AS _s")
+    return counts.selectExpr(
+        *keys, "_s * CAST(floor(_x) AS bigint) AS _b", f"_s * CAST(floor((_x - floor(_x)) * {CUTS}) AS bigint) AS _b1", "_v", "_c"
+    )
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, str]) -> DataFrame:
     """keys, n and one column per entry of ``ranks``: the value at that 0-based place in sorted order.
 
-    A rank is SQL text over ``n``, the number of non-NULL values of the group.
+    A rank is SQL text over ``n``, the number of values of the group.
     """
     by = ", ".join(keys)
     values = value_counts(df, keys, value)
+    cuts = values.groupBy(*keys, "_b", "_b1").agg(F.sum("_c").alias("_c"))
+    buckets = cuts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).selectExpr("*", f"sum(_c) OVER (PARTITION BY {by}) AS n")
     wanted = ", ".join(f"named_struct('_name', '{name}', '_rank', CAST({rank} AS bigint))" for name, rank in ranks.items())
-    totals = values.groupBy(*keys, "_b").agg(*_bounds())
-    totals = totals.selectExpr("*", f"sum(_c) OVER (PARTITION BY {by}) AS n").selectExpr("*", f"array({wanted}) AS _want")
-    targets = _holding(totals, by)
-    parts = ["_b"]
-    for level in ("_b1", "_b2"):  # cut the buckets that hold a rank, and again
-        values = values.join(targets, _same([*keys, *parts], "_t_")).selectExpr(
-            *keys, *parts, "_v", "_c", "n", "_want",
-            f"CASE WHEN _high > _low THEN CAST(floor((_v / 2 - _low / 2) / (_high / 2 - _low / 2) * {CUTS}) AS bigint) ELSE 0L END AS {level}",
-        )
-        totals = values.groupBy(*keys, *parts, level).agg(*_bounds(), F.first("n").alias("n"), F.first("_want").alias("_want"))
-        values = values.drop("n", "_want")
-        targets = _holding(totals, ", ".join([*keys, *parts]), level)
-        parts.append(level)
-    hits = values.join(targets, _same([*keys, *parts], "_t_"))
+    in_bucket = _holding(buckets.selectExpr("*", f"array({wanted}) AS _want"), by, "_b", [*keys, "_b"])
+    cuts = cuts.join(in_bucket, _same([*keys, "_b"], "_t_")).drop(*[f"_t_{c}" for c in [*keys, "_b"]])
+    in_cut = _holding(cuts, f"{by}, _b", "_b1", [*keys, "_b", "_b1"])
+    hits = values.join(in_cut, _same([*keys, "_b", "_b1"], "_t_"))
     hits = hits.selectExpr(
-        "*", f"sum(_c) OVER (PARTITION BY {', '.join([*keys, *parts])} ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _upto"
+        "*", f"sum(_c) OVER (PARTITION BY {by}, _b, _b1 ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _upto"
     ).selectExpr(*keys, "_v", "_c", "_upto", "n", "inline(_want)").filter("_rank >= _upto - _c AND _rank < _upto")
     return hits.groupBy(*keys).agg(*_aggregates({
         "n": "max(n)", **{name: f"max(CASE WHEN _name = '{name}' THEN _v END)" for name in ranks},
     }))
 
 
-def _bounds():
-    return [F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
-
-
-def _holding(totals: DataFrame, by: str, part: str = "_b") -> DataFrame:
-    """The buckets that hold wanted ranks, with those ranks counted from the bucket's start; columns of keys prefixed."""
+def _holding(totals: DataFrame, by: str, part: str, names: list[str]) -> DataFrame:
+    """The parts that hold wanted ranks, with those ranks counted from the part's start; names prefixed with _t_."""
     placed = totals.selectExpr("*", f"sum(_c) OVER (PARTITION BY {by} ORDER BY {part} ROWS UNBOUNDED PRECEDING) - _c AS _before")
     inside = placed.selectExpr(
         "*", "filter(transform(_want, w -> named_struct('_name', w._name, '_rank', w._rank - _before)), w -> w._rank >= 0 AND w._rank < _c) AS _inside"
     ).filter("size(_inside) > 0")
-    names = [c for c in totals.columns if c not in ("_c", "_low", "_high", "n", "_want")]
-    return inside.selectExpr(*[f"{c} AS _t_{c}" for c in names], "n", "_low", "_high", "_inside AS _want")
+    return inside.selectExpr(*[f"{c} AS _t_{c}" for c in names], "n", "_inside AS _want")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, points: Mapping[str, float]) -> DataFrame:
