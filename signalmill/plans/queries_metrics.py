@@ -135,7 +135,15 @@ def stream_counts_15m(inp):
     return rows.select("metric", "agent", stamp("start").alias("start"), he("total", 6).alias("total"), "n")
 
 
-@query("stream_alarms")
+def _closed(seconds: int) -> str:
+    """The condition that a window is closed: its end is not after the newest time less the watermark's delay."""
+    return f"start + INTERVAL '{seconds} seconds' <= (SELECT max(ts) FROM metrics) - INTERVAL '{S.WATERMARK}'"
+
+
+_HOURLY = _alarm_views(3600, HOUR_RULES)
+
+
+@query("stream_alarms", q(ALARM_SQL, **(_HOURLY | {"periods": f"SELECT * FROM ({_HOURLY['periods']}) WHERE {_closed(3600)}"})))
 def stream_alarms(inp):
     """Alarm states over the windows an append-mode stream has closed; the newest windows are still open."""
     stream = inp.spark.readStream.schema(METRIC_ROW).parquet(_landed_metrics(inp))
@@ -144,14 +152,18 @@ def stream_alarms(inp):
     return _alarms(S.alarm_states(inp.spark, out, HOUR_RULES, 3600))
 
 
-@query("stream_latency_15m")
+@query("stream_latency_15m", q(f"""
+SELECT metric, {sql_stamp('start')} AS start, n, {half_even('p50', 6)} AS p50, {half_even('p95', 6)} AS p95 FROM pct WHERE {_closed(900)}""",
+    pct=f"""SELECT metric, {QUARTER} AS start, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95
+FROM metrics GROUP BY ALL"""))
 def stream_latency_15m(inp):
-    """Approximate p50 and p95 per window, the form kept as streaming state."""
+    """Exact p50 and p95 of the windows an append-mode stream has closed, from the value counts it stores."""
     stream = inp.spark.readStream.schema(METRIC_ROW).parquet(_landed_metrics(inp))
     out = scratch_path(inp.spark, "windows")
-    S.store_windows(S.stream_percentiles(stream, ["metric"]), scratch_path(inp.spark, "state"), out, mode="complete")
-    schema = "metric string, start timestamp, n bigint, p50 double, p95 double"
-    return L.read_keyed(inp.spark, out, schema, ["metric", "start"]).withColumn("start", stamp("start"))
+    S.store_windows(S.stream_value_counts(stream, ["metric"]), scratch_path(inp.spark, "state"), out)
+    schema = "metric string, start timestamp, value double, n bigint"
+    counts = L.read_keyed(inp.spark, out, schema, ["metric", "start", "value"])
+    return S.stored_percentiles(counts, ["metric"]).select("metric", stamp("start").alias("start"), "n", *rounded({"p50": 6, "p95": 6}))
 
 
 @query("queue_consume_dlq", """

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import ALARM_PERIOD_SECONDS, ALARM_RULES, WIDGET_PERIOD_SECONDS
 from ..operators.metrics import evaluated, windowed_sums
+from ..operators.order_stats import quantiles
 from ..sources.landed import read_keyed, write_batch
 
 WATERMARK = "10 minutes"
@@ -25,12 +26,20 @@ def stream_sums(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_
     return windowed_sums(event_time(metrics), by, seconds)
 
 
-def stream_percentiles(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_SECONDS) -> DataFrame:
-    """p50 and p95 per window by mergeable sketch, the form a running stream keeps as state."""
+def stream_value_counts(metrics: DataFrame, by: list[str], seconds: int = WIDGET_PERIOD_SECONDS) -> DataFrame:
+    """How often each value occurs in a window: mergeable state from which exact percentiles follow.
+
+    In append mode a window leaves the state when the watermark passes it, so only open windows are held.
+    """
     window = F.window("ts", f"{seconds} seconds").alias("window")
-    sketches = F.percentile_approx("value", [0.5, 0.95], 10_000).alias("_p")
-    rows = event_time(metrics).groupBy(*by, window).agg(F.count("*").alias("n"), sketches)
-    return rows.selectExpr(*by, "window.start AS start", "n", "_p[0] AS p50", "_p[1] AS p95")
+    rows = event_time(metrics).groupBy(*by, window, "value").agg(F.count("*").alias("n"))
+    return rows.select(*by, F.col("window.start").alias("start"), "value", "n")
+
+
+def stored_percentiles(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Exact p50 and p95 of stored value counts, as the batch form gives them."""
+    rows = counts.select(*by, "start", "value", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i"))
+    return quantiles(rows, [*by, "start"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 def drain(
