@@ -303,11 +303,14 @@ def snapshots(inp: Inputs):
     """One snapshot per trading day: daily closes, a spot series and labelled zones, macro and news."""
     obs = inp.obs()
     equities = inp.bars_d().select("d", F.col("symbol").alias("key"), F.col("close").alias("value"), F.lit(1).alias("priority"))
-    spot = obs.filter(F.col("series_id") == "NO").select("d", F.lit("WTI_EIA").alias("key"), "value", F.lit(2).alias("priority"))
-    zones = J.with_zone_label(obs.withColumnRenamed("series_id", "zone"), ZONES).select(
-        "d", F.col("label").alias("key"), "value", F.lit(3).alias("priority")
+    # one pass over the observations: each labelled row is a zone price, and the spot series is one more price
+    roles = F.array(
+        F.struct(F.col("label").alias("key"), F.lit(3).alias("priority")),
+        F.when(F.col("zone") == "NO", F.struct(F.lit("WTI_EIA").alias("key"), F.lit(2).alias("priority"))),
     )
-    quotes = equities.unionByName(spot).unionByName(zones)
+    labelled = J.with_zone_label(obs.withColumnRenamed("series_id", "zone"), ZONES)
+    observed = labelled.select("d", "value", F.explode(F.array_compact(roles)).alias("r")).select("d", "r.key", "value", "r.priority")
+    quotes = equities.unionByName(observed)
     return N.combined(quotes, N.daily_macro(obs, SERIES_NAMES), N.daily_news(inp.articles()))
 
 
