@@ -97,12 +97,12 @@ def validated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("size(reasons) = 0").drop("reasons"), checked.filter("size(reasons) > 0")
 
 
-AgentFunction = Callable[[DataFrame], DataFrame]
+AgentFunction = Callable[..., DataFrame]
 _registry: dict[str, AgentFunction] = {}
 
 
 def register_agent(name: str, function: AgentFunction) -> None:
-    """An agent turns the responses of its runs into signal rows with ``df.transform``."""
+    """An agent turns the responses of its runs, and what evidence it is given by name, into signal rows."""
     _registry[name] = function
 
 
@@ -110,18 +110,20 @@ def agent_registry() -> dict[str, AgentFunction]:
     return dict(_registry)
 
 
-def run_agent(name: str, context: DataFrame) -> DataFrame:
+def run_agent(name: str, context: DataFrame, **evidence) -> DataFrame:
+    """The named agent over ``context``; evidence (such as ``best_asset``) goes to the agent as it is."""
     if name not in _registry:
         raise ValueError(f"Unknown agent: {name}. Valid: {sorted(_registry)}")
-    return context.transform(_registry[name])
+    return context.transform(_registry[name], **evidence)
 
 
-def _plain(agent: str) -> AgentFunction:
-    return lambda responses: agent_rows(responses, agent)
+def _with_evidence(agent: str, full: AgentFunction) -> AgentFunction:
+    """The full agent when it is given its evidence, else what its text says."""
+    return lambda responses, *given, **named: full(responses, *given, **named) if given or named else agent_rows(responses, agent)
 
 
-register_agent("market_data", _plain("MarketDataAgent"))
-register_agent("technical", _plain("TechnicalAnalyst"))
-register_agent("sentiment", _plain("SentimentAgent"))
-register_agent("risk", _plain("RiskManager"))
-register_agent("portfolio", _plain("PortfolioManager"))
+register_agent("market_data", _with_evidence("MarketDataAgent", market_signal))
+register_agent("technical", _with_evidence("TechnicalAnalyst", technical_signal))
+register_agent("sentiment", _with_evidence("SentimentAgent", sentiment_signal))
+register_agent("risk", _with_evidence("RiskManager", risk_signal))
+register_agent("portfolio", lambda responses: agent_rows(responses, "PortfolioManager"))

@@ -345,6 +345,10 @@ def evidence_market_digest(inp):
     return out
 
 
-@query("agent_plugin", q(f"SELECT {SIGNAL_SQL} FROM signals WHERE agent_name = 'TechnicalAnalyst'"))
+@query("agent_plugin", q(f"""
+SELECT {SIGNAL_SQL} FROM final_signals WHERE agent_name IN ('TechnicalAnalyst', 'SentimentAgent', 'RiskManager')"""))
 def agent_plugin(inp):
-    return X.run_agent("technical", inp.responses()).select(*SIGNAL)
+    """Three agents by their registered names, each with its evidence."""
+    rows = X.run_agent("technical", inp.responses(), best_asset=best_asset(inp)).select(*SIGNAL)
+    rows = rows.unionByName(X.run_agent("sentiment", inp.responses(), margin=social_direction(inp)).select(*SIGNAL))
+    return rows.unionByName(X.run_agent("risk", inp.responses(), flags=flags(inp)).select(*SIGNAL))
