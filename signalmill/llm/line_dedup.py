@@ -1,6 +1,14 @@
-r"""Line dedup over content-defined chunks: runs of lines that repeat anywhere in the corpus go, except the first.
+r"""Line dedup: runs of two or more lines that repeat anywhere in the corpus go, except the first.
 
-The ``\n``-split lines of a text are hashed. A cyclic rolling hash over the last ``window`` line hashes ends a chunk
+``dedup_runs`` (the registered query and the pipeline) is exact. A hash over two neighbouring lines is taken at every line,
+so that every repeated run is covered by its repeated pairs, wherever it starts and however short it is. A line goes if a
+pair that it is in holds a word and has occurred before (lesser key, then content, then place). Some occurrence of each
+line always stays: the first occurrence of a pair comes before the removed one, and so on down. Narrow rows (two line
+hashes, place) do all of this; the text of repeated lines is only compared, each distinct one once a task, and where one
+hash stands for several lines their pairs are compared by text instead.
+
+``dedup_lines`` samples: it removes equal chunks between content-defined boundaries, and misses most runs that are short
+against ``window`` and ``every``. The ``\n``-split lines of a text are hashed. A cyclic rolling hash over the last ``window`` line hashes ends a chunk
 wherever it falls on one value in ``every``, so boundaries depend on nearby lines alone and shift with them. Chunks of two
 or more lines that hold a word are candidates.
 
@@ -100,7 +108,81 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     return cut.select(*out, F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed_chunks"))
 
 
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _pairs(docs: DataFrame, text: str, key: str, texts: bool = False) -> DataFrame:
+    """One row per pair of neighbouring lines that holds a word: order, line hashes ``a`` and ``b``; with ``texts`` the pair."""
+    rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where("__text IS NOT NULL")
+    rows = rows.withColumn("__content", F.xxhash64("__text"))
+    line = lambda x: F.struct(_hash(x).alias("h"), (F.btrim(x, F.lit(SPACES)) != "").alias("word"), *([x.alias("line")] if texts else []))
+    rows = rows.withColumn("__l", F.transform(F.split("__text", "\n"), line))
+
+    def pair(x: Column, i: Column) -> Column:
+        after = F.get(F.col("__l"), i + 1)
+        both = [F.concat_ws("\n", x["line"], after["line"]).alias("pair")] if texts else []
+        return F.struct(i.alias("place"), x["h"].alias("a"), after["h"].alias("b"), (x["word"] | after["word"]).alias("word"), *both)
+
+    rows = rows.select("__key", "__content", F.explode(F.filter(F.transform("__l", pair), lambda c: c["b"].isNotNull() & c["word"])).alias("c"))
+    return rows.select("__key", "__content", "c.place", "c.a", "c.b", *(["c.pair"] if texts else []))
+
+
+def _few(rows: DataFrame, number: int) -> DataFrame:
+    return F.broadcast(rows) if number <= SENT_HASHES else rows.hint("shuffle_hash")
+
+
+def _later(found: DataFrame, marks: list[str]) -> DataFrame:
+    """(__key, __content, place) of all rows but the first of each ``marks``; ``found`` is a written table."""
+    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col("place").alias("p"))
+    found = found.withColumn("__order", order)
+    first = written(found.groupBy(*marks).agg(F.min("__order").alias("__first")), "first-pairs")
+    return found.join(first, marks).where(~F.col("__order").eqNullSafe(F.col("__first"))).select("__key", "__content", "place")
+
+
+def repeated_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(__key, __content, place) of every pair of lines that holds a word and has occurred before."""
+    pairs = written(_pairs(docs, text, key), "line-pairs")
+    often = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "pair-hashes")
+    found = written(pairs.join(_few(often, often.count()), ["a", "b"], "left_semi"), "pairs")
+    hashes = written(often.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), "line-hashes")
+    lines = docs.where(F.col(f"`{text}`").isNotNull()).select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line"))
+    lines = lines.select(_hash(F.col("line")).alias("hash"), "line").join(_few(hashes, hashes.count()), "hash", "left_semi")
+    mixed = written(lines.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mixed-hashes")
+    number = mixed.count()
+    if not number:
+        return _later(found, ["a", "b"])
+    of = [(side, mixed.select(F.col("hash").alias(side))) for side in ("a", "b")]
+    clear = found
+    for side, hashed in of:
+        clear = clear.join(_few(hashed, number), side, "left_anti")
+    texts = _pairs(docs, text, key, texts=True)
+    odd = [texts.join(_few(of[0][1], number), "a", "left_semi"), texts.join(_few(of[0][1], number), "a", "left_anti").join(_few(of[1][1], number), "b", "left_semi")]
+    odd = written(odd[0].unionByName(odd[1]).drop("a", "b"), "odd-pairs")
+    return _later(written(clear, "clear-pairs"), ["a", "b"]).unionByName(_later(odd, ["pair"]))
+
+
+def dedup_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All rows and columns, texts without their repeated runs (``n_chars`` follows), and ``__removed_runs``."""
+    gone = repeated_pairs(docs, text, key).groupBy("__key", "__content").agg(F.collect_set("place").alias("__pairs"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{key}`").alias("__key"),
+        F.xxhash64(F.col(f"`{text}`")).alias("__content"),
+    )
+    joined = rows.join(gone.hint("shuffle_hash"), same(rows, gone, ["__key", "__content"]), "left").select("__doc", "__pairs")
+    joined = joined.withColumn("__text", F.col("__doc").getField(text))
+    after = lambda places: F.transform(places, lambda i: i + 1)
+    cut = joined.withColumn("__gone", F.array_union("__pairs", after("__pairs")))
+    cut = cut.withColumn("__lines", F.split(F.when(F.col("__pairs").isNotNull(), F.col("__text")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
+    cut = cut.withColumn("__clean", F.when(F.col("__pairs").isNull(), F.col("__text")).otherwise(rest))
+    out = [F.col("__clean").alias(c) if c == text else F.length("__clean").cast("long").alias(c) if c == "n_chars" else F.col("__doc").getField(c).alias(c) for c in docs.columns]
+    runs = F.size(F.array_except("__gone", after("__gone")))
+    return cut.select(*out, F.when(F.col("__pairs").isNull(), 0).otherwise(runs).alias("__removed_runs"))
+
+
 def op5_line_dedup(spark, folder: str) -> DataFrame:
     """Every document with its remaining text."""
-    clean = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    return clean.select("doc_id", F.col("__removed_chunks").alias("n_removed_chunks"), "text")
+    clean = dedup_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", F.col("__removed_runs").alias("n_removed_chunks"), "text")

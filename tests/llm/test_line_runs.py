@@ -1,0 +1,83 @@
+import random
+
+import corpus_pipeline as C
+import pytest
+from pyspark.sql import functions as F
+
+from signalmill.llm import line_dedup as L
+
+from . import brute
+
+
+def plain(rows):
+    """Exact search: a line goes if a pair of lines around it holds a word and has occurred before."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            pair = (lines[i], lines[i + 1])
+            if brute.WORD.search("\n".join(pair)):
+                if pair in seen:
+                    gone |= {i, i + 1}
+                seen.add(pair)
+        runs = sum(i - 1 not in gone for i in gone)
+        out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), runs)
+    return out
+
+
+def texts(df):
+    return {r.doc_id: (r.text, r["__removed_runs"]) for r in L.dedup_runs(df).collect()}
+
+
+def planted(seed=3):
+    """Passages of 2 to 10 lines, each in four documents."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(6))
+    rows, own = [], {}
+    for length in range(2, 11):
+        passage = [line() for _ in range(length)]
+        for _ in range(4):
+            before, after = ([line() for _ in range(rng.randrange(1, 12))] for _ in range(2))
+            own[len(rows)] = "\n".join((before if len(rows) % 4 else [*before, *passage]) + after)
+            rows.append((len(rows), "a", "\n".join([*before, *passage, *after])))
+    return rows, own
+
+
+def test_short_passages_go_whole(documents):
+    rows, own = planted()
+    got = texts(documents(rows))
+    assert {d: t for d, (t, _) in got.items()} == own
+    assert got == plain([(d, t) for d, _, t in rows])
+    assert {r.doc_id: r.text for r in dict(C.STAGES)["line_dedup"](None, documents(rows), "").collect()} == own
+
+
+@pytest.mark.parametrize("sent", [0, 300_000])
+@pytest.mark.parametrize("weak", [False, True])
+def test_every_way_agrees_with_the_exact_search(documents, monkeypatch, sent, weak):
+    monkeypatch.setattr(L, "SENT_HASHES", sent)
+    if weak:  # many lines share a hash, others do not
+        monkeypatch.setattr(L, "_hash", lambda x: F.when(F.length(x) < 3, F.length(x).cast("long")).otherwise(F.xxhash64(x)))
+    rng = random.Random(5)
+    rows = [(i, "a", "\n".join(rng.choice(["", " ", "a", "b", "ccc", "ddd", f"x{i}", f"line {rng.randrange(60)}"]) for _ in range(rng.randrange(1, 12)))) for i in range(120)]
+    assert texts(documents(rows)) == plain([(d, t) for d, _, t in rows])
+
+
+def test_edges(edges, documents):
+    rows, df = edges
+    out = L.dedup_runs(df.withColumn("place", F.lit(1)).withColumn("a", F.lit("x")).withColumn("__gone", F.lit("g")))
+    got = sorted(str((r.doc_id, r.text)) for r in out.collect())
+    clean = plain([(d if d is not None else 10**9, t) for d, t in {(d, t) for d, _, t in rows if t is not None}])
+    assert got == sorted(str((d, None if t is None else clean[d if d is not None else 10**9][0])) for d, _, t in rows)
+    assert L.dedup_runs(documents([])).collect() == []
+
+
+def test_many_lines(documents):
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    got = texts(documents([(1, "a", text), (2, "a", f"own\n{text}\nlast")]))
+    assert got == {1: (text, 0), 2: ("own\nlast", 1)}
+
+
+def test_the_query(spark, folder, sample):
+    got = {r.doc_id: (r.text, r.n_removed_chunks) for r in L.op5_line_dedup(spark, folder).collect()}
+    assert got == plain([(d, t) for d, _, t in sample[0]])
