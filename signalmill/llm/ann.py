@@ -4,15 +4,15 @@ On a bounded sample (``SAMPLE`` distinct vectors in hash order) a graph of neare
 balanced parts: halving by the graph's slowest mode, then moves of single nodes to the part that holds most of their
 neighbours as long as sizes stay within a tenth. A small network learns, for a vector, the parts of its neighbours. It puts
 every row of the table into its most probable part and sends every query to as many most probable parts as held-out
-sample points need to find ``aim`` of their neighbours. Candidates are ranked by exact double-precision distance.
+sample points need to find ``aim`` of their neighbouring ids. Candidates are ranked by exact double-precision distance.
 
 Parts are cut into blocks of at most ``BLOCK`` candidates by hash, and their queries likewise, so a part that holds a third
-of all rows is spread over tasks; each block pair gives at most ``k`` rows a query. Queries that found fewer than
+of all rows is spread over tasks; each block pair gives at most ``k`` ids a query. Queries that found fewer than
 exist are searched in all parts.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
-an id or vectors of another than the most common length; a repeated id counts once, with its nearest vector;
-an empty table gives an empty result.
+an id or vectors of another than the most common length; a repeated id counts once, with its nearest vector, however
+often it occurs (equal rows are dropped before the table is placed); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,10 +119,18 @@ class Router:
         return np.maximum((x - self.mean) / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
 
+def _first_of_ids(near: np.ndarray, ids: np.ndarray, own: int) -> np.ndarray:
+    """The nearest row of each of the first NEIGHBOURS other ids, of rows in order of distance."""
+    near = near[ids[near] != own]
+    _, first = np.unique(ids[near], return_index=True)
+    return near[np.sort(first)[:NEIGHBOURS]]
+
+
 class Partitioner:
     """The learned parts of a sample, and how many of them a query needs."""
 
-    def __init__(self, sample: np.ndarray, parts: int, aim: float = 0.97, seed: int = 5):
+    def __init__(self, sample: np.ndarray, parts: int, aim: float = 0.97, seed: int = 5, ids: np.ndarray | None = None):
+        ids = np.arange(len(sample)) if ids is None else ids
         self.parts = parts if len(sample) >= 4 * parts else 1
         self.router, self.probes = None, 1
         if self.parts == 1:
@@ -133,11 +141,11 @@ class Partitioner:
         router, part = self._learn(sample[kept], rng)
         placed = router.logits(sample[kept]).argmax(1)
         x, y = sample[held], sample[kept]
-        near = np.argsort((y * y).sum(1)[None, :] - 2 * x @ y.T, axis=1)[:, :NEIGHBOURS]
+        near = np.argsort((y * y).sum(1)[None, :] - 2 * x @ y.T, axis=1)
         rank = np.empty((len(x), self.parts), np.int64)
         np.put_along_axis(rank, np.argsort(-router.logits(x), axis=1, kind="stable"), np.arange(self.parts)[None, :], axis=1)
-        needed = np.take_along_axis(rank, placed[near], axis=1).ravel()
-        self.probes = min(self.parts, int(np.quantile(needed, aim, method="higher")) + 1)
+        needed = np.concatenate([rank[i, placed[_first_of_ids(near[i], ids[kept], ids[held[i]])]] for i in range(len(x))])
+        self.probes = min(self.parts, int(np.quantile(needed, aim, method="higher")) + 1) if len(needed) else self.parts
         self.router, _ = self._learn(sample, np.random.default_rng(seed))
 
     def _learn(self, x: np.ndarray, rng: np.random.Generator) -> tuple[Router, np.ndarray]:
@@ -195,20 +203,25 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     """(query ids, ids, distances) of the k nearest other ids, ties to smaller ids.
 
     A matrix product finds who can be among them, within its rounding error; distances are then taken from differences.
+    A repeated id counts once, with its nearest row, so the cut is at the k-th smallest of the ids' least upper bounds.
     """
+    by_id = np.argsort(ids, kind="stable")
+    rows, ids = rows[by_id], ids[by_id]
+    names, starts = np.unique(ids, return_index=True)
     norms = (rows * rows).sum(1)
     for at in range(0, len(queries), 64):
         q = queries[at:at + 64]
         own = (q * q).sum(1)
         rough = own[:, None] + norms[None, :] - 2 * q @ rows.T
         slack = 1e-9 * (own[:, None] + norms[None, :]) + 1e-300
+        high = rough + slack
+        if len(names) < len(ids):
+            high = np.minimum.reduceat(high, starts, axis=1)
         for i in range(len(q)):
-            other = ids != query_ids[at + i]
-            near = np.flatnonzero(other)
-            if len(near) > 4 * k:
-                high = (rough[i] + slack[i])[near]
-                # repeated ids may hide one another, so that more than k rows are looked at
-                limit = np.partition(high, 4 * k - 1)[4 * k - 1]
+            near = np.flatnonzero(ids != query_ids[at + i])
+            others = high[i][names != query_ids[at + i]]
+            if len(others) > k:
+                limit = np.partition(others, k - 1)[k - 1]
                 near = near[(rough[i] - slack[i])[near] <= limit]
             distance = np.sqrt(((rows[near] - q[i]) ** 2).sum(1))
             order = np.lexsort((ids[near], distance))
@@ -230,9 +243,9 @@ def _search(k: int):
 
 
 def _blocks(rows: DataFrame, sizes: dict[int, int], block: int, name: str) -> Column:
-    """The block of a row within its part, by hash of its id."""
+    """The block of a row within its part, by hash of id and vector, so that an id with many rows is spread."""
     number = F.create_map(*[F.lit(x) for p, n in sorted(sizes.items()) for x in (int(p), -(-n // block))])
-    return F.pmod(F.xxhash64("id", F.lit(name)), F.coalesce(number[F.col("part")], F.lit(1))).cast("int")
+    return F.pmod(F.xxhash64("id", "vector", F.lit(name)), F.coalesce(number[F.col("part")], F.lit(1))).cast("int")
 
 
 def _pairs(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -262,12 +275,12 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
         return empty
-    rows = rows.where(F.size("vector") == sizes[0]["n"])
+    rows = rows.where(F.size("vector") == sizes[0]["n"]).dropDuplicates(["id", "vector"])
     wanted = sizes[0]["count"] / PART_ROWS
     parts = 1 << max(0, min(int(np.log2(MOST_PARTS)), int(np.floor(np.log2(max(wanted, 1))))))
     mark = F.xxhash64("vector", F.lit(seed))
-    sample = [r["vector"] for r in rows.select("vector").distinct().orderBy(mark, "vector").limit(SAMPLE).collect()]
-    model = Partitioner(np.array(sample, np.float64), parts, seed=seed)
+    sample = rows.groupBy("vector").agg(F.min("id").alias("id")).orderBy(mark, "vector").limit(SAMPLE).collect()
+    model = Partitioner(np.array([r["vector"] for r in sample], np.float64), parts, seed=seed, ids=np.array([r["id"] for r in sample]))
     kind = rows.schema["vector"].dataType.simpleString()
     index = written(rows.mapInArrow(_place(model), f"id long, vector {kind}, part int"), "ann-index")
     queries = index.where(is_query).select("id", "vector")
