@@ -41,6 +41,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Up to so many revisits (about 300 bytes each) go to every task; more are joined.
 SENT_REVISITS = 20_000
 _NAMES = uuid.UUID("6f0d0f3a-5d0e-5c55-9d8c-3f4b1f0a7c11")
+#: What the first record of an ARC file holds: its version and the names of the header fields.
+_VERSION_BLOCK = re.compile(rb"[12] \S+ [^\n]*\nURL IP-address Archive-date ")
 _HEADER = re.compile(rb"^(\S+) ([0-9A-Fa-f.:]+) (\d{14}) (\S+) ((?:\S+ ){0,5})(\d+)$")
 
 ARC_SCHEMA = (
@@ -150,8 +152,12 @@ class Stream:
 
 
 def parse_arc(pieces: Iterator[bytes]) -> Iterator[dict]:
-    """The records of one ARC file, by the header fields of its version and the lengths it declares."""
-    stream, version, lost = Stream(pieces), 1, False
+    """The records of one ARC file, by the header fields of its version and the lengths it declares.
+
+    ``filedesc:`` is the file's header in its first line, or where the version block of a joined file follows; any other
+    such url is a record.
+    """
+    stream, version, lost, begins = Stream(pieces), 1, False, True
     while True:
         offset = stream.offset
         line = stream.line()
@@ -160,6 +166,7 @@ def parse_arc(pieces: Iterator[bytes]) -> Iterator[dict]:
         line = line.rstrip(b"\r")
         if not line:
             continue
+        at_start, begins = begins, False
         found = _HEADER.match(line)
         extra = found[5].split() if found else []
         if not found or len(extra) not in (0, 5):
@@ -169,7 +176,7 @@ def parse_arc(pieces: Iterator[bytes]) -> Iterator[dict]:
             continue
         length = int(found[6])
         block = stream.take(length)
-        if found[1].startswith(b"filedesc:"):
+        if found[1].startswith(b"filedesc:") and (at_start or _VERSION_BLOCK.match(block)):
             version = int(block[:1]) if block[:1] in (b"1", b"2") else 1
             continue
         lost = False
