@@ -169,7 +169,7 @@ class Mix:
         ends = [(r.s, r.n, [int(x) for x in np.cumsum(tree[:, i])]) for i, r in enumerate(quotas)]
         bounds = self.ranked.sparkSession.createDataFrame(ends, "s int, n long, ends array<long>")
         copies = F.concat(
-            F.transform(F.sequence(F.lit(1), F.lit(MOST)), lambda p: F.when(p <= F.col("passes"), F.struct((p - 1).cast("long").alias("copy"), F.col("words").alias("words")))),
+            F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("passes"), F.lit(1))), lambda p: F.when(p <= F.col("passes"), F.struct((p - 1).cast("long").alias("copy"), F.col("words").alias("words")))),
             F.array(F.when(F.col("more") > 0, F.struct(F.col("passes").alias("copy"), F.col("more").alias("words")))),
         )
         taken = self.ranked.select("__row", "__content", "s", "block", "rank", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c"))
