@@ -18,10 +18,13 @@ BUCKETS_PER_E_FOLD = 1000
 CUTS = 1 << 20
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bucket _b, its cut _b1, distinct value _v and its count _c; NULL and NaN are left out."""
-    rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v").filter("_v IS NOT NULL AND NOT isnan(_v)")
-    counts = rows.groupBy(*keys, "_v").count().withColumnRenamed("count", "_c")
+def value_counts(df: DataFrame, keys: list[str], value: str, count: str = "1") -> DataFrame:
+    """keys, bucket _b, its cut _b1, distinct value _v and its count _c; NULL and NaN are left out.
+
+    ``count`` is SQL text: how many values a row stands for.
+    """
+    rows = df.selectExpr(*keys, f"CAST({value} AS double) AS _v", f"CAST({count} AS bigint) AS _c")
+    counts = rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     # monotone in the value, at most about 3 million distinct buckets over all doubles; ln of a double is above -800
     place = f"(ln(abs(_v)) + 800) * {BUCKETS_PER_E_FOLD}"
     counts = counts.selectExpr("*", f"CASE WHEN _v = 0 THEN 0d ELSE {place} END AS _x", "CAST(signum(_v) AS bigint) AS _s")
@@ -30,13 +33,13 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, str]) -> DataFrame:
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, str], count: str = "1") -> DataFrame:
     """keys, n and one column per entry of ``ranks``: the value at that 0-based place in sorted order.
 
     A rank is SQL text over ``n``, the number of values of the group.
     """
     by = ", ".join(keys)
-    values = value_counts(df, keys, value)
+    values = value_counts(df, keys, value, count)
     cuts = values.groupBy(*keys, "_b", "_b1").agg(F.sum("_c").alias("_c"))
     buckets = cuts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).selectExpr("*", f"sum(_c) OVER (PARTITION BY {by}) AS n")
     wanted = ", ".join(f"named_struct('_name', '{name}', '_rank', CAST({rank} AS bigint))" for name, rank in ranks.items())
@@ -61,15 +64,18 @@ def _holding(totals: DataFrame, by: str, part: str, names: list[str]) -> DataFra
     return inside.selectExpr(*[f"{c} AS _t_{c}" for c in names], "n", "_inside AS _want")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, points: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles, exact: keys, n and one column per entry of ``points``."""
+def quantiles(df: DataFrame, keys: list[str], value: str, points: Mapping[str, float], count: str = "1") -> DataFrame:
+    """Linearly interpolated quantiles, exact: keys, n and one column per entry of ``points``.
+
+    ``count`` is SQL text: how many values a row stands for.
+    """
     ranks = {}
     for name, p in points.items():
         ranks[f"{name}__lo"] = f"floor((n - 1) * {p}d)"
         ranks[f"{name}__hi"] = f"ceil((n - 1) * {p}d)"
     between = [_between(f"{name}__lo", f"{name}__hi", f"((n - 1) * {p}d - floor((n - 1) * {p}d))") + f" AS {name}"
                for name, p in points.items()]
-    return ranked_values(df, keys, value, ranks).selectExpr(*keys, "n", *between)
+    return ranked_values(df, keys, value, ranks, count).selectExpr(*keys, "n", *between)
 
 
 def _between(low: str, high: str, part: str) -> str:
