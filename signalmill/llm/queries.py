@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op6_ann
+from .hnsw_dedup import op13_hnsw_dedup
 from .line_dedup import op5_line_dedup
 from .oracles import QUALITY_RULES, SECRET_SCAN
 from .pieces import op2_sentencepiece
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_hnsw_dedup": op13_hnsw_dedup,
 }
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_secret_scan": SECRET_SCAN, "op7_quality_rules": QUALITY_RULES}
