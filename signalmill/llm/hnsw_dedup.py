@@ -10,12 +10,12 @@ Beams widen twice over: a query whose beam holds nothing but links is searched a
 is repeated with twice the beam until an audit passes: ``AUDITED`` of its queries are compared with all rows of the shard, and
 at least ``aim`` of their links and ``AIM_ROWS`` of their ``NEAREST`` nearest rows must have been found. A beam as wide as the
 shard is an exact search, so no link is out of reach. Graphs are walked in single precision with some slack; pairs found are
-checked by the double-precision cosine of the original vectors. A
-task returns weighted link counts and the edges of a spanning forest, never its pairs, so large groups of near copies cost
-rows, not pairs; components come from alternating large and small stars.
+checked by the double-precision cosine of the original vectors. A task returns weighted link counts and the edges of a
+spanning forest, never its pairs, so large groups of near copies cost rows, not pairs; components come from alternating
+large and small stars.
 
-Memory is bounded by two shards and their bit per pair. The work of ``query every shard`` is nodes x shards of a label, so
-larger tables want larger ``shard_rows`` as far as tasks have memory.
+Memory is bounded by two shards and a byte per pair of their rows (twice 64 MB). The work of ``query every shard`` is nodes x
+shards of a label, so larger tables want larger ``shard_rows`` as far as tasks have memory.
 
 Defined results: one row per distinct (id, label, vector). Vectors that are null, empty, zero or hold null or non-finite
 components, and rows without a label, link with nothing; neither do vectors of different lengths. Rows without an id link with
@@ -36,7 +36,7 @@ from .ann import usable
 from .common import same, ship_code, table, written
 from .simhash_dedup import components
 
-SHARD_ROWS, LINKS, BUILD_BEAM, BEAM = 4096, 12, 48, 32
+SHARD_ROWS, LINKS, BUILD_BEAM, BEAM = 8192, 12, 48, 32
 AUDITED, NEAREST, AIM_ROWS = 48, 4, 0.9
 #: Rows of one batched insertion or search.
 BATCH = 128

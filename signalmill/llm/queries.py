@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .hnsw_dedup import op13_hnsw_dedup
+from .lexical import OP12_SQL, op12_lexical_search
 from .line_dedup import op5_line_dedup
 from .oracles import QUALITY_RULES, SECRET_SCAN
 from .pieces import op2_sentencepiece
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_rules import op7_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash_dedup import op9_simhash_dedup
@@ -26,6 +28,10 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
     "op13_hnsw_dedup": op13_hnsw_dedup,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_secret_scan": SECRET_SCAN, "op7_quality_rules": QUALITY_RULES}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL, "op3_secret_scan": SECRET_SCAN, "op7_quality_rules": QUALITY_RULES, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL,
+}
