@@ -92,3 +92,6 @@ ALARM_RULES = (
 ALARM_PERIOD_SECONDS = 300
 WIDGET_PERIOD_SECONDS = 900
 MAX_RECEIVES = {"ingestion": 3, "agent": 2}
+
+# --- fixed values: retention (prefix, days, what happens to older folders) ---------------
+RETENTION_RULES = (("raw", 90, "archive"), ("signals", 365, "expire"), ("results", 30, "expire"))

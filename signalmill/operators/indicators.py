@@ -61,7 +61,9 @@ def _block_sums(rows: DataFrame, block_rows: int) -> DataFrame:
     placed = rows.selectExpr("symbol", "close", "prev_close", "rn", f"(rn - 1) div {block_rows} AS _block", "n", f"least(n, ((rn - 1) div {block_rows} + 1) * {block_rows}) AS _end")
     placed = placed.selectExpr("*", "_end - rn AS _m")
     return placed.groupBy("symbol", "_block").agg(
-        F.max("_end").alias("rn"), F.max("n").alias("n"), *[F.expr(f"coalesce(sum({value}), 0d) AS {name}") for name, value in sums.items()]
+        F.max("_end").alias("rn"), F.max("n").alias("n"), F.expr("max(CASE WHEN close > prev_close THEN rn END) AS _rise"),
+        F.expr("max(CASE WHEN close < prev_close THEN rn END) AS _fall"),
+        *[F.expr(f"coalesce(sum({value}), 0d) AS {name}") for name, value in sums.items()],
     ).withColumn("_k", F.expr(f"rn - _block * {block_rows}"))
 
 
@@ -79,15 +81,17 @@ def _added_by_start(alpha: float) -> str:
 
 
 def _block_states(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Every average at the end of each block: _y_fast, _y_slow, _y_signal, and _moved (rn, gain, loss) at the end of the
-    last block with a move."""
+    """Every average at the end of each block: _y_fast, _y_slow, _y_signal, and _moved (rn, gain, loss, and where the last
+    rise and fall were) at the end of the last block with a move."""
     back = -(-FORGOTTEN_ROWS // block_rows)
     ends = _block_sums(rows, block_rows)
     ends = ends.selectExpr("*", *_decayed({"_gain": GAIN, "_loss": GAIN, "_fast": FAST, "_slow": SLOW}, back))
     order = "OVER (PARTITION BY symbol ORDER BY _block)"
+    moves = f"max(_rise) {order} AS rise, max(_fall) {order} AS fall"
+    ends = ends.selectExpr("*", f"struct(rn, _y_gain AS gain, _y_loss AS loss, {moves}) AS _here")
     ends = ends.selectExpr(
         "symbol", "_block", "rn", "n", "_y_fast", "_y_slow",
-        f"last(CASE WHEN _gain + _loss > 0 THEN struct(rn, _y_gain AS gain, _y_loss AS loss) END, true) {order} AS _moved",
+        f"last(CASE WHEN _gain + _loss > 0 THEN _here END, true) {order} AS _moved",
         f"_signal + coalesce(lag(_y_fast) {order} * {_added_by_start(FAST)} - lag(_y_slow) {order} * {_added_by_start(SLOW)}, 0d) AS _signal",
     )
     return ends.selectExpr("*", *_decayed({"_signal": SIGNAL}, back))
@@ -107,8 +111,9 @@ def _known(rows: str) -> list[str]:
     return [f"CASE WHEN {rows} >= {first} THEN {value} END AS {name}" for name, (first, value) in known.items()]
 
 
-def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
-    """Every indicator on every bar: symbol, ts, close, rn, n and INDICATORS (NULL while warming up).
+def _row_states(bars: DataFrame, block_rows: int, slice_seconds: int) -> DataFrame:
+    """What all indicators need, on every bar: _mid and _dev of the band, the averages _fast, _slow, _signal, and the state of
+    gains and losses (_gain, _loss) as of row _ref, where _rise and _fall are the last rows that rose and fell.
 
     Inside a block, averages are running sums of what its own rows add. The state with which a block begins is the
     decayed sum of what the blocks before it added, one row per block, exact in double arithmetic. Gain and loss enter
@@ -128,9 +133,11 @@ def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_second
         f"CASE WHEN {flat} THEN close ELSE avg(close) {band} END AS _mid",
         f"CASE WHEN {flat} THEN 0d ELSE stddev_pop(close) {band} END AS _dev",
     ).filter("_own")
+    so_far = "OVER (PARTITION BY symbol, _block ORDER BY rn ROWS UNBOUNDED PRECEDING)"
     rows = rows.selectExpr(
         "*", f"{_local('_up', GAIN, 1)} AS _gain", f"{_local('_down', GAIN, 1)} AS _loss",
         f"{_local('close', FAST, 1)} AS _fast", f"{_local('close', SLOW, 1)} AS _slow",
+        f"max(CASE WHEN _up > 0 THEN rn END) {so_far} AS _rise", f"max(CASE WHEN _down > 0 THEN rn END) {so_far} AS _fall",
     )
     rows = rows.selectExpr("*", f"{_local('(_fast - _slow)', SIGNAL, MIN_BARS)} AS _signal")
     ends = _block_states(numbered, block_rows)
@@ -138,16 +145,76 @@ def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_second
     rows = rows.join(state, ["symbol", "_block"], "left")
     since = f"pow({1 - GAIN!r}d, rn - _moved.rn)"
     still = "_gain = 0 AND _loss = 0 AND _moved IS NOT NULL"
-    rows = rows.selectExpr(
+    return rows.selectExpr(
         "symbol", "ts", "close", "rn", "n", "_mid", "_dev",
         f"CASE WHEN {still} THEN _moved.gain ELSE _gain + coalesce(_moved.gain * {since}, 0d) END AS _gain",
         f"CASE WHEN {still} THEN _moved.loss ELSE _loss + coalesce(_moved.loss * {since}, 0d) END AS _loss",
-        f"_fast + coalesce(_y_fast * pow({1 - FAST!r}d, _k), 0d) - _slow - coalesce(_y_slow * pow({1 - SLOW!r}d, _k), 0d) AS _line",
+        f"CASE WHEN {still} THEN _moved.rn ELSE rn END AS _ref", "coalesce(_rise, _moved.rise, 0) AS _rise", "coalesce(_fall, _moved.fall, 0) AS _fall",
+        f"_fast + coalesce(_y_fast * pow({1 - FAST!r}d, _k), 0d) AS _fast", f"_slow + coalesce(_y_slow * pow({1 - SLOW!r}d, _k), 0d) AS _slow",
         f"_signal + coalesce(_y_signal * pow({1 - SIGNAL!r}d, _k) + _y_fast * {_added_by_start(FAST)} - _y_slow * {_added_by_start(SLOW)}, 0d) AS _signal",
     )
+
+
+def indicator_series(bars: DataFrame, block_rows: int = BLOCK_ROWS, slice_seconds: int = B.SLICE_SECONDS) -> DataFrame:
+    """Every indicator on every bar: symbol, ts, close, rn, n and INDICATORS (NULL while warming up)."""
+    rows = _row_states(bars, block_rows, slice_seconds).withColumn("_line", F.expr("_fast - _slow"))
     return rows.selectExpr("symbol", "ts", "close", "rn", "n", *_known("rn"))
 
 
+def indicators_by_day(
+    bars: DataFrame, days: int = LOOKBACK_DAYS, block_rows: int = BLOCK_ROWS, slice_seconds: int = B.SLICE_SECONDS,
+) -> DataFrame:
+    """Indicators of each symbol at the end of every date d, over that date's own look-back: symbol, d, ts, close, n, INDICATORS.
+
+    Equal to ``indicator_latest(bars, d, days)`` of every d on which a symbol has a bar in its look-back. An average that
+    starts anew at row a of the history is, at row b, the average of the whole history plus what its start replaces:
+    q^(b - a) * (x(a) - average(a)). So one pass over the history and two states a date give the averages of all look-backs:
+    that of the date's last bar, carried to the next bar, and that of the look-back's first bar. The signal starts at the
+    look-back's 26th bar and has that row's state, too. Gains and losses start at nothing; they are exactly nothing when
+    the last rise or fall was before the look-back.
+    """
+    rows = _row_states(bars, block_rows, slice_seconds).withColumn("d", F.to_date("ts"))
+    state = "rn, close, _gain, _loss, _ref, _rise, _fall, _fast, _slow, _signal"
+    daily = rows.groupBy("symbol", "d").agg(
+        F.expr(f"max_by(struct(ts, _mid, _dev, {state}), rn) AS _b"), F.expr("min_by(struct(rn, close, _gain, _loss, _ref, _fast, _slow), rn) AS _a")
+    )
+    last = carried(daily.select("symbol", "d", "_b"), "symbol", days)
+    # a date's first bar starts the look-backs of the dates that the bars before it no longer reach
+    starts = daily.selectExpr("symbol", "d", "_a", "lag(d) OVER (PARTITION BY symbol ORDER BY d) AS _before")
+    reach = f"sequence(greatest(d, coalesce(date_add(_before, {days + 1}), d)), date_add(d, {days}))"
+    starts = starts.selectExpr("symbol", "_a", f"_a.rn + {MIN_BARS - 1} AS rn", f"explode({reach}) AS d")
+    seeds = rows.select("symbol", "rn", F.col("_fast").alias("_r_fast"), F.col("_slow").alias("_r_slow"), F.col("_signal").alias("_r_signal"))
+    both = last.join(starts.join(seeds, ["symbol", "rn"], "left").drop("rn"), ["symbol", "d"])
+    fast, slow, gain, s = repr(1 - FAST), repr(1 - SLOW), repr(1 - GAIN), repr(1 - SIGNAL)
+    both = both.selectExpr(
+        "symbol", "d", "_b", "_a", "_b.rn - _a.rn AS _m", "_a.close - _a._fast AS _cf", "_a.close - _a._slow AS _cs",
+        "_r_fast", "_r_slow", "_r_signal", f"pow({s}d, _b.rn - _a.rn - {MIN_BARS - 1}) AS _since",
+    )
+
+    def moved(name: str, last_move: str) -> str:
+        return f"CASE WHEN _b.{last_move} <= _a.rn THEN 0d ELSE greatest(_b.{name} - pow({gain}d, _b._ref - _a._ref) * _a.{name}, 0d) END AS {name}"
+
+    def entered(q: str) -> str:
+        """What an average of value one at the start has added to the signal since the signal's own start."""
+        return f"({SIGNAL / (float(q) - float(s))!r}d * pow({q}d, {MIN_BARS}) * (pow({q}d, _m - {MIN_BARS - 1}) - _since))"
+
+    at_seed = f"(_r_fast + _cf * pow({fast}d, {MIN_BARS - 1}) - _r_slow - _cs * pow({slow}d, {MIN_BARS - 1}))"
+    both = both.selectExpr(
+        "symbol", "d", "_b.ts AS ts", "_b.close AS close", "_m + 1 AS n", "_b._mid AS _mid", "_b._dev AS _dev",
+        moved("_gain", "_rise"), moved("_loss", "_fall"),
+        f"_b._fast + _cf * pow({fast}d, _m) - _b._slow - _cs * pow({slow}d, _m) AS _line",
+        f"CASE WHEN _m >= {MIN_BARS - 1} THEN _since * {at_seed} + (_b._signal - _since * _r_signal) + _cf * {entered(fast)} - _cs * {entered(slow)} END AS _signal",
+    )
+    return both.selectExpr("symbol", "d", "ts", "close", "n", *_known("n"))
+
+
+def records_by_day(bars: DataFrame, symbols=None, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """``indicator_records(bars, symbols, d, days)`` of every date d: one row per symbol and date."""
+    if symbols is not None:
+        bars = bars.filter(F.col("symbol").isin(list(symbols)))
+    return scored(indicators_by_day(bars, days)).select("symbol", "d", *rounded(RECORD_DIGITS), "ta_score", "ta_signals")
+
+
 def within(bars: DataFrame, as_of: AsOf | None, days: int) -> DataFrame:
     """The bars of the ``days`` days up to and with ``as_of``; all bars without one."""
     if as_of is None:
@@ -227,15 +294,9 @@ def best_asset(records: DataFrame, order=None) -> DataFrame:
     return records.agg(_best(order))
 
 
-def best_asset_by_day(series: DataFrame, order=None, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """The best asset of every date (d), from what was known at its end: no later bar has a say.
-
-    ``series`` are indicator_series rows. A symbol without a bar on a date shows its last one of the look-back.
-    """
-    fields = ", ".join(["close", "rn AS n", *INDICATORS])
-    last = series.groupBy("symbol", F.to_date("ts").alias("d")).agg(F.expr(f"max_by(struct({fields}), ts) AS _last"))
-    known = carried(last.select("symbol", "d", "_last.*"), "symbol", days)
-    return scored(known).groupBy("d").agg(_best(order))
+def best_asset_by_day(records: DataFrame, order=None) -> DataFrame:
+    """The best asset of every date, over ``records_by_day`` rows: no bar after a date has a say, none before its look-back."""
+    return records.groupBy("d").agg(_best(order))
 
 
 VOLATILITY_DAYS = 60
@@ -258,3 +319,43 @@ def volatility(bars: DataFrame, symbols=None, min_bars: int = 10, as_of: AsOf |
     per_symbol = log_returns(bars).groupBy("symbol").agg(annual, F.max("n").alias("_n"))
     usable = per_symbol.filter(f"_n >= {min_bars} AND _annual IS NOT NULL AND NOT isnan(_annual)")
     return usable.select("symbol", half_even("_annual", 2).alias("volatility"))
+
+
+def volatility_by_day(
+    bars: DataFrame, symbols=None, min_bars: int = 10, days: int = VOLATILITY_DAYS, slice_seconds: int = B.SLICE_SECONDS,
+) -> DataFrame:
+    """``volatility(bars, symbols, min_bars, d, days)`` of every date d: symbol, d, volatility.
+
+    Each date's returns become one row of count, mean and sum of squares about the mean, the return of its first bar apart:
+    it does not count when the date opens the look-back. The dates of a look-back (at most ``days`` + 1 rows) are merged
+    pairwise, so nothing is ever subtracted and no digits are lost, and only date rows are ordered per symbol.
+    """
+    if symbols is not None:
+        bars = bars.filter(F.col("symbol").isin(list(symbols)))
+    rows = B.numbered(bars.select("symbol", "ts", "close"), slice_seconds)
+    value = "CASE WHEN close > 0 AND prev_close > 0 AND NOT isnan(close / prev_close) THEN ln(close / prev_close) END AS _r"
+    rows = rows.selectExpr("symbol", "to_date(ts) AS d", "rn", value)
+    opening = rows.groupBy("symbol", "d").agg(F.min("rn").alias("_first"), F.min_by(F.struct("_r"), "rn").alias("_opening"), F.count("*").alias("_bars"))
+    first = opening.selectExpr("symbol", "_first AS rn", "true AS _opens")
+    others = rows.join(first, ["symbol", "rn"], "left").filter("_opens IS NULL AND _r IS NOT NULL").groupBy("symbol", "d").agg(
+        F.expr("CAST(count(_r) AS double) AS k"), F.avg("_r").alias("mean"), F.expr("var_pop(_r) * count(_r) AS m2")
+    )
+    known = "coalesce(k, 0d) AS k, coalesce(mean, 0d) AS mean, coalesce(m2, 0d) AS m2"
+    daily = opening.join(others, ["symbol", "d"], "left").selectExpr(
+        "symbol", "d", f"struct(d, _bars AS bars, _opening._r AS opening, {known}) AS _day"
+    )
+    dense = carried(daily, "symbol", days).withColumn("_own", F.expr("CASE WHEN _day.d = d THEN _day END"))
+    frame = f"OVER (PARTITION BY symbol ORDER BY d RANGE BETWEEN {days} PRECEDING AND CURRENT ROW)"
+    dense = dense.selectExpr("symbol", "d", f"collect_list(_own) {frame} AS _days")
+    part = "named_struct('k', x.k, 'mean', x.mean, 'm2', x.m2)"
+    alone = "named_struct('k', 1d, 'mean', x.opening, 'm2', 0d)"
+    parts = f"filter(flatten(transform(_days, (x, i) -> CASE WHEN i = 0 OR x.opening IS NULL THEN array({part}) ELSE array({alone}, {part}) END)), p -> p.k > 0)"
+    merged = (
+        "aggregate(_parts, named_struct('k', 0d, 'mean', 0d, 'm2', 0d), (t, p) -> named_struct('k', t.k + p.k,"
+        " 'mean', t.mean + (p.mean - t.mean) * p.k / (t.k + p.k),"
+        " 'm2', t.m2 + p.m2 + (p.mean - t.mean) * (p.mean - t.mean) * t.k * p.k / (t.k + p.k)))"
+    )
+    dense = dense.selectExpr("symbol", "d", f"{parts} AS _parts", "aggregate(_days, 0L, (t, x) -> t + x.bars) AS _n")
+    dense = dense.selectExpr("symbol", "d", "_n", f"{merged} AS _all").filter(f"_n >= {min_bars}")
+    annual = dense.withColumn("_annual", F.expr(f"sqrt(_all.m2 / nullif(_all.k - 1, 0)) * sqrt({TRADING_DAYS}d) * 100")).filter("_annual IS NOT NULL AND NOT isnan(_annual)")
+    return annual.select("symbol", "d", half_even("_annual", 2).alias("volatility"))

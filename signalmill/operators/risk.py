@@ -12,8 +12,10 @@ from ..functions.numeric import fixed_sql
 
 
 def high_volatility(volatilities: DataFrame, limit: float = MAX_VOLATILITY_PCT) -> DataFrame:
+    """Flags (flag_order, symbol, flag), with the date d if the volatilities are dated."""
     text = f"concat('HIGH VOLATILITY: ', symbol, ' at ', {fixed_sql('volatility', 1)}, '%')"
-    return volatilities.filter(f"volatility > {limit} AND NOT isnan(volatility)").selectExpr("1 AS flag_order", "symbol", f"{text} AS flag")
+    dated = ["d"] if "d" in volatilities.columns else []
+    return volatilities.filter(f"volatility > {limit} AND NOT isnan(volatility)").selectExpr(*dated, "1 AS flag_order", "symbol", f"{text} AS flag")
 
 
 def overweight(positions: DataFrame, key: str = "portfolio_id", limit: float = MAX_POSITION_PCT) -> DataFrame:
@@ -27,9 +29,9 @@ def sector_exposure(positions: DataFrame, key: str = "portfolio_id", limit: floa
     return total.filter(f"total > {limit}").selectExpr(key, "3 AS flag_order", "'' AS symbol", f"{text} AS flag")
 
 
-def market_flags(volatilities: DataFrame, symbols: Sequence[str] = VOLATILITY_SYMBOLS) -> DataFrame:
-    """The volatility flags of the listed symbols: (flag_order, symbol, flag)."""
-    return high_volatility(volatilities.filter(F.col("symbol").isin(list(symbols))))
+def market_flags(volatilities: DataFrame, symbols: Sequence[str] = VOLATILITY_SYMBOLS, limit: float = MAX_VOLATILITY_PCT) -> DataFrame:
+    """The volatility flags of the listed symbols: (flag_order, symbol, flag), per date d if the volatilities are dated."""
+    return high_volatility(volatilities.filter(F.col("symbol").isin(list(symbols))), limit)
 
 
 def risk_flags(

@@ -73,9 +73,9 @@ class Inputs:
             "ts", f"{text} AS response_text", "CAST(event_id div 4 % 25 AS int) AS portfolio_id",
         )
 
-    def answers(self) -> DataFrame:
+    def answers(self, responses: DataFrame | None = None) -> DataFrame:
         """The final answer of every run: its last text, without an asset line for every third run."""
-        rows = self.responses().groupBy("run_id", "portfolio_id").agg(
+        rows = (self.responses() if responses is None else responses).groupBy("run_id", "portfolio_id").agg(
             F.max_by("response_text", "ts").alias("text"), F.max("ts").alias("ts")
         )
         return rows.selectExpr(

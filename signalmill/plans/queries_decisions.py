@@ -103,18 +103,6 @@ SIGNAL = ["run_id", "agent_name", "asset", "direction", "strength", "confidence"
 SIGNAL_SQL = ", ".join(SIGNAL)
 
 
-@query("market_signal", q(f"""
-SELECT {SIGNAL_SQL}, (SELECT count(*) FROM bars_d WHERE d = (SELECT max(d) FROM bars_d)) AS n_prices FROM signals WHERE agent_name = 'MarketDataAgent'"""))
-def market_signal(inp):
-    daily = inp.bars_d()
-    newest = daily.filter(F.col("d") == inp.table("orders").agg(F.max(F.to_date("o_orderdate"))).scalar())
-    prices = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "close"))))
-    snapshot = newest.agg(prices.alias("prices")).withColumn("macro", F.create_map().cast("map<string,double>"))
-    rows = X.market_signal(inp.responses(), snapshot)
-    n = F.size(F.from_json("raw_data", "prices map<string,double>, macro map<string,double>")["prices"]).cast("bigint")
-    return rows.select(*SIGNAL, n.alias("n_prices"))
-
-
 @query("technical_signal", q("""
 SELECT run_id, agent_name, (SELECT best_asset FROM best) AS asset, direction, strength, confidence FROM signals WHERE agent_name = 'TechnicalAnalyst'"""))
 def technical_signal(inp):
@@ -226,48 +214,6 @@ def run_decisions(inp):
     )
 
 
-VIEWS["day_last"] = """
-SELECT symbol, CAST(ts AS DATE) AS d, max_by({'close': close, 'rn': rn, 'rsi': rsi, 'macd': macd, 'sig': macd_signal, 'hist': macd_hist,
-       'high': bb_high, 'low': bb_low}, ts) AS x FROM ind GROUP BY ALL"""
-VIEWS["day_known"] = """
-SELECT s.d, l.symbol, max_by(l.x, l.d) AS x FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) s
-JOIN day_last l ON l.d <= s.d AND l.d >= s.d - 90 GROUP BY s.d, l.symbol"""
-VIEWS["day_score"] = """
-SELECT d, symbol, CASE WHEN x.rsi < 30 THEN 2 WHEN x.rsi > 70 THEN -2 ELSE 0 END
-     + CASE WHEN x.hist > 0 AND x.macd > x.sig THEN 1 WHEN x.hist < 0 THEN -1 ELSE 0 END
-     + CASE WHEN x.close < x.low THEN 1 WHEN x.close > x.high THEN -1 ELSE 0 END AS score
-FROM day_known WHERE x.rn >= 26"""
-VIEWS["day_best"] = "SELECT d, min_by(symbol, (-abs(score), symbol)) AS best_asset FROM day_score GROUP BY d"
-VIEWS["run_days"] = "SELECT run_id, CAST(max(ts) AS DATE) AS d FROM texts GROUP BY run_id"
-VIEWS["daily_signals"] = """
-SELECT f.run_id, f.agent_name, f.place,
-       CASE WHEN f.agent_name = 'TechnicalAnalyst' THEN coalesce(b.best_asset, s.asset) ELSE f.asset END AS asset
-FROM final_signals f JOIN signals s USING (run_id, agent_name) JOIN run_days r ON r.run_id = f.run_id LEFT JOIN day_best b ON b.d = r.d"""
-VIEWS["daily_votes"] = """
-SELECT run_id, asset FROM (SELECT run_id, asset, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(place)) AS k
-  FROM daily_signals GROUP BY run_id, asset) WHERE k = 1"""
-
-
-@query("best_asset_by_day", q("SELECT strftime(d, '%Y-%m-%d') AS d, best_asset FROM day_best"))
-def best_asset_by_day(inp):
-    rows = I.best_asset_by_day(I.indicator_series(inp.bars_h()))
-    last = inp.table("events").agg(F.to_date(F.max("ts"))).scalar()
-    return rows.filter(F.col("d") <= last).select(F.date_format("d", "yyyy-MM-dd").alias("d"), "best_asset")
-
-
-@query("run_decisions_by_day", q("""
-SELECT a.run_id, coalesce(a.named, v.asset) AS asset, t.asset AS technical_asset, d.score
-FROM read_texts a JOIN daily_votes v USING (run_id) JOIN decided d USING (run_id)
-LEFT JOIN daily_signals t ON t.run_id = a.run_id AND t.agent_name = 'TechnicalAnalyst' WHERE a.agent_name = 'PortfolioManager'"""))
-def run_decisions_by_day(inp):
-    """Every run with the market evidence of its own date."""
-    daily = I.best_asset_by_day(I.indicator_series(inp.bars_h()))
-    responses = inp.responses().unionByName(inp.answers())
-    rows = D.run_decisions(responses, R.risk_flags(inp.positions()), daily, social_direction(inp), market_flags=market_flags(inp))
-    technical = "get(filter(signals, s -> s.agent_name = 'TechnicalAnalyst'), 0).asset AS technical_asset"
-    return rows.selectExpr("run_id", "asset", technical, "score")
-
-
 def recommendation_records(inp: Inputs):
     """Recommendations in the form of signal records."""
     return decisions(inp).select(

@@ -16,12 +16,21 @@ from ..streaming import triggers as G
 from ..streaming import windows as S
 from .bindings import Inputs
 from .oracle_views import VIEWS, half_even, q
+from .queries_dated import DATED, dated_recommendations
 from .queries_market import snapshots
 from .registry import day, query, sql_day, sql_stamp, stamp
 
 HOUR_RULES = (("IngestionFailures", 3.0, False), ("ThrottleCount", 3.0, False), ("AgentLatencyMs", 200.0, True))
 
 
+VIEWS["emitted"] = """
+SELECT 'SignalsEmitted' AS name, 1.0::DOUBLE AS value, ts, agent_name AS agent, direction FROM signals
+UNION ALL SELECT 'LLMCallLatencyMs', total_ms, ts, NULL, NULL FROM calls
+UNION ALL SELECT 'AgentLatencyMs', total_ms, ts, agent_name, NULL FROM calls
+UNION ALL SELECT 'GroqKeyThrottles', 1, ts, NULL, NULL FROM events WHERE event_type = 'signup'
+UNION ALL SELECT 'IngestionFailures', 1, ts, NULL, NULL FROM events WHERE event_type = 'error'"""
+
+
 @query("metric_rows", q(f"""
 SELECT 'SignalsEmitted' AS name, 1.0::DOUBLE AS value, 'Count' AS unit, {sql_stamp('ts')} AS "timestamp",
        concat('Agent=', agent_name, ';Direction=', direction, ';Environment=dev') AS dims FROM signals
@@ -30,6 +39,11 @@ UNION ALL SELECT 'AgentLatencyMs', total_ms, 'Milliseconds', {sql_stamp('ts')},
 UNION ALL SELECT 'GroqKeyThrottles', 1, 'Count', {sql_stamp('ts')}, concat('Environment=dev;KeyIndex=', user_id % 3) FROM events WHERE event_type = 'signup'
 UNION ALL SELECT 'IngestionFailures', 1, 'Count', {sql_stamp('ts')}, concat('Environment=dev;Source=', props) FROM events WHERE event_type = 'error'"""))
 def metric_rows(inp):
+    return emitted(inp).select("name", "value", "unit", stamp("timestamp").alias("timestamp"), M.dims_text(F.col("dims")).alias("dims"))
+
+
+def emitted(inp: Inputs):
+    """Metric rows of all emitters."""
     events, calls = inp.table("events"), inp.calls()
     rows = M.signals_emitted(X.parsed(inp.responses()))
     rows = rows.unionByName(M.call_latency(calls))
@@ -37,8 +51,30 @@ def metric_rows(inp):
     throttled = events.filter(F.col("event_type") == "signup").withColumn("key_index", F.col("user_id") % 3)
     rows = rows.unionByName(M.key_throttles(throttled))
     failed = events.filter(F.col("event_type") == "error").withColumnRenamed("props", "source")
-    rows = rows.unionByName(M.ingestion_failures(failed))
-    return rows.select("name", "value", "unit", stamp("timestamp").alias("timestamp"), M.dims_text(F.col("dims")).alias("dims"))
+    return rows.unionByName(M.ingestion_failures(failed))
+
+
+@query("metric_stat_sum", q(f"""
+SELECT name, direction, {sql_stamp("time_bucket(INTERVAL '15 minutes', ts)")} AS start, count(*) AS n, sum(value) AS total
+FROM emitted WHERE name = 'SignalsEmitted' AND agent = 'RiskManager' GROUP BY ALL"""))
+def metric_stat_sum(inp):
+    """Sums per direction of one agent's signals over 15 minutes, from counts per 5 minutes and dimension set."""
+    counts = M.value_counts(emitted(inp).filter("name = 'SignalsEmitted'"))
+    rows = M.statistics(counts, ["Sum"], ["Direction"], {"Agent": "RiskManager", "Environment": "dev"}, 900)
+    return rows.selectExpr("name", "Direction AS direction", "date_format(start, 'yyyy-MM-dd HH:mm:ss') AS start", "SampleCount AS n", "Sum AS total")
+
+
+@query("metric_stat_p95", q(f"""
+SELECT name, {sql_stamp('start')} AS start, n, {half_even('p50', 6)} AS p50, {half_even('p95', 6)} AS p95, low, high FROM cut""",
+    cut="""SELECT name, time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95,
+       min(value) AS low, max(value) AS high FROM emitted WHERE name IN ('AgentLatencyMs', 'LLMCallLatencyMs') GROUP BY ALL"""))
+def metric_stat_p95(inp):
+    """Exact percentiles over all agents and all models, from the same kind of counts."""
+    counts = M.value_counts(emitted(inp).filter("name IN ('AgentLatencyMs', 'LLMCallLatencyMs')"))
+    rows = M.statistics(counts, ["p50", "p95", "Minimum", "Maximum"], seconds=900)
+    return rows.select(
+        "name", stamp("start").alias("start"), F.col("SampleCount").alias("n"), *rounded({"p50": 6, "p95": 6}), F.col("Minimum").alias("low"), F.col("Maximum").alias("high")
+    )
 
 
 QUARTER = "time_bucket(INTERVAL '15 minutes', ts)"
@@ -111,6 +147,25 @@ def alarm_eval_hourly(inp):
     return _alarms(M.alarms(inp.metrics(), HOUR_RULES, 3600))
 
 
+ROW_RULES = [
+    M.Alarm("IngestionFailures", 3.0), M.Alarm("GroqKeyThrottles", 3.0), M.Alarm("SignalsEmitted", 2.0, True, "Sum", (("Agent", "RiskManager"),)),
+    M.Alarm("AgentLatencyMs", 1500.0, True, "p95"),
+]
+
+
+def _row_alarm_views(rules) -> dict[str, str]:
+    return _alarm_views(3600, [(r.metric, r.threshold, r.strict) for r in rules]) | {"periods": """
+SELECT name AS metric, time_bucket(INTERVAL '1 hour', ts) AS start, sum(value) AS total FROM emitted
+WHERE name IN ('IngestionFailures', 'GroqKeyThrottles') OR (name = 'SignalsEmitted' AND agent = 'RiskManager') GROUP BY ALL
+UNION ALL SELECT name, time_bucket(INTERVAL '1 hour', ts), quantile_cont(value, 0.95) FROM emitted WHERE name = 'AgentLatencyMs' GROUP BY ALL"""}
+
+
+@query("alarm_rows", q(ALARM_SQL, **_row_alarm_views(ROW_RULES)))
+def alarm_rows(inp):
+    """Alarms over the emitters' own rows: sums, a sum of one dimension, and a 95th percentile."""
+    return _alarms(M.row_alarms(emitted(inp), ROW_RULES, 3600))
+
+
 # --- streams over files ------------------------------------------------------------------
 
 def _landed_metrics(inp: Inputs) -> str:
@@ -125,11 +180,11 @@ METRIC_ROW = "ts timestamp_ntz, metric string, value double, agent string"
 
 @query("stream_counts_15m", COUNTS_SQL)
 def stream_counts_15m(inp):
-    """All windows of the stream in complete mode, equal to the batch result."""
+    """Windows as they change, keyed by window: what is open is corrected, what the watermark has passed leaves the state."""
     stream = inp.spark.readStream.schema(METRIC_ROW).parquet(_landed_metrics(inp))
     sums = S.stream_sums(stream, ["metric", "agent"])
     out = scratch_path(inp.spark, "windows")
-    S.store_windows(sums, scratch_path(inp.spark, "state"), out, mode="complete")
+    S.store_windows(sums, scratch_path(inp.spark, "state"), out, mode="update")
     schema = f"{S.WINDOW_ROWS}, agent string"
     rows = L.read_keyed(inp.spark, out, schema, ["metric", "agent", "start"])
     return rows.select("metric", "agent", stamp("start").alias("start"), he("total", 6).alias("total"), "n")
@@ -166,6 +221,21 @@ def stream_latency_15m(inp):
     return S.stored_percentiles(counts, ["metric"]).select("metric", stamp("start").alias("start"), "n", *rounded({"p50": 6, "p95": 6}))
 
 
+@query("stream_alarm_states", q(ALARM_SQL, **(_row_alarm_views(ROW_RULES) | {
+    "periods": f"""SELECT * FROM ({_row_alarm_views(ROW_RULES)['periods']})
+WHERE start + INTERVAL '3600 seconds' <= (SELECT max(ts) FROM emitted) - INTERVAL '{S.WATERMARK}'"""})))
+def stream_alarm_states(inp):
+    """Alarms judged window by window as a stream of metric rows closes them, landed and drained in two goes."""
+    spark = inp.spark
+    landing, state, out = (scratch_path(spark, name) for name in ("emitted", "state", "alarms"))
+    rows = emitted(inp)
+    for low, high in (("2000-01-01", "2024-01-16"), ("2024-01-16", "2100-01-01")):
+        rows.filter(f"timestamp >= '{low}' AND timestamp < '{high}'").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("name string, value double, unit string, timestamp timestamp_ntz, dims map<string,string>").parquet(landing)
+        S.watch_alarms(S.stream_metric_counts(stream, 3600), state, out, ROW_RULES, 3600)
+    return _alarms(S.judged_alarms(spark, out))
+
+
 @query("queue_consume_dlq", """
 SELECT CAST(event_id AS VARCHAR) AS message_id, CASE WHEN event_type = 'error' THEN 'dead' ELSE 'ok' END AS status,
        CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS attempt FROM events
@@ -202,6 +272,27 @@ def snapshot_trigger(inp):
     return L.read_keyed(spark, out, "event_type string, date string, s3_key string", ["date"])
 
 
+@query("snapshot_chain", q("""
+SELECT run_id, date, asset, direction, strength, confidence, position_size_pct FROM decided WHERE date IN (SELECT strftime(d, '%Y-%m-%d') FROM quotes)""", **DATED))
+def snapshot_chain(inp):
+    """Snapshots land in two goes, the second brings some dates again; each run of their dates is decided and stored once."""
+    spark = inp.spark
+    landing, state = scratch_path(spark, "snapshots"), scratch_path(spark, "state")
+    stored = L.KeyedTable(
+        spark, scratch_path(spark, "recommendations"),
+        "run_id bigint, date string, asset string, direction string, strength string, confidence double, position_size_pct double, month string",
+        ["month", "date", "run_id"], by="month",
+    )
+    def decide(dates):
+        return dated_recommendations(inp, dates).withColumn("month", F.substring("date", 1, 7))
+
+    every = snapshots(inp)
+    for part in ("date < '1995-05-01'", "date >= '1995-04-01'"):
+        every.filter(part).write.mode("append").json(landing)
+        G.decide_on_snapshots(spark, landing, state, schemas.MARKET_SNAPSHOT, decide, stored)
+    return stored.read().select("run_id", "date", "asset", "direction", "strength", "confidence", "position_size_pct")
+
+
 @query("incremental_catalog", q(f"""
 SELECT {sql_day('ts')} AS date, symbol, {sql_stamp('ts')} AS ts, close FROM bars_h"""))
 def incremental_catalog(inp):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..constants import RETENTION_RULES
+from ..operators import calls as C
 from ..operators import decisions as D
 from ..operators import lookups as J
 from ..operators import signals as X
@@ -15,8 +17,9 @@ from ..sources import payloads as P
 from ..sources import series as S
 from .bindings import KEYWORDS, SHOWN_SYMBOLS, Inputs
 from .oracle_views import half_even, q
+from . import queries_calls  # noqa: F401  (its views and SQL are used here)
 from .queries_decisions import decisions
-from .registry import day, query, sql_day, sql_stamp, stamp
+from .registry import ORACLES, day, query, sql_day, sql_stamp, stamp
 
 LAST_ORDER = "(SELECT max(d) FROM bars_d)"
 LAST_SHIP = "(SELECT max(d) FROM obs)"
@@ -176,6 +179,16 @@ def sink_upsert(inp):
     return stored_signals(inp)
 
 
+@query("sink_merge", q(f"SELECT {SHOWN} FROM keyed", keyed=KEYED))
+def sink_merge(inp):
+    """Eight merges into a table that folds a folder with more than three live batches; what is read does not grow with them."""
+    table = L.KeyedTable(inp.spark, scratch_path(inp.spark, "merged"), SIGNAL_ROW, schemas.KEYS["signals"], ["timestamp"], most=3)
+    rows = signal_table(inp)
+    for batch in range(8):
+        table.merge(rows.filter(F.expr(f"CAST(substring(timestamp, 12, 2) AS int) div 3 = {batch}")), batch)
+    return table.read()
+
+
 @query("lookup_key", q(f"SELECT {SHOWN} FROM keyed WHERE date = '2024-01-10' AND agent_name = 'RiskManager'", keyed=KEYED))
 def lookup_key(inp):
     """A full key of the stored table: only its folder is read."""
@@ -209,6 +222,34 @@ def flatten_run_summary(inp):
     return flat.drop("run_timestamp")
 
 
+@query("retention_job", q("""
+SELECT prefix, strftime(w, '%Y-%m-%d') AS date, place, n FROM (
+  SELECT prefix, w, n, CASE prefix
+         WHEN 'raw' THEN CASE WHEN datediff('day', w, newest) > 90 THEN 'archive/raw' ELSE 'raw' END
+         WHEN 'signals' THEN CASE WHEN datediff('day', w, newest) <= 365 THEN 'signals' END
+         WHEN 'results' THEN CASE WHEN datediff('day', w, newest) <= 30 THEN 'results' END ELSE prefix END AS place
+  FROM (SELECT prefix, CAST(date_trunc('month', d) AS DATE) AS w, newest, count(*) AS n
+        FROM bars_d, (SELECT max(d) AS newest FROM bars_d), (SELECT unnest(['raw', 'signals', 'results', 'other']) AS prefix) GROUP BY ALL)) WHERE place IS NOT NULL"""))
+def retention_job(inp):
+    """Monthly folders of four prefixes, after the rules have moved and removed what is too old; run twice."""
+    spark, root = inp.spark, scratch_path(inp.spark, "aging")
+    as_of = inp.table("orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
+    month = day(F.date_trunc("month", "d")).alias("date")
+    prefixes = F.explode(F.array(*[F.lit(p) for p in ("raw", "signals", "results", "other")])).alias("prefix")
+    rows = inp.bars_d().select("symbol", "close", month).select("*", prefixes)
+    L.write_dated(rows.withColumnRenamed("prefix", "under"), f"{root}/landed", ["under", "date"], "parquet")
+    rules = [L.Retention(f"under={prefix}", days, action) for prefix, days, action in RETENTION_RULES]
+    for _ in range(2):
+        L.retain(spark, f"{root}/landed", as_of, rules, "../archive")
+    out = None
+    for place, kept in (("landed", "{0}"), ("archive", "archive/{0}")):
+        part = L.read_dated(spark, f"{root}/{place}", "symbol string, close double, under string, date string", "parquet")
+        part = part.groupBy("under", "date").agg(F.count("*").alias("n"))
+        part = part.select(F.col("under").alias("prefix"), "date", F.format_string(kept.format("%s"), "under").alias("place"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("retention_split", q(f"""
 SELECT symbol, {sql_day('d')} AS d, CASE WHEN datediff('day', d, {LAST_ORDER}) > 365 THEN 'expire'
        WHEN datediff('day', d, {LAST_ORDER}) > 90 THEN 'archive' ELSE 'keep' END AS tier FROM bars_d"""))
@@ -231,6 +272,30 @@ def scan_call_report_summary(inp):
     return P.call_report_summaries(inp.call_reports()).select("reported_at", "model_name", "calls", "max_ms")
 
 
+def reported(inp: Inputs):
+    """The call log and its summary, saved as a report twice, and an older report beside it; all read again."""
+    path = scratch_path(inp.spark, "reports")
+    calls, summary = inp.calls(), C.call_summary(inp.calls())
+    first = calls.filter("call_id < 56").withColumn("prompt_id", F.col("call_id").cast("string"))
+    P.save_call_report(first, C.call_summary(first), path, "2024-01-01T00:00:00+00:00")
+    for _ in range(2):
+        P.save_call_report(calls.withColumn("prompt_id", F.col("call_id").cast("string")), summary, path, "2024-02-01T00:00:00+00:00", {"cpu": "x"})
+    return P.load_call_report(inp.spark, path)
+
+
+@query("call_report_saved", q("""
+SELECT reported_at, provider, model, CAST(call_id AS VARCHAR) AS prompt_id, prompt_tokens, completion_tokens, total_ms, tokens_per_sec, cost_usd, ok
+FROM calls, (VALUES ('2024-01-01T00:00:00+00:00', 56), ('2024-02-01T00:00:00+00:00', 1000000000)) t(reported_at, upto) WHERE call_id < upto"""))
+def call_report_saved(inp):
+    return reported(inp)[0].drop("response_preview", "error")
+
+
+@query("call_report_saved_summary", ORACLES["call_summary"])
+def call_report_saved_summary(inp):
+    """The summary of the newest saved report, as it was printed when it was saved."""
+    return reported(inp)[1].filter("reported_at = '2024-02-01T00:00:00+00:00'").drop("reported_at")
+
+
 @query("anti_seen_urls", q("""
 SELECT doc_id, url FROM posts WHERE url NOT IN (SELECT url FROM posts WHERE query = 'en')"""))
 def anti_seen_urls(inp):

@@ -152,6 +152,28 @@ def call_report_summaries(reports: DataFrame, body: str = "body") -> DataFrame:
     return entries.select("reported_at", "model_name", "s.*")
 
 
+def save_call_report(calls: DataFrame, summary: DataFrame, path: str, reported_at: str, system: dict[str, str] | None = None) -> None:
+    """Save a benchmark run below ``path``: call rows, summary rows and the system it ran on, each as JSON lines.
+
+    A report is one folder per part, so it has any number of calls; saving the same ``reported_at`` again replaces it.
+    """
+    stamp = F.lit(reported_at).alias("reported_at")
+    known = (system or {}).items()
+    described = calls.sparkSession.createDataFrame([(k, str(v)) for k, v in known], "key string, value string")
+    wanted = {"raw_results": schemas.CALL_RESULT, "summary": schemas.CALL_SUMMARY, "system": "key string, value string"}
+    for part, rows in (("raw_results", calls), ("summary", summary), ("system", described)):
+        names = [f.split(" ")[0] for f in wanted[part].split(", ")]
+        kept = rows.select(*[c for c in names if c in rows.columns], stamp)
+        kept.write.mode("overwrite").partitionBy("reported_at").option("partitionOverwriteMode", "dynamic").json(f"{path}/{part}")
+
+
+def load_call_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(call rows, summary rows, system entries) of all saved reports, each with its ``reported_at``; what a row lacks is NULL."""
+    kinds = (("raw_results", schemas.CALL_RESULT), ("summary", schemas.CALL_SUMMARY), ("system", "key string, value string"))
+    rows = [spark.read.schema(f"{kind}, reported_at string").json(f"{path}/{part}") for part, kind in kinds]
+    return rows[0], rows[1], rows[2]
+
+
 def flatten_runs(summaries: DataFrame, body: str = "body") -> DataFrame:
     """One row per signal of a stored run summary, with the run's recommendation beside it."""
     schema = (

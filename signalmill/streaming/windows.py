@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import ALARM_PERIOD_SECONDS, ALARM_RULES, WIDGET_PERIOD_SECONDS
-from ..operators.metrics import evaluated, windowed_sums
+from ..operators.metrics import Alarm, alarm_periods, evaluated, evaluated_after, last_periods, value_counts, windowed_sums
 from ..operators.order_stats import quantiles
 from ..sources.landed import read_keyed, write_batch
 
@@ -63,3 +63,46 @@ def alarm_states(
 ) -> DataFrame:
     """Alarm states over the windows a stream has stored so far."""
     return evaluated(read_keyed(spark, path, WINDOW_ROWS, ["metric", "start"]), rules, seconds)
+
+
+def stream_metric_counts(rows: DataFrame, seconds: int = ALARM_PERIOD_SECONDS) -> DataFrame:
+    """``value_counts`` of a stream of metric rows; in append mode only open windows are held."""
+    return value_counts(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", WATERMARK), seconds)
+
+
+JUDGED = "metric string, start timestamp, total double, threshold double, breaching boolean, state string, changed boolean"
+
+
+def watch_alarms(
+    counts: DataFrame, checkpoint: str, path: str, rules: Sequence[Alarm], seconds: int = ALARM_PERIOD_SECONDS,
+) -> StreamingQuery:
+    """Evaluate the closed windows of each micro-batch once, with the last two periods of each metric carried over.
+
+    ``counts`` is ``stream_metric_counts`` over windows of ``seconds``. Judged rows and the carried periods go to numbered
+    batches below ``path``; a replayed micro-batch starts from the state before it and replaces its own rows.
+    """
+    limits = [(r.metric, r.threshold, r.strict) for r in rules]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")  # computed once, whatever reads it
+        periods = alarm_periods(spark.read.schema(batch.schema).parquet(f"{path}/counts/batch={number}"), rules)
+        state = _state_before(spark, f"{path}/state", number)
+        write_batch(evaluated_after(state, periods, limits, seconds), f"{path}/judged", number, ["metric"])
+        judged = spark.read.schema(JUDGED).parquet(f"{path}/judged/batch={number}")
+        last_periods(state.unionByName(judged.select("metric", "start", "total"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+
+    return drain(counts, checkpoint, write)
+
+
+def _state_before(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """What the micro-batch before carried over; nothing before the first."""
+    kind = "metric string, start timestamp, total double"
+    if number == 0:
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(f"{path}/batch={number - 1}")
+
+
+def judged_alarms(spark: SparkSession, path: str) -> DataFrame:
+    """All rows judged so far."""
+    return spark.read.schema(f"{JUDGED}, batch bigint").option("basePath", f"{path}/judged").parquet(f"{path}/judged").drop("batch")

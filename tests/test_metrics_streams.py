@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalmill.operators import metrics as M
 from signalmill.session import scratch_path
+from signalmill.sources.landed import KeyedTable
 from signalmill.streaming import queue as Q
 from signalmill.streaming import triggers as G
 from signalmill.streaming import windows as S
@@ -97,8 +99,105 @@ def test_notify_never_fails_the_run(spark, caplog):
 def test_schema_changes_are_named(spark):
     source = scratch_path(spark, "src")
     spark.range(1).selectExpr("'A' AS symbol", "1 AS close", "2 AS extra").write.parquet(source)
-    got = G.schema_changes(spark, source, "symbol string, close double, gone int")
+    got = G.schema_changes(spark, [source], "symbol string, close double, gone int, date string", folders=("date",))
     assert got == ["new column extra", "missing column gone", "column close is int"]
+    spark.range(1).selectExpr("'A' AS symbol", "'x' AS close", "2 AS extra").write.mode("append").parquet(source)
+    assert G.schema_changes(spark, [source], "symbol string, close double")[0].startswith("files disagree")
+
+
+def test_only_the_files_of_a_micro_batch_are_looked_at(spark, caplog):
+    source, table, state = (scratch_path(spark, n) for n in ("src", "cat", "state"))
+    schema = "symbol string, close double, date string"
+    for day, extra in (("2026-01-01", "1 AS odd"), ("2026-01-02", "2 AS odd"), ("2026-01-03", None)):
+        rows = spark.range(1).selectExpr("'A' AS symbol", "1d AS close", f"'{day}' AS date", *([extra] if extra else []))
+        rows.write.mode("append").partitionBy("date").parquet(source)
+        caplog.clear()
+        G.catalog_new(spark, source, table, state, schema)
+        assert ("new column odd" in caplog.text) == bool(extra)
+    assert spark.read.schema(schema + ", batch bigint").option("basePath", table).parquet(table).count() == 3
+
+
+def dims_rows(spark):
+    rows = [
+        (name, float(v), T0 + dt.timedelta(minutes=m), dims)
+        for m, name, v, dims in [
+            (0, "L", 1, {"A": "x", "E": "d"}), (1, "L", 9, {"A": "y", "E": "d"}), (4, "L", 1, {"A": "x", "E": "p"}), (6, "L", 5, {"A": "x"}), (16, "L", 7, None),
+            (2, "S", 3, {"A": "x"}), (2, "S", float("nan"), {"A": "x"}),
+        ]
+    ] + [("S", None, T0, {"A": "x"})]
+    return spark.createDataFrame(rows, "name string, value double, timestamp timestamp_ntz, dims map<string,string>")
+
+
+def test_statistics_over_any_dimensions(spark):
+    counts = M.value_counts(dims_rows(spark))
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    got = {(r["name"], r.start): (r.SampleCount, r.Sum, r.Average, r.Minimum, r.Maximum, r.p50) for r in M.statistics(counts, ["Sum", "Average", "Minimum", "Maximum", "p50"], seconds=900).collect()}
+    assert got == {("L", at(0)): (4, 16.0, 4.0, 1.0, 9.0, 3.0), ("L", at(15)): (1, 7.0, 7.0, 7.0, 7.0, 7.0), ("S", at(0)): (1, 3.0, 3.0, 3.0, 3.0, 3.0)}
+    by = {(r.A, r.start): r.Sum for r in M.statistics(counts.where("name = 'L'"), ["Sum"], ["A"]).collect()}
+    assert by == {("x", at(0)): 2.0, ("y", at(0)): 9.0, ("x", at(5)): 5.0, (None, at(15)): 7.0}
+    some = M.statistics(counts, ["p95"], where={"A": "x", "E": "d"}).collect()
+    assert [(r["name"], r.SampleCount, r.p95) for r in some] == [("L", 1, 1.0)]
+    with pytest.raises(ValueError, match="Median"):
+        M.statistics(counts, ["Median"])
+
+
+def test_alarms_on_rows_with_a_percentile_and_a_dimension(spark):
+    rows = [("L", v, T0 + dt.timedelta(minutes=m), {"A": a}) for m, v, a in [(0, 9.0, "x"), (1, 1.0, "x"), (5, 9.0, "x"), (6, 9.0, "y"), (10, 1.0, "x"), (11, 99.0, "y")]]
+    df = spark.createDataFrame(rows, "name string, value double, timestamp timestamp_ntz, dims map<string,string>")
+    got = [r.state for r in M.row_alarms(df, [M.Alarm("L", 8.0, True, "p95")]).orderBy("start").collect()]
+    assert got == ["OK", "ALARM", "ALARM"]
+    assert [r.state for r in M.row_alarms(df, [M.Alarm("L", 9.0, False, "Sum", (("A", "x"),))]).orderBy("start").collect()] == ["OK", "ALARM", "OK"]
+
+
+def test_new_periods_are_judged_with_the_last_two_only(spark):
+    name = "IngestionFailures"
+    points = [(5 * i, name, v) for i, v in enumerate([3, 3, 1, 9, 9, 9, 0, 4, 4]) if i != 7]
+    every = M.windowed_sums(metrics(spark, points), ["metric"], 300).select("metric", "start", "total")
+    want = {r.start: (r.state, r.changed) for r in M.evaluated(every).collect()}
+    starts = sorted(want)
+    for cut in range(1, len(starts)):
+        old, new = every.where(every.start < starts[cut]), every.where(every.start >= starts[cut])
+        got = {r.start: (r.state, r.changed) for r in M.evaluated_after(M.last_periods(old), new).collect()}
+        assert got == {s: want[s] for s in starts[cut:]}, cut
+
+
+def test_an_alarm_ends_in_the_first_period_without_data(spark):
+    name = "IngestionFailures"
+    rows = M.alarms(metrics(spark, [(0, name, 3), (5, name, 3), (15, name, 3), (20, name, 3)]))
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    ended = lambda m: sorted(r.start for r in M.closings(rows, F.lit(at(m))).collect())
+    assert ended(12) == [] and ended(15) == [at(10)] and ended(60) == [at(10), at(25)]
+
+
+def test_stream_alarms_judge_each_window_once_and_restart(spark):
+    landing, state, out = (scratch_path(spark, n) for n in ("rows", "state", "out"))
+    kind = "name string, value double, timestamp timestamp_ntz, dims map<string,string>"
+    values = [5, 5, 0, 9, 9, 9, 1, 8, 8, 8, 0, 0, 0]
+    rows = [("X", float(v), T0 + dt.timedelta(minutes=5 * i), {"A": "x"}) for i, v in enumerate(values)]
+    rules = [M.Alarm("X", 5.0)]
+    for part in (rows[:3], rows[3:5], rows[5:9], rows[9:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(landing)
+        S.watch_alarms(S.stream_metric_counts(spark.readStream.schema(kind).parquet(landing)), state, out, rules)
+    got = [(r.start, r.state, r.changed) for r in S.judged_alarms(spark, out).orderBy("start").collect()]
+    want = [(r.start, r.state, r.changed) for r in M.row_alarms(spark.createDataFrame(rows, kind), rules).orderBy("start").collect()]
+    assert got == want[:len(got)] and len(got) >= len(want) - 3 and len({s for s, *_ in got}) == len(got)
+
+
+def test_a_snapshot_delivered_twice_is_decided_once(spark):
+    landing, state = scratch_path(spark, "snap"), scratch_path(spark, "state")
+    kind = "date string, source string, s3_raw_key string"
+    table = KeyedTable(spark, scratch_path(spark, "recs"), "date string, run_id int, n bigint", ["date", "run_id"])
+    asked = []
+
+    def decide(dates):
+        asked.append(sorted(r.date for r in dates.collect()))
+        return dates.selectExpr("date", "1 AS run_id", f"{len(asked)}L AS n")
+
+    for days in (["2026-01-01", "2026-01-01", "2026-01-02"], ["2026-01-02", "2026-01-03"]):
+        spark.createDataFrame([(d, "combined", "k") for d in days], kind).write.mode("append").json(landing)
+        G.decide_on_snapshots(spark, landing, state, kind, decide, table)
+    assert asked == [["2026-01-01", "2026-01-02"], ["2026-01-02", "2026-01-03"]]
+    assert sorted(map(tuple, table.read().select("date", "n").collect())) == [("2026-01-01", 1), ("2026-01-02", 2), ("2026-01-03", 2)]
 
 
 def test_lines_that_are_no_messages_end_as_dead_letters(spark):

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from signalmill.constants import RETENTION_RULES
 from signalmill.operators import tables as T
 from signalmill.sources import landed as L
 from signalmill.sources import payloads as P
@@ -93,16 +94,73 @@ ROW = "date string, agent string, seq int, v string"
 
 
 def test_keyed_table(spark, tmp_path):
-    path, fresh = str(tmp_path / "t"), str(tmp_path / "u")
+    path = str(tmp_path / "t")
     first = spark.createDataFrame([("2026-01-01", "A", 1, "old"), ("2026-01-01", "A", 2, "x"), ("2026-01-02", "B", 1, "keep")], ROW)
     later = spark.createDataFrame([("2026-01-01", "A", 1, None)], ROW)
     L.write_batch(first, path, 0)
     L.write_batch(later, path, 1)
     L.write_batch(later, path, 1)  # a retried write
-    L.compact(spark, path, ROW, fresh, ["date", "agent"])
-    for where in (path, fresh):
-        got = {tuple(r) for r in L.read_keyed(spark, where, ROW, ["date", "agent"], ["seq"]).select("date", "agent", "seq", "v").collect()}
-        assert got == {("2026-01-01", "A", 1, None), ("2026-01-02", "B", 1, "keep")}
+    got = {tuple(r) for r in L.read_keyed(spark, path, ROW, ["date", "agent"], ["seq"]).select("date", "agent", "seq", "v").collect()}
+    assert got == {("2026-01-01", "A", 1, None), ("2026-01-02", "B", 1, "keep")}
+
+
+def test_merged_table_folds_folders_and_reads_a_bounded_number_of_batches(spark, tmp_path):
+    table = L.KeyedTable(spark, str(tmp_path / "t"), ROW, ["date", "agent"], ["seq"], most=3)
+    assert table.read().collect() == [] and table.live() == []
+    want, sizes = {}, []
+    for batch in range(12):
+        rows = [("2026-01-01", f"A{k % 5}", batch, f"v{batch}-{k}") for k in range(batch, batch + 2)] + ([("2026-01-02", "B", batch, None)] if batch == 1 else [])
+        table.merge(spark.createDataFrame(rows, ROW), batch)
+        want |= {(d, a): (d, a, s, v) for d, a, s, v in rows}
+        assert {tuple(r) for r in table.read().select("date", "agent", "seq", "v").collect()} == set(want.values()), batch
+        sizes.append(sum(f == "2026-01-01" for f, *_ in table.live()))
+    assert max(sizes) <= 3 and sizes[-1] < 12
+    assert [p for p in table.live() if p[0] == "2026-01-02"] == [("2026-01-02", 1, False)]  # an untouched folder is not rewritten
+    files = table.read().inputFiles()
+    assert len({f.split("/batch=")[1].split("/")[0] for f in files if "2026-01-01" in f}) <= 4
+    assert all("2026-01-02" in f for f in table.read(["2026-01-02"]).inputFiles())
+    # a retried merge replaces itself, also one that folded
+    again = spark.createDataFrame([("2026-01-01", "A9", 1, "new")], ROW)
+    table.merge(again, 11)
+    got = {r.agent: r.v for r in table.read(["2026-01-01"]).collect()}
+    assert got["A9"] == "new" and "v11-11" not in got.values()
+
+
+def test_retention_moves_folders_by_prefix_and_can_be_repeated(spark, tmp_path):
+    root = str(tmp_path)
+    days = {age: (AS_OF - dt.timedelta(days=age)).isoformat() for age in (0, 30, 31, 90, 91, 365, 366)}
+    for prefix in ("raw", "signals", "results", "other"):
+        rows = [(age, d) for age, d in days.items()]
+        L.write_dated(spark.createDataFrame(rows, "age int, date string"), f"{root}/{prefix}", ["date"], "parquet")
+    (tmp_path / "raw" / "notes").mkdir()
+    rules = [L.Retention(*r) for r in RETENTION_RULES]
+    # a move that was cut short has left a part in the archive
+    half = tmp_path / "archive" / "raw" / f"date={days[91]}"
+    half.mkdir(parents=True)
+    (half / "part").write_text("x")
+    assert L.retain(spark, root, AS_OF, rules) == {"archive": 3, "expire": 6}
+    assert L.retain(spark, root, AS_OF, rules) == {"archive": 0, "expire": 0}
+    ages = lambda p: sorted(r.age for r in spark.read.schema("age int, date string").parquet(f"{root}/{p}").collect())
+    assert ages("raw") == [0, 30, 31, 90] and ages("archive/raw") == [91, 365, 366] and ages("signals") == [0, 30, 31, 90, 91, 365]
+    assert ages("results") == [0, 30] and ages("other") == sorted(days) and (tmp_path / "raw" / "notes").is_dir()
+    assert not (half / "part").exists()
+    with pytest.raises(ValueError, match="burn"):
+        L.retain(spark, root, AS_OF, [L.Retention("raw", 1, "burn")])
+    assert L.listed_folders(spark, f"{root}/nowhere") == []
+
+
+def test_reports_are_saved_and_loaded(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    calls = spark.createDataFrame([("p", "m", 1, 5.0, True, 9), ("p", "m", 2, 7.0, False, 9)], "provider string, model string, prompt_id int, total_ms double, ok boolean, extra int")
+    summary = spark.createDataFrame([("p", "m", 1, 5.0)], "provider string, model string, calls bigint, avg_ms double")
+    P.save_call_report(calls, summary, path, "2026-01-01T00:00:00+00:00", {"cpu": "c", "ram_gb": 8})
+    P.save_call_report(calls.limit(1), summary, path, "2026-01-02T00:00:00+00:00")
+    P.save_call_report(calls, summary, path, "2026-01-01T00:00:00+00:00", {"cpu": "d"})
+    rows, totals, system = P.load_call_report(spark, path)
+    assert rows.groupBy("reported_at").count().orderBy("reported_at").collect() == [("2026-01-01T00:00:00+00:00", 2), ("2026-01-02T00:00:00+00:00", 1)]
+    assert {r.prompt_id for r in rows.collect()} == {"1", "2"} and "extra" not in rows.columns and rows.first().error is None
+    assert [tuple(r) for r in totals.select("provider", "calls", "avg_ms").collect()] == [("p", 1, 5.0)] * 2
+    assert [tuple(r) for r in system.collect()] == [("cpu", "d", "2026-01-01T00:00:00+00:00")]
 
 
 def test_upsert_replaces_whole_rows(spark):
