@@ -186,6 +186,23 @@ def cluster(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, sizes
 
 
+def _arrays(values: list[np.ndarray]) -> pa.ListArray:
+    """Integer arrays as one column of lists."""
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0)]).astype(np.int32)))
+
+
+def _lists_of(column: pa.ListScalar) -> list[dict]:
+    """The stored lists of a shard, as numpy arrays."""
+    parts = column.values
+    fields = {name: parts.field(name) for name in ("term", "coordinates", "sizes", "docs", "maxima")}
+    whole = {name: (fields[name].offsets.to_numpy(), fields[name].values.to_numpy()) for name in ("coordinates", "sizes", "docs")}
+    return [
+        {"term": fields["term"][i].as_py(), "maxima": fields["maxima"][i].as_py(), **{name: values[at[i]:at[i + 1]] for name, (at, values) in whole.items()}}
+        for i in range(len(parts))
+    ]
+
+
 def _index(queries: Queries, n: int, total: int):
     """A packed shard to its index: impacts, and blocks with maxima for every list that a query visits."""
     width = len(queries.weights)
@@ -206,7 +223,7 @@ def _index(queries: Queries, n: int, total: int):
                 by_term = np.argsort(terms, kind="stable")
                 first = np.searchsorted(terms[by_term], np.arange(width + 1))
                 place = np.full(width, -1, np.int32)
-                lists = []
+                lists: dict[str, list] = {"term": [], "coordinates": [], "sizes": [], "docs": [], "maxima": []}
                 for term, own in sorted(needed.items()):
                     held = docs[by_term[first[term]:first[term + 1]]]
                     order, sizes = cluster(points[held])
@@ -220,11 +237,14 @@ def _index(queries: Queries, n: int, total: int):
                     maxima = np.zeros((len(sizes), len(coordinates)), np.int32)
                     np.maximum.at(maxima, (block[kept], column[kept]), impacts[where][kept].astype(np.int32))
                     place[coordinates] = -1
-                    lists.append({"term": term, "coordinates": coordinates, "sizes": sizes, "docs": held, "maxima": maxima.tobytes()})
-                kind = pa.struct([("term", pa.int32()), ("coordinates", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("maxima", pa.binary())])
+                    for name, value in (("term", term), ("coordinates", coordinates), ("sizes", sizes), ("docs", held), ("maxima", maxima.tobytes())):
+                        lists[name].append(value)
+                packed = pa.StructArray.from_arrays(
+                    [pa.array(lists["term"], pa.int32()), *[_arrays(lists[c]) for c in ("coordinates", "sizes", "docs")], pa.array(lists["maxima"], pa.binary())], list(lists)
+                )
                 yield pa.RecordBatch.from_pydict({
                     **{c: batch.column(c).slice(i, 1) for c in ("shard", "ids", "starts", "terms")},
-                    "impacts": pa.array([impacts], pa.list_(pa.int64())), "lists": pa.array([lists], pa.list_(kind)),
+                    "impacts": pa.array([impacts], pa.list_(pa.int64())), "lists": pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed),
                 })
 
     return run
@@ -281,7 +301,7 @@ def _answer(queries: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(*(batch.column(c)[i].values.to_numpy() for c in ("starts", "terms", "impacts")), batch.column("lists")[i].as_py(), len(queries.weights))
+                shard = Shard(*(batch.column(c)[i].values.to_numpy() for c in ("starts", "terms", "impacts")), _lists_of(batch.column("lists")[i]), len(queries.weights))
                 ids = batch.column("ids")[i].values
                 missing, numbers = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
                 items, docs, scores = [], [], []

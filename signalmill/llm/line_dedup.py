@@ -1,24 +1,25 @@
-r"""Line dedup: runs of two or more lines that repeat anywhere in the corpus go, except the first.
-
-``dedup_runs`` (the registered query and the pipeline) is exact. A hash over two neighbouring lines is taken at every line,
-so that every repeated run is covered by its repeated pairs, wherever it starts and however short it is. A line goes if a
-pair that it is in holds a word and has occurred before (lesser key, then content, then place). Some occurrence of each
-line always stays: the first occurrence of a pair comes before the removed one, and so on down. Narrow rows (two line
-hashes, place) do all of this; the text of repeated lines is only compared, each distinct one once a task, and where one
-hash stands for several lines their pairs are compared by text instead.
-
-``dedup_lines`` samples: it removes equal chunks between content-defined boundaries, and misses most runs that are short
-against ``window`` and ``every``. The ``\n``-split lines of a text are hashed. A cyclic rolling hash over the last ``window`` line hashes ends a chunk
-wherever it falls on one value in ``every``, so boundaries depend on nearby lines alone and shift with them. Chunks of two
-or more lines that hold a word are candidates.
-
-Narrow rows (two hashes, length, place) find the chunk hashes that occur more than once. Up to a checked number these go
-to every task, so that only the chunks under them travel with their text; beyond it all chunks meet them by a shuffle.
-Candidates are grouped byte by byte, and all but the first (least key, then content, then place) are removed. Equal
-chunks meet by partial aggregation and skew-splittable joins, never as one group.
-
-Defined results: null and empty texts stay as they are; rows equal in key and text count as one document; a document that
-loses all its chunks keeps an empty text; an empty table gives an empty result.
+r"""Line dedup by content-defined chunks of lines: repeated multi-line chunks go, except the first.
+
+The ``\n``-split lines of a text are hashed. Rolling hashes over the hashes of one or two lines with words choose boundaries,
+in ``len(WINDOWS)`` seeded sets at once: in a set, the hash rolled ahead from a line decides whether a chunk opens before it,
+the hash rolled up to a line whether a chunk closes after it. A chunk runs from an opening line to the closing line that
+follows and depends on nothing outside it; it moves with its lines. Two lines with words are a chunk of one of the sets in all
+but one of a hundred cases, so the union of the sets also covers passages of two lines. Blank lines belong to a chunk only
+between its lines with words, of which it has at least two: a title that a blank line follows is no chunk.
+
+Narrow rows (chunk hash, place) find the chunk hashes that occur more than once, and each chunk's first occurrence (least key,
+then content, then place). Every later occurrence is extended over equal neighbouring lines, where the sets have left a gap,
+by a join with the neighbours of both occurrences, until nothing grows. Then texts meet their chunks once, and the chunks of
+equal hash are compared byte by byte (least and greatest text of a hash, pre-aggregated). Where one hash stands for several
+texts, their chunks are matched by text instead.
+
+Some occurrence of every line stays: a removed line equals an earlier one, and so on down to a first. Equal chunks meet by
+partial aggregation and joins of written tables, which skew handling can split; no chunk is gathered as one group.
+
+Defined results: null and empty texts stay as they are; rows equal in key and text count as one document, and each keeps its
+row; equal texts of different keys lose all chunks but in the first; a document that loses all its lines keeps an empty text.
+A single line that repeats stays, as does a passage of one line. Texts are taken whole, however long. An empty table gives an
+empty result. Other columns pass through, whatever their names, but for those with two leading underscores, which are refused.
 """
 
 from __future__ import annotations
@@ -28,161 +29,167 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, same, table, written
 
+#: Lines that the rolling hash of each boundary set covers.
+WINDOWS = (1,) * 12 + (2,) * 4
 
-#: Up to so many repeated hashes (24 bytes each) go to every task; more are joined.
-SENT_HASHES = 300_000
+
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def _turned(h: Column, by: int) -> Column:
     return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
 
 
-def chunked(docs: DataFrame, text: str, window: int, every: int) -> DataFrame:
-    """Adds ``__lines`` and ``__chunks``, an array of (place, first line, number of lines)."""
-    lines = F.split(F.col(text), "\n")
-    step = docs.withColumn("__lines", lines).withColumn("__h", F.transform("__lines", lambda x: F.xxhash64(x)))
-    hashes, last = F.col("__h"), F.size("__h") - 1
+def _marks(hashes: Column, worded: Column) -> Column:
+    """Two numbers per line with words: bit s is 1 if a chunk of set s opens before the line, or closes after it."""
+    sets = {w: sum(1 << s for s, x in enumerate(WINDOWS) if x == w) for w in sorted(set(WINDOWS))}
 
-    def rolled(i: Column) -> Column:
-        total = _turned(F.get(hashes, i), 0)
-        for back in range(1, window):
-            total = total.bitwiseXOR(_turned(F.coalesce(F.get(hashes, i - back), F.lit(0).cast("long")), back))
+    def mark(i: Column, opening: bool) -> Column:
+        total = F.lit(0).cast("long")
+        for window, bits in sets.items():
+            rolled = F.lit(0).cast("long")
+            for at in range(window):
+                line = F.get(hashes, F.get(worded, i + (at if opening else at - window + 1)))
+                rolled = rolled.bitwiseXOR(_turned(F.coalesce(line, F.lit(0).cast("long")), window - 1 - at))
+            seed = F.lit(2 * window + opening).cast("long")
+            total = total.bitwiseOR(F.xxhash64(rolled, seed).bitwiseAND(F.lit(bits).cast("long")))
         return total
 
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (F.pmod(F.xxhash64(rolled(i)), F.lit(every)) == 0) | (i == last))
-    step = step.withColumn("__ends", ends)
-    before = lambda place: F.coalesce(F.get(F.col("__ends"), place - 1) + 1, F.lit(0))
-    chunks = F.transform(
-        "__ends", lambda end, place: F.struct(place.alias("place"), before(place).alias("start"), (end - before(place) + 1).alias("lines"))
-    )
-    return step.withColumn("__chunks", chunks).drop("__h", "__ends")
+    return F.transform(worded, lambda _, i: F.struct(mark(i, True).alias("opens"), mark(i, False).alias("closes")))
 
 
-def chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["lines"]), "\n")
-
-
-def _candidates(docs: DataFrame, text: str, key: str, window: int, every: int, least_lines: int) -> DataFrame:
-    """One row per candidate chunk: key, content digest of the document, place, the chunk's text and hashes."""
+def chunked(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """One row per two neighbouring lines with words: __key, __content, first and last line, chunk hash, and whether it is a chunk
+    of one of the sets (else it is a gap that extension may cross)."""
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where("__text IS NOT NULL")
-    rows = chunked(rows.withColumn("__content", F.xxhash64("__text")), "__text", window, every)
-    wide = F.filter("__chunks", lambda c: c["lines"] >= least_lines)
-    rows = rows.select("__key", "__content", "__lines", F.explode(wide).alias("chunk"))
-    rows = rows.select("__key", "__content", F.col("chunk.place").alias("place"), chunk_text(F.col("__lines"), F.col("chunk")).alias("chunk"))
-    rows = rows.where(F.btrim("chunk", F.lit(SPACES)) != "")
-    return rows.select("*", F.xxhash64("chunk").alias("hash"), F.xxhash64(F.lit(1), "chunk").alias("check"), F.octet_length("chunk").alias("bytes"))
-
-
-def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 3, every: int = 4, least_lines: int = 2) -> DataFrame:
-    """(__key, __content, place) of every chunk to remove: all byte-equal ones but the first."""
-    rows = _candidates(docs, text, key, window, every, least_lines)
-    marks = ["hash", "check", "bytes"]
-    often = rows.groupBy(*marks).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    often = written(often, "chunk-hashes")
-    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col("place").alias("p"))
-    sent = F.broadcast(often) if often.count() <= SENT_HASHES else often.hint("shuffle_hash")
-    found = written(rows.join(sent, marks, "left_semi").withColumn("__order", order), "chunks")
-    # written, so that the join shuffles both sides anew and a chunk that is everywhere can be split
-    first = written(found.groupBy(*marks, "chunk").agg(F.min("__order").alias("__first")).withColumnRenamed("chunk", "__kept"), "first-chunks")
-    met = found.join(first, marks).where((F.col("chunk") == F.col("__kept")) & ~F.col("__order").eqNullSafe(F.col("__first")))
-    return met.select("__key", "__content", "place")
+    rows = rows.select("__key", F.xxhash64("__text").alias("__content"), F.split("__text", "\n").alias("__lines"))
+    rows = rows.select(
+        "__key", "__content", F.transform("__lines", _hash).alias("__h"),
+        F.filter(F.transform("__lines", lambda x, i: F.when(F.btrim(x, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull()).alias("__w"),
+    ).where("size(__w) > 1")
+    # one column that is used twice: a column used once would be computed anew for every line
+    rows = rows.withColumn("__m", _marks(F.col("__h"), F.col("__w")))
+    at, marks = F.col("__w"), F.col("__m")
+
+    def chunk(first: Column, i: Column) -> Column:
+        last = F.get(at, i + 1)
+        return F.struct(
+            first.alias("first"), last.alias("last"), F.xxhash64(F.slice("__h", first + 1, last - first + 1)).alias("hash"),
+            (F.get(marks, i)["opens"].bitwiseAND(F.get(marks, i + 1)["closes"]) != 0).alias("caught"),
+        )
+
+    spans = F.transform(F.slice("__w", 1, F.size("__w") - 1), chunk)
+    return rows.select("__key", "__content", F.inline(spans))
+
+
+def _order(first: str = "first") -> Column:
+    return F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col(first).alias("p"))
+
+
+def _grown(frontier: DataFrame, gaps: DataFrame, edge: str, end: str) -> DataFrame:
+    """Matches one gap further on the side of ``edge``, where both occurrences have equal neighbours."""
+    side = gaps.select(
+        F.col("__key").alias("__k"), F.col("__content").alias("__c"), F.col(end).alias("__at"), F.col("first").alias("__first"), F.col("last").alias("__last"),
+        F.col("hash").alias("__hash"),
+    )
+    own = frontier.join(side, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__content") == F.col("__c")) & (F.col(edge) == F.col("__at")))
+    own = own.select("__key", "__content", F.col("__first").alias("first"), F.col("__last").alias("last"), F.col("__hash").alias("hash"), "of", F.col(f"of.{edge}").alias("__edge"))
+    met = own.join(
+        side, F.col("of.key").eqNullSafe(F.col("__k")) & (F.col("of.content") == F.col("__c")) & (F.col("__edge") == F.col("__at")) & (F.col("hash") == F.col("__hash"))
+    )
+    of = F.struct(F.col("of.key"), F.col("of.content"), F.col("__first").alias("first"), F.col("__last").alias("last"))
+    return met.select("__key", "__content", "first", "last", "hash", of.alias("of"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 3, every: int = 4, least_lines: int = 2) -> DataFrame:
-    """All rows and columns, texts without their repeated chunks (``n_chars`` follows), and ``__removed_chunks``."""
-    gone = repeated_chunks(docs, text, key, window, every, least_lines).groupBy("__key", "__content").agg(
-        F.collect_set("place").alias("__gone")
+def repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Every later occurrence of a repeated chunk (__key, __content, first, last, hash) with the first one it is matched with, ``of``.
+
+    Chunks match by hash; ``dedup_lines`` compares their bytes.
+    """
+    chunks = written(chunked(docs, text, key), "line-chunks")
+    caught = chunks.where("caught").drop("caught")
+    often = written(caught.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "chunk-hashes")
+    found = written(caught.join(often, "hash", "left_semi").withColumn("__order", _order()), "chunks")
+    # written, so that the join shuffles both sides anew and a chunk that is everywhere can be split
+    firsts = written(found.groupBy("hash").agg(F.min("__order").alias("__least")), "first-chunks")
+    met = found.join(firsts, "hash").where(~F.col("__order").eqNullSafe(F.col("__least")))
+    of = F.struct(
+        F.col("__least.k").alias("key"), F.col("__least.c").alias("content"), F.col("__least.p").alias("first"),
+        (F.col("__least.p") + F.col("last") - F.col("first")).alias("last"),
     )
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{key}`").alias("__key"),
-        F.xxhash64(F.col(f"`{text}`")).alias("__content"),
+    columns = ["__key", "__content", "first", "last", "hash", "of"]
+    matches = written(met.withColumn("of", of).select(*columns).distinct(), "matches")
+    every, gaps = matches, chunks.where("NOT caught").distinct()
+    for edge, end in (("first", "last"), ("last", "first")):  # each side moves one way only, so it ends
+        frontier = matches
+        while not (frontier := written(_grown(frontier, gaps, edge, end).distinct(), "grown-matches")).isEmpty():
+            every = every.unionByName(frontier)
+    return every
+
+
+def _spans(matches: DataFrame) -> DataFrame:
+    """The chunks of each document: __key, __content, and an array of (first, last, hash, whether it goes)."""
+    gone = matches.select("__key", "__content", F.struct("first", "last", "hash", F.lit(True).alias("gone")).alias("s"))
+    kept = matches.select(
+        F.col("of.key").alias("__key"), F.col("of.content").alias("__content"),
+        F.struct(F.col("of.first"), F.col("of.last"), F.col("hash"), F.lit(False).alias("gone")).alias("s"),
     )
-    joined = rows.join(gone.hint("shuffle_hash"), same(rows, gone, ["__key", "__content"]), "left").select("__doc", "__gone")
-    joined = joined.withColumn("__text", F.col("__doc").getField(text))
-    cut = chunked(joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col("__text"))), "__cut", window, every)
-    stay = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["place"]))
-    rest = F.array_join(F.transform(stay, lambda c: chunk_text(F.col("__lines"), c)), "\n")
-    clean = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(rest)
-    cut = cut.withColumn("__clean", clean)
-    out = [F.col("__clean").alias(c) if c == text else F.length("__clean").cast("long").alias(c) if c == "n_chars" else F.col("__doc").getField(c).alias(c) for c in docs.columns]
-    return cut.select(*out, F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed_chunks"))
+    return gone.unionByName(kept).groupBy("__key", "__content").agg(F.collect_set("s").alias("__spans"))
 
 
-def _hash(line: Column) -> Column:
-    return F.xxhash64(line)
+def _with_text(span: Column) -> Column:
+    """A span and its text: its first line and those that follow."""
+    after = F.array_join(F.slice("__lines", span["first"] + 2, span["last"] - span["first"]), "\n")
+    text = F.concat(F.get(F.col("__lines"), span["first"]), F.lit("\n"), after)
+    return F.struct(*[span[c].alias(c) for c in ("first", "last", "hash", "gone")], text.alias("chunk"))
 
 
-def _pairs(docs: DataFrame, text: str, key: str, texts: bool = False) -> DataFrame:
-    """One row per pair of neighbouring lines that holds a word: order, line hashes ``a`` and ``b``; with ``texts`` the pair."""
-    rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where("__text IS NOT NULL")
-    rows = rows.withColumn("__content", F.xxhash64("__text"))
-    line = lambda x: F.struct(_hash(x).alias("h"), (F.btrim(x, F.lit(SPACES)) != "").alias("word"), *([x.alias("line")] if texts else []))
-    rows = rows.withColumn("__l", F.transform(F.split("__text", "\n"), line))
-
-    def pair(x: Column, i: Column) -> Column:
-        after = F.get(F.col("__l"), i + 1)
-        both = [F.concat_ws("\n", x["line"], after["line"]).alias("pair")] if texts else []
-        return F.struct(i.alias("place"), x["h"].alias("a"), after["h"].alias("b"), (x["word"] | after["word"]).alias("word"), *both)
-
-    rows = rows.select("__key", "__content", F.explode(F.filter(F.transform("__l", pair), lambda c: c["b"].isNotNull() & c["word"])).alias("c"))
-    return rows.select("__key", "__content", "c.place", "c.a", "c.b", *(["c.pair"] if texts else []))
-
-
-def _few(rows: DataFrame, number: int) -> DataFrame:
-    return F.broadcast(rows) if number <= SENT_HASHES else rows.hint("shuffle_hash")
-
-
-def _later(found: DataFrame, marks: list[str]) -> DataFrame:
-    """(__key, __content, place) of all rows but the first of each ``marks``; ``found`` is a written table."""
-    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__content").alias("c"), F.col("place").alias("p"))
-    found = found.withColumn("__order", order)
-    first = written(found.groupBy(*marks).agg(F.min("__order").alias("__first")), "first-pairs")
-    return found.join(first, marks).where(~F.col("__order").eqNullSafe(F.col("__first"))).select("__key", "__content", "place")
-
-
-def repeated_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(__key, __content, place) of every pair of lines that holds a word and has occurred before."""
-    pairs = written(_pairs(docs, text, key), "line-pairs")
-    often = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "pair-hashes")
-    found = written(pairs.join(_few(often, often.count()), ["a", "b"], "left_semi"), "pairs")
-    hashes = written(often.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), "line-hashes")
-    lines = docs.where(F.col(f"`{text}`").isNotNull()).select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line"))
-    lines = lines.select(_hash(F.col("line")).alias("hash"), "line").join(_few(hashes, hashes.count()), "hash", "left_semi")
-    mixed = written(lines.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mixed-hashes")
-    number = mixed.count()
-    if not number:
-        return _later(found, ["a", "b"])
-    of = [(side, mixed.select(F.col("hash").alias(side))) for side in ("a", "b")]
-    clear = found
-    for side, hashed in of:
-        clear = clear.join(_few(hashed, number), side, "left_anti")
-    texts = _pairs(docs, text, key, texts=True)
-    odd = [texts.join(_few(of[0][1], number), "a", "left_semi"), texts.join(_few(of[0][1], number), "a", "left_anti").join(_few(of[1][1], number), "b", "left_semi")]
-    odd = written(odd[0].unionByName(odd[1]).drop("a", "b"), "odd-pairs")
-    return _later(written(clear, "clear-pairs"), ["a", "b"]).unionByName(_later(odd, ["pair"]))
-
-
-def dedup_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns, texts without their repeated runs (``n_chars`` follows), and ``__removed_runs``."""
-    gone = repeated_pairs(docs, text, key).groupBy("__key", "__content").agg(F.collect_set("place").alias("__pairs"))
+def _marked(rows: DataFrame, spans: DataFrame, label: str) -> DataFrame:
+    spans = written(spans, f"{label}-spans")
+    joined = rows.join(spans.hint("shuffle_hash"), same(rows, spans, ["__key", "__content"]), "left")
+    return written(joined.select("__doc", rows["__key"], rows["__content"], "__spans"), label)
+
+
+def _matched_by_text(texts: DataFrame, odd: DataFrame) -> DataFrame:
+    """The spans of documents after chunks under ``odd`` hashes have been matched by their text."""
+    mixed = written(texts.join(odd, "hash", "left_semi").drop("gone").distinct().withColumn("__order", _order()), "odd-chunks")
+    least = written(mixed.groupBy("hash", "chunk").agg(F.min("__order").alias("__least")), "odd-first")
+    again = mixed.join(least, ["hash", "chunk"]).select("__key", "__content", "first", "last", "hash", (~F.col("__order").eqNullSafe(F.col("__least"))).alias("gone"))
+    clear = texts.join(odd, "hash", "left_anti").select("__key", "__content", "first", "last", "hash", "gone")
+    return clear.unionByName(again).groupBy("__key", "__content").agg(F.collect_set(F.struct("first", "last", "hash", "gone")).alias("__spans"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All rows and columns, texts without their repeated chunks (``n_chars`` follows), and ``__removed_chunks``."""
+    clash = [c for c in docs.columns if c.startswith("__")]
+    if clash:
+        raise ValueError(f"columns with two leading underscores are the operator's own: {clash}")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{key}`").alias("__key"),
         F.xxhash64(F.col(f"`{text}`")).alias("__content"),
     )
-    joined = rows.join(gone.hint("shuffle_hash"), same(rows, gone, ["__key", "__content"]), "left").select("__doc", "__pairs")
-    joined = joined.withColumn("__text", F.col("__doc").getField(text))
-    after = lambda places: F.transform(places, lambda i: i + 1)
-    cut = joined.withColumn("__gone", F.array_union("__pairs", after("__pairs")))
-    cut = cut.withColumn("__lines", F.split(F.when(F.col("__pairs").isNotNull(), F.col("__text")), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    marked = _marked(rows, _spans(repeated_chunks(docs, text, key)), "marked-documents")
+    texts = marked.where("__spans IS NOT NULL").select("__key", "__content", "__spans", F.split(F.col("__doc").getField(text), "\n").alias("__lines"))
+    texts = texts.select("__key", "__content", F.inline(F.transform("__spans", _with_text)))
+    odd = written(texts.groupBy("hash").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("hash"), "odd-hashes")
+    if not odd.isEmpty():
+        marked = _marked(rows, _matched_by_text(texts, odd), "marked-again")
+    gone = F.filter("__spans", lambda s: s["gone"])
+    cut = marked.select("__doc", F.col("__doc").getField(text).alias("__text"), F.when(F.size(gone) > 0, gone).alias("__gone"))
+    cut = cut.withColumn("__lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("__text")), "\n"))
+    places = F.array_distinct(F.flatten(F.transform("__gone", lambda s: F.sequence(s["first"], s["last"]))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), places)
     rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
-    cut = cut.withColumn("__clean", F.when(F.col("__pairs").isNull(), F.col("__text")).otherwise(rest))
-    out = [F.col("__clean").alias(c) if c == text else F.length("__clean").cast("long").alias(c) if c == "n_chars" else F.col("__doc").getField(c).alias(c) for c in docs.columns]
-    runs = F.size(F.array_except("__gone", after("__gone")))
-    return cut.select(*out, F.when(F.col("__pairs").isNull(), 0).otherwise(runs).alias("__removed_runs"))
+    cut = cut.withColumn("__clean", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(rest))
+    out = [
+        F.col("__clean").alias(c) if c == text else F.length("__clean").cast("long").alias(c) if c == "n_chars" else F.col("__doc").getField(c).alias(c)
+        for c in docs.columns
+    ]
+    return cut.select(*out, F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed_chunks"))
 
 
 def op5_line_dedup(spark, folder: str) -> DataFrame:
     """Every document with its remaining text."""
-    clean = dedup_runs(table(spark, folder, "documents").select("doc_id", "text"))
-    return clean.select("doc_id", F.col("__removed_runs").alias("n_removed_chunks"), "text")
+    clean = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", F.col("__removed_chunks").alias("n_removed_chunks"), "text")

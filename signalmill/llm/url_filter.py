@@ -4,19 +4,26 @@ The classifier learns from a small labelled table (url, blocked). ``decided_samp
 that the rules decide: a bounded number of distinct (host, path) pairs in hash order. Everything runs on built-in
 expressions and the JVM classifier; no Python code touches a row.
 
-Defined results: a null url and one without ``://`` have an empty host and path and are judged by the classifier's
-intercept; an empty labelled table, or one with a single label, gives that label (``allow`` if empty) to all.
+The fitted model is stored and read again before it judges: a stored model is its coefficients alone, without the training
+summary, whose tables would travel in every task's closure.
+
+Defined results: a null url and one without ``://`` have an empty host and path, which give the grams of two marked empty
+strings; an empty labelled table, or one with a single label, gives that label (``allow`` if empty) to all. Urls are taken
+whole, however long. Repeated rows are judged one by one, alike; equal probabilities of both labels allow. An empty table
+gives an empty result. Columns called host, path, rule or verdict are replaced by the results; other columns pass through, but
+for those with two leading underscores, which are refused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import LOWER, UPPER, table, written
 
 #: The rules of the contract, as (host and path start, verdict).
@@ -88,7 +95,9 @@ class UrlModel:
             featuresCol="__features", labelCol="__label", probabilityCol="__probability", predictionCol="__prediction",
             rawPredictionCol="__raw", regParam=self.penalty, maxIter=self.iterations, standardization=False,
         )
-        self.model = learner.fit(self._features(rows))
+        stored = scratch_path(rows.sparkSession, "url-model")
+        learner.fit(self._features(rows)).write().save(stored)
+        self.model = LogisticRegressionModel.load(stored)
         return self
 
     def blocked(self, urls: DataFrame) -> DataFrame:
@@ -110,6 +119,9 @@ def decided_sample(urls: DataFrame, url: str, rules: Sequence[tuple[str, str]] =
 
 def judge_urls(urls: DataFrame, labelled: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """``urls`` with host, path, the rule that decides and the verdict: the rule's, else the classifier's."""
+    clash = [c for c in urls.columns if c.startswith("__")]
+    if clash:
+        raise ValueError(f"columns with two leading underscores are the operator's own: {clash}")
     model = UrlModel().fit(labelled)
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     parts = urls.select(*[F.col(f"`{c}`") for c in keep], host(url).alias("__host"), path(url).alias("__path"))

@@ -129,37 +129,71 @@ def _xxh(data, seed=42):
     return xxhash.xxh64_intdigest(data, seed=seed)
 
 
-def chunks(text, window=3, every=4):
-    """The content-defined chunks of a text, as lists of lines."""
+WINDOWS = (1,) * 12 + (2,) * 4
+
+
+def line_chunks(text):
+    """[(first line, last line, whether a boundary set makes it a chunk)] of neighbouring lines with words."""
     lines = text.split("\n")
-    hashes = [_xxh(x.encode()) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
+    worded = [i for i, x in enumerate(lines) if WORD.search(x)]
+    hashes = [_xxh(lines[i].encode()) for i in worded]
+    turned = lambda h, by: (h << by | h >> (64 - by)) & (2**64 - 1) if by else h
+
+    def mark(i, opening):
         total = 0
-        for back in range(window):
-            h = hashes[i - back] if i >= back else 0
-            total ^= (h << back | h >> (64 - back)) & (2**64 - 1) if back else h
-        value = _xxh(total.to_bytes(8, "little"))
-        value -= 2**64 if value >= 2**63 else 0
-        if value % every == 0 or i == len(lines) - 1:
-            out.append(lines[start:i + 1])
-            start = i + 1
-    return out
+        for window in sorted(set(WINDOWS)):
+            rolled = 0
+            for at in range(window):
+                j = i + (at if opening else at - window + 1)
+                rolled ^= turned(hashes[j] if 0 <= j < len(hashes) else 0, window - 1 - at)
+            value = _xxh((2 * window + opening).to_bytes(8, "little"), _xxh(rolled.to_bytes(8, "little")))
+            total |= sum(1 << s for s, w in enumerate(WINDOWS) if w == window) & value
+        return total
+
+    return [(worded[i], worded[i + 1], bool(mark(i, True) & mark(i + 1, False))) for i in range(len(worded) - 1)]
 
 
 def line_dedup(rows):
     """rows: distinct (doc_id, text) with ids that are not null; gives {doc_id: text}"""
+    lines, firsts, before, after, matches = {}, {}, {}, {}, []
+    for doc_id, text in sorted(rows):
+        lines[doc_id] = own = text.split("\n")
+        for first, last, caught in line_chunks(text):
+            chunk = tuple(own[first:last + 1])
+            if not caught:
+                before[doc_id, last], after[doc_id, first] = (first, chunk), (last, chunk)
+            elif chunk in firsts:
+                matches.append((doc_id, first, last, *firsts[chunk]))
+            else:
+                firsts[chunk] = (doc_id, first, last)
+    seen = set(matches)
+    while matches:
+        doc_id, first, last, of, of_first, of_last = matches.pop()
+        for gaps, edge, of_edge in ((before, first, of_first), (after, last, of_last)):
+            mine, its = gaps.get((doc_id, edge)), gaps.get((of, of_edge))
+            if mine and its and mine[1] == its[1]:
+                grown = (doc_id, *sorted((edge, mine[0])), of, *sorted((of_edge, its[0])))
+                if grown not in seen:
+                    seen.add(grown)
+                    matches.append(grown)
+    gone = {}
+    for doc_id, first, last, *_ in seen:
+        gone.setdefault(doc_id, set()).update(range(first, last + 1))
+    return {d: "\n".join(x for i, x in enumerate(own) if i not in gone.get(d, ())) for d, own in lines.items()}
+
+
+def repeated_lines(rows):
+    """Exact search: {doc_id: text} without the lines of any run of two or more lines with words that has occurred before."""
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
-        kept = []
-        for chunk in chunks(text):
-            joined = "\n".join(chunk)
-            if len(chunk) > 1 and WORD.search(joined):
-                if joined in seen:
-                    continue
-                seen.add(joined)
-            kept.append(joined)
-        out[doc_id] = "\n".join(kept)
+        own, gone = text.split("\n"), set()
+        worded = [i for i, x in enumerate(own) if WORD.search(x)]
+        for a, b in zip(worded, worded[1:]):
+            run = tuple(own[a:b + 1])
+            if run in seen:
+                gone.update(range(a, b + 1))
+            seen.add(run)
+        out[doc_id] = "\n".join(x for i, x in enumerate(own) if i not in gone)
     return out
 
 

@@ -83,7 +83,7 @@ def test_summaries_bound_their_blocks_and_blocks_are_skipped():
         "starts": one(starts, pa.int32()), "terms": one(terms, pa.int32()), "counts": one(counts, pa.int64()),
     })
     (index,) = list(lexical._index(queries, 1500, int(lengths.sum()))(iter([packed])))
-    impacts, lists = index.column("impacts")[0].values.to_numpy(), index.column("lists")[0].as_py()
+    impacts, lists = index.column("impacts")[0].values.to_numpy(), lexical._lists_of(index.column("lists")[0])
     dense = np.zeros((1500, 300), np.int64)
     dense[np.repeat(np.arange(1500), np.diff(starts)), terms] = impacts
     shard, known = Shard(starts, terms, impacts, lists, 300), [0, 0]
