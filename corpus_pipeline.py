@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import table, written
-from signalmill.llm.line_dedup import dedup_runs
+from signalmill.llm.line_dedup import dedup_lines
 from signalmill.llm.pieces import encode_pieces
 from signalmill.llm.quality_rules import apply_quality
 from signalmill.llm.simhash_dedup import keep_one_of_each
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the runs of lines that have occurred before."""
-    return dedup_runs(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Texts without the chunks of lines that have occurred before."""
+    return dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
