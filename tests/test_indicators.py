@@ -177,8 +177,8 @@ def test_unique_times_need_no_tie_column(spark):
 def test_best_asset_of_a_day_ignores_later_bars(spark):
     rows = history("A", 900, 6) + history("B", 700, 7)
     cut = dt.datetime(2024, 1, 20)
-    whole = {r.d: r.best_asset for r in I.best_asset_by_day(I.indicator_series(frame(spark, rows))).collect()}
-    early = I.best_asset_by_day(I.indicator_series(frame(spark, [r for r in rows if r[1] < cut])))
+    whole = {r.d: r.best_asset for r in I.best_asset_by_day(I.records_by_day(frame(spark, rows))).collect()}
+    early = I.best_asset_by_day(I.records_by_day(frame(spark, [r for r in rows if r[1] < cut])))
     for row in early.filter(f"d < DATE'{cut:%Y-%m-%d}'").collect():
         assert whole[row.d] == row.best_asset
 
