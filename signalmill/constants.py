@@ -8,8 +8,6 @@ PARSED_ASSETS = ("WTI", "BRENT", "NATGAS", "XLE", "USO", "UNG", "XOM", "CVX", "C
 DEFAULT_ASSET = "XLE"
 
 # --- fixed values: symbols, series, zones, queries, keywords ----------------------
-EQUITY_SYMBOLS = ("XLE", "USO", "UNG", "XOM", "CVX", "COP", "SLB", "HAL", "OXY", "PSX")
-INDICATOR_SYMBOLS = ("XLE", "XOM", "CVX", "USO", "UNG")
 VOLATILITY_SYMBOLS = ("XLE", "USO", "UNG")
 MENTION_TICKERS = ("XLE", "XOM", "CVX", "COP", "USO", "UNG", "OXY", "SLB", "HAL", "PSX")
 MACRO_SERIES = {
@@ -24,7 +22,6 @@ MACRO_SERIES = {
 }
 ZONE_LABELS = {"DE_LU": "Power_DE", "FR": "Power_FR", "GB": "Power_GB"}
 NEWS_QUERIES = ("crude oil price", "natural gas price", "OPEC oil production")
-SOCIAL_GROUPS = ("energy", "oil", "RenewableEnergy", "investing", "StockMarket")
 SOCIAL_KEYWORDS = (
     "oil", "gas", "energy", "crude", "opec", "lng", "wti", "brent", "refinery", "natgas", "solar", "wind",
 )
@@ -63,13 +60,6 @@ PRICE_PER_MILLION = {
     "groq/compound": (0.50, 0.50),
     "allam-2-7b": (0.05, 0.05),
 }
-RECORDED_PRICE_PER_MILLION = {
-    "llama3-70b-8192": (0.59, 0.79),
-    "llama3-8b-8192": (0.05, 0.08),
-    "mixtral-8x7b-32768": (0.24, 0.24),
-    "gemma2-9b-it": (0.20, 0.20),
-    "llama-3.1-70b-versatile": (0.59, 0.79),
-}
 
 # --- fixed values: prices per thousand tokens (input, output) -------------------------
 PRICE_PER_THOUSAND = {

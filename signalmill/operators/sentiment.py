@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BEARISH_WORDS, BULLISH_WORDS, MENTION_TICKERS
+from ..constants import BEARISH_WORDS, BULLISH_WORDS, MENTION_TICKERS, NEWS_QUERIES
 from ..functions.lookup import quoted
 from ..functions.numeric import half_even
 from ..functions.parsing import has_any_word
@@ -15,7 +15,7 @@ MARGIN = 15
 POST_TEXT = "concat(title, ' ', coalesce(description, ''))"
 
 
-def dedupe_headlines(articles: DataFrame, queries, per_query: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+def dedupe_headlines(articles: DataFrame, queries=NEWS_QUERIES, per_query: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Newest articles of the listed queries; of equal urls the copy of the earlier query stays, within each ``by`` group.
 
     Expects query, url, published_at and any further columns. The limit per query acts before the
@@ -30,7 +30,7 @@ def dedupe_headlines(articles: DataFrame, queries, per_query: int = 10, by: tupl
     return copies.filter("_copy = 1").drop("_copy")
 
 
-def headlines_by_day(articles: DataFrame, queries, days: int = 2, per_query: int = 10, limit: int = 15) -> DataFrame:
+def headlines_by_day(articles: DataFrame, queries=NEWS_QUERIES, days: int = 2, per_query: int = 10, limit: int = 15) -> DataFrame:
     """The headlines (at most ``limit``, in query order, newest first) that every date d sees of its last ``days`` days: d, headlines."""
     reach = f"explode(sequence(to_date(published_at), date_add(to_date(published_at), {days}))) AS d"
     kept = dedupe_headlines(articles.selectExpr("query", "url", "title", "published_at", reach), queries, per_query, ("d",))

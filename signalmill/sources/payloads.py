@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..constants import SOCIAL_KEYWORDS
 from ..functions.numeric import half_even, to_float_sql
 from ..functions.times import AsOf, days_before
 
@@ -99,7 +100,7 @@ def news_rows(
 
 
 def social_posts(
-    posts: DataFrame, keywords, groups=None, limit: int = 25, description_chars: int = 200,
+    posts: DataFrame, keywords=SOCIAL_KEYWORDS, groups=None, limit: int = 25, description_chars: int = 200,
 ) -> DataFrame:
     """Top posts per group, then those whose title holds a keyword as a substring.
 
