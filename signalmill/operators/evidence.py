@@ -124,6 +124,9 @@ def dated_signals(
     date, any of them may be left out; ``volatilities`` are dated, too. What is absent on a date is empty in raw_data. Values are those that the agent of the
     run would have gathered on that date: the technical asset is the date's best one, a NEUTRAL sentiment falls back to the
     date's posts, and the flags of the date and the portfolio override the risk agent's direction and strength.
+
+    Text that depends on the date alone is written once per date, and rows meet it as their last step: none carries evidence
+    through a shuffle.
     """
     absent = {c: F.lit(None).cast(kind) for c, kind in NOT_GATHERED.items() if c not in evidence.columns}
     evidence = evidence.withColumns(absent) if absent else evidence
@@ -131,16 +134,23 @@ def dated_signals(
     runs = rows.groupBy("run_id").agg(F.max(key).alias(key), F.max("d").alias("d"))
     flags = run_flags(runs, own_flags, market_flags(volatilities, symbols, limit), key)
     known = volatilities.filter(F.col("symbol").isin(list(symbols))).groupBy("d").agg(_entries("symbol", "volatility").alias("volatility"))
-    rows = rows.join(evidence, "d", "left").join(known, "d", "left")
-    risky = rows.filter("agent_name = 'RiskManager'").join(flags, "run_id", "left")
-    rows = rows.filter("agent_name <> 'RiskManager'").withColumns({"n_flags": F.lit(None).cast("long"), "flags": F.lit(None).cast("array<string>")}).unionByName(risky)
-    no_text, no_numbers = "CAST(array() AS array<string>)", "CAST(map() AS map<string,double>)"
-    raw = f"""CASE agent_name
-        WHEN 'MarketDataAgent' THEN to_json(named_struct('prices', coalesce(prices, {no_numbers}), 'macro', coalesce(macro, {no_numbers})))
-        WHEN 'TechnicalAnalyst' THEN coalesce(to_json(indicators), '{{}}')
-        WHEN 'SentimentAgent' THEN to_json(named_struct('headlines', coalesce(slice(headlines, 1, {HEADLINES_KEPT}), {no_text}), 'reddit', reddit))
-        WHEN 'RiskManager' THEN to_json(named_struct('volatility', coalesce(volatility, {no_numbers}), 'risk_flags', coalesce(flags, {no_text})))
-        END"""
+    no_text, no_numbers = F.expr("CAST(array() AS array<string>)"), F.expr("CAST(map() AS map<string,double>)")
+    found = F.struct(F.coalesce("volatility", no_numbers).alias("volatility"), F.coalesce("flags", no_text).alias("risk_flags"))
+    risky = rows.filter("agent_name = 'RiskManager'").join(flags, "run_id", "left").join(known, "d", "left").withColumn("_risk", F.to_json(found))
+    others = rows.filter("agent_name <> 'RiskManager'").withColumns({"n_flags": F.lit(None).cast("long"), "_risk": F.lit(None).cast("string")})
+    rows = others.unionByName(risky.drop("flags", "volatility"))
+    texts = {
+        "MarketDataAgent": lambda kind: F.to_json(F.struct(*[F.coalesce(kind(c), no_numbers).alias(c) for c in ("prices", "macro")])),
+        "TechnicalAnalyst": lambda kind: F.coalesce(F.to_json(kind("indicators")), F.lit("{}")),
+        "SentimentAgent": lambda kind: F.to_json(F.struct(
+            F.coalesce(F.slice(kind("headlines"), 1, HEADLINES_KEPT), no_text).alias("headlines"), kind("reddit").alias("reddit"))),
+    }
+    of_date = evidence.select("d", "best_asset", "social_direction", *[text(F.col).alias(agent) for agent, text in texts.items()])
+    rows = rows.join(of_date.hint("rebalance", "d"), "d", "left")  # its size is known before the join
+    raw = F.when(F.col("agent_name") == "RiskManager", F.col("_risk"))
+    for agent, text in texts.items():
+        nothing = text(lambda kind: F.lit(None).cast(evidence.schema[kind].dataType))
+        raw = raw.when(F.col("agent_name") == agent, F.coalesce(agent, nothing))
     asset = f"""CASE agent_name WHEN 'TechnicalAnalyst' THEN coalesce(best_asset, '{DEFAULT_ASSET}')
         WHEN 'MarketDataAgent' THEN asset ELSE '{DEFAULT_ASSET}' END"""
     neutral = directed(F.col("direction"), F.coalesce("social_direction", F.col("direction")))
@@ -148,6 +158,6 @@ def dated_signals(
     direction = F.when(F.col("agent_name") == "SentimentAgent", neutral).when(F.col("agent_name") == "RiskManager", risk).otherwise(F.col("direction"))
     strength = F.when(F.col("agent_name") == "RiskManager", F.expr(OVERRIDDEN_STRENGTH.format(parsed="strength"))).otherwise(F.col("strength"))
     return rows.select(
-        *responses.columns, direction.alias("direction"), strength.alias("strength"), "confidence", F.expr(asset).alias("asset"), F.expr(raw).alias("raw_data")
+        *responses.columns, direction.alias("direction"), strength.alias("strength"), "confidence", F.expr(asset).alias("asset"), raw.alias("raw_data")
     )
 

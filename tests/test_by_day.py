@@ -184,3 +184,21 @@ def test_signals_with_the_evidence_of_their_date(spark):
     assert json.loads(got[1, "SentimentAgent"].raw_data) == {"headlines": ["a", "b", "c", "d", "e"], "reddit": {"bullish_count": 3}}
     assert [(got[r, "RiskManager"].direction, got[r, "RiskManager"].strength) for r in range(3)] == [("BEARISH", "MODERATE"), ("BEARISH", "MODERATE"), ("BEARISH", "STRONG")]
     assert json.loads(got[2, "RiskManager"].raw_data) == {"volatility": {"XLE": 44.0}, "risk_flags": ["HIGH VOLATILITY: XLE at 44.0%", "OVERWEIGHT: Z"]}
+
+
+def test_signals_meet_evidence_as_texts_written_once_per_date(spark):
+    responses = spark.createDataFrame(
+        [(r, a, dt.datetime(2024, 1, 1 + r % 2, 8), "ASSET: WTI", 7) for r in range(4) for a in ("TechnicalAnalyst", "RiskManager")],
+        "run_id int, agent_name string, ts timestamp_ntz, response_text string, portfolio_id int",
+    )
+    evidence = spark.createDataFrame([(dt.date(2024, 1, 1), {"X": "up"}, "X")], "d date, indicators map<string,string>, best_asset string")
+    own = spark.createDataFrame([], "portfolio_id int, flag_order int, symbol string, flag string")
+    volatilities = spark.createDataFrame([("XLE", dt.date(2024, 1, 2), 4.0)], "symbol string, d date, volatility double")
+    signals = E.dated_signals(responses, evidence, own, volatilities)
+    got = {(r.run_id, r.agent_name): json.loads(r.raw_data) for r in signals.collect()}
+    for run in range(4):
+        assert got[run, "TechnicalAnalyst"] == ({"X": "up"} if run % 2 == 0 else {})
+        assert got[run, "RiskManager"] == {"volatility": {"XLE": 4.0} if run % 2 else {}, "risk_flags": []}
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    above, dates, below = plan.partition("RebalancePartitions")
+    assert dates and "indicators#" not in above and "indicators#" in below
