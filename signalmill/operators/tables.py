@@ -15,12 +15,15 @@ def last_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
     A partial aggregate: a key written a billion times still sends one row per task. Keys are the grouping columns, so a
     filter on a key passes below the aggregate to folders and scan.
+
+    An aggregate of whole rows sorts what its task reads, and a task may read many stored files. So rows are first dealt into
+    pieces of the advisory partition size, by key and order: a key with many writes is split, too.
     """
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.select(*keys).distinct()
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return rows.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+    return rows.hint("rebalance", *keys, *order).groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

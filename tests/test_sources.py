@@ -225,3 +225,20 @@ def test_a_price_that_reads_as_nan_stays(spark):
     body = '{"response": {"data": [{"period": "2024-01-05", "value": "NaN"}, {"period": "2024-01-04", "value": "1.5"}, {"period": "2024-01-03", "value": "x"}]}}'
     got = P.spot_prices(spark.createDataFrame([("WTI", body)], "commodity string, body string"), "2024-01-10").collect()
     assert sorted(str(r.price) for r in got) == ["1.5", "nan"]
+
+
+def test_rows_of_a_keyed_table_are_dealt_before_they_are_sorted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"2026-01-0{1 + k % 3}", f"A{k % 7}", k, f"v{k}") for k in range(60)] + [("2026-01-01", "hot", k, f"h{k}") for k in range(40)]
+    for batch in range(2):
+        L.write_batch(spark.createDataFrame(rows[batch::2], ROW), path, batch)
+    table = L.read_keyed(spark, path, ROW, ["date", "agent"], ["seq"])
+    want = {}
+    for batch in range(2):
+        for d, a, s, v in sorted(rows[batch::2], key=lambda r: r[2]):
+            want[d, a] = (d, a, s, v)
+    assert {tuple(r) for r in table.select("date", "agent", "seq", "v").collect()} == set(want.values())
+    plan = table._jdf.queryExecution().executedPlan().toString()  # from the last step down to the scan
+    assert plan.count("SortAggregate") == 2  # a partial one stays, so that a hot key sends one row per task
+    partial = plan.rindex("SortAggregate")
+    assert "Exchange" in plan[plan.index("SortAggregate"):partial] and "REBALANCE" in plan[partial:]
